@@ -30,3 +30,15 @@ def maybe_in(df: DataFrame, bitmap: DataFrame, key: str, out: str) -> DataFrame:
     joined = df.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bitmap), "__word", "left")
     hit = F.coalesce(F.call_function("shiftright", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     return joined.withColumn(out, hit).drop("__word", "__bit", "__bits")
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` is not in the column of that name of ``ids``.
+
+    Rows that the bitmap clears stay where they are; only the others are shuffled, for an exact anti-join.
+    """
+    names = df.columns
+    marks = build(ids.select(F.xxhash64(column).alias("__key")), "__key")
+    seen = maybe_in(df.withColumn("__key", F.xxhash64(column)), marks, "__key", "__maybe")
+    clear = seen.where("not __maybe").select(*names)
+    return clear.unionByName(seen.where("__maybe").join(ids.select(column).distinct(), column, "left_anti").select(*names))

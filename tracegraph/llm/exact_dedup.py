@@ -20,23 +20,36 @@ from . import bitmap
 PREFIX_CHARS = 256
 
 
-def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and the ``carry`` expressions (evaluated over ``docs``) for each row."""
+def _grouped(docs: DataFrame, carry: dict[str, Column], prefix_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with __key, __open and the carried expressions, groups of the open rows)"""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long")
-    keyed = docs.select("doc_id", size.alias("__n"), F.xxhash64(size, F.substring(text, 1, prefix_chars)).alias("__prefix"))
+    keyed = docs.select(size.alias("__n"), F.xxhash64(size, F.substring(text, 1, prefix_chars)).alias("__prefix"))
     by_prefix = keyed.groupBy("__n", "__prefix").agg(F.count("*").alias("__c"))
     lengths = by_prefix.groupBy("__n").agg(F.sum("__c").alias("__total")).where("__total > 1").select("__n")
-    open_keys = by_prefix.where("__c > 1").join(lengths, "__n", "left_semi")
-    survivors = bitmap.build(open_keys, "__prefix")
+    survivors = bitmap.build(by_prefix.where("__c > 1").join(lengths, "__n", "left_semi"), "__prefix")
 
-    extra = {f"__x{i}": c for i, c in enumerate((carry or {}).values())}
-    rows = docs.select("doc_id", text.alias("__text"), F.xxhash64(size, F.substring(text, 1, prefix_chars)).alias("__prefix"), F.monotonically_increasing_id().alias("__row"), *(c.alias(k) for k, c in extra.items()))
+    rows = docs.select("doc_id", text.alias("__text"), F.xxhash64(size, F.substring(text, 1, prefix_chars)).alias("__prefix"), F.monotonically_increasing_id().alias("__row"), *(c.alias(k) for k, c in carry.items()))
     rows = bitmap.maybe_in(rows, survivors, "__prefix", "__open")
     # a settled row is a group of its own, under a key that no hash has
     key = F.when(F.col("__open"), F.sha2(F.col("__text"), 256)).otherwise(F.concat(F.lit("row "), F.col("__row").cast("string")))
-    rows = rows.select("doc_id", key.alias("__key"), "__open", *extra)
+    rows = rows.select("doc_id", key.alias("__key"), "__open", *carry)
     groups = rows.where("__open").groupBy("__key").agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__size"))
+    return rows, groups
+
+
+def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and the ``carry`` expressions (evaluated over ``docs``) for each row."""
+    extra = {f"__x{i}": c for i, c in enumerate((carry or {}).values())}
+    rows, groups = _grouped(docs, extra, prefix_chars)
     out = rows.join(groups, "__key", "left")
     keep = F.when(F.col("__size").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), *(F.col(k).alias(name) for k, name in zip(extra, carry or {}, strict=True)))
+
+
+def keep_one(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """One row of ``docs`` for each text. Of rows that repeat a doc_id with the same text, one stays."""
+    decided = exact_dedup(docs, {"__hash": F.xxhash64(F.coalesce("text", F.lit("")))}, prefix_chars)
+    kept = bitmap.drop_ids(docs, decided.where("not kept").select("doc_id"), "doc_id")
+    again = decided.where("kept and group_size > 1").groupBy("doc_id", "__hash").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

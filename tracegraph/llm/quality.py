@@ -135,16 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, pooled: float = POOLED, identity: fl
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], least: float | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` and the score of each row; with ``least``, only rows that have it."""
+    """``keep`` columns of ``docs`` and ``__score`` of each row; with ``least``, only rows that have it."""
     kept = list(dict.fromkeys([*keep, "text"]))
     seen = docs.select(*kept)
     out = [f for f in seen.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", __score double"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float)
         s = np.round(model.score(x), 6)
-        done = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(s)], [*(f.name for f in out), "score"])
+        done = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(s)], [*(f.name for f in out), "__score"])
         return done if least is None else done.filter(pa.array(s >= least))
 
     return map_texts(seen, lambda: work, schema)

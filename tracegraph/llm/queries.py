@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, quality, simhash
+from . import decontaminate, exact_dedup, quality, segment, simhash
 from .common import fold_of, table
 
 
@@ -27,10 +27,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_decontaminate, op6_simhash, op7_quality)}
+def op10_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(text.cast("binary")).alias("crc"), F.octet_length(text).alias("size"))
+    encoded = segment.encode(docs, ["doc_id", "crc", "size"])
+    digest = encoded.select("doc_id", "sample", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), *(F.round(c, 6).alias(c) for c in ("log_prob", "score", "inclusion")), "ids", "crc", "size")
+    back = segment.decode(digest, [c for c in digest.columns if c != "ids"])
+    exact = (F.crc32(F.col("text").cast("binary")) == F.col("crc")) & (F.octet_length("text") == F.col("size"))
+    return back.select("doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "score", "inclusion", exact.alias("exact"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_decontaminate, op6_simhash, op7_quality, op10_segment)}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .common import checkpoint, map_texts
 from .components import connected_components
 
@@ -71,3 +72,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.join(named, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its component."""
+    dropped = checkpoint(near_duplicates(docs).where("doc_id != component_id").select("doc_id"))
+    return bitmap.drop_ids(docs, dropped, "doc_id")
