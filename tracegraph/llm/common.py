@@ -55,13 +55,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES
     yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
     """Run ``make()`` once a task, and what it returns on bounded parts of each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in pieces(batch, column):
+            for part in pieces(batch, column, limit):
                 yield work(part)
 
     return df.mapInArrow(run, schema)

@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import BATCH_BYTES, map_texts
 from .vocabulary import LITERAL, SPACE, Trie, default_model, firsts, log_sums, vocabulary
 
 SAMPLES, SEED = 2, 17
 #: Edges that a worker keeps for words that it has seen; beyond, it starts anew (which changes no result).
-KEPT_EDGES = 5_000_000
+KEPT_EDGES = 3_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _M = (1 << 64) - 1
@@ -77,9 +77,8 @@ class Lattices:
         self.first = np.zeros(1, np.int64)  # edge of each state, and the end
         self.cum, self.stop, self.piece, self.log = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
 
-    def add(self, words: list[str]) -> None:
-        """Build the lattices of new words (without their SPACE)."""
-        base = len(self.first) - 1
+    def built(self, words: list[str], base: int, edge: int) -> tuple[np.ndarray, ...]:
+        """The lattices of new words (without their SPACE), whose first state is ``base`` and first edge ``edge``."""
         text = SPACE + SPACE.join(words)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -109,12 +108,15 @@ class Lattices:
         run = np.cumsum(share)
         within = run - np.concatenate([[0.0], run])[first[a]]
         within[first[1:] - 1] = 1.0
-        self.cum = np.concatenate([self.cum, base + a + np.minimum(within, 1.0)])
-        self.stop = np.concatenate([self.stop, np.where(last, -1, b + base).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, v.astype(np.int32)])
-        self.log = np.concatenate([self.log, log])
-        self.first = np.concatenate([self.first, first[1:] + self.first[-1]])
-        self.start = np.concatenate([self.start, start + base])
+        return base + a + np.minimum(within, 1.0), np.where(last, -1, b + base).astype(np.int32), v.astype(np.int32), log, first[1:] + edge, start + base
+
+    def add(self, words: list[str]) -> None:
+        parts, base, edge = [], len(self.first) - 1, len(self.cum)
+        for i in range(0, len(words), 10_000):
+            parts.append(self.built(words[i : i + 10_000], base, edge))
+            base, edge = base + len(parts[-1][4]), edge + len(parts[-1][0])
+        for name, *new in zip(("cum", "stop", "piece", "log", "first", "start"), *parts, strict=True):
+            setattr(self, name, np.concatenate([getattr(self, name), *new]))
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the number of each word."""
@@ -122,9 +124,7 @@ class Lattices:
             self.clear()
         known, had = self.word, len(self.word)
         numbers = [np.fromiter(map(known.__getitem__, t.split(" ")), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-        fresh = list(islice(known, had, None))
-        for i in range(0, len(fresh), 50_000):
-            self.add(fresh[i : i + 50_000])
+        self.add(list(islice(known, had, None)))
         return numbers
 
     def walk(self, state: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +307,7 @@ def encode(docs: DataFrame, keep: list[str], k: int = SAMPLES, seed: int = SEED,
 
         return work
 
-    return map_texts(seen, make, schema)
+    return map_texts(seen, make, schema, limit=BATCH_BYTES // 2)
 
 
 _held: dict[str, Lattices] = {}
@@ -339,4 +339,4 @@ def decode(encoded: DataFrame, keep: list[str], model: str | None = None) -> Dat
         texts = [decode_ids(x, model) for x in batch.column("ids").to_pylist()]
         return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(texts, pa.string())], [*(f.name for f in fields), "text"])
 
-    return map_texts(encoded.select(*dict.fromkeys([*keep, "ids"])), lambda: work, schema, "ids")
+    return map_texts(encoded.select(*dict.fromkeys([*keep, "ids"])), lambda: work, schema, "ids", BATCH_BYTES // 2)

@@ -22,49 +22,61 @@ def default_model() -> str:
 
 
 class Trie:
-    """Pieces by their characters. A child is found by searching its (node, character) among sorted numbers."""
+    """Pieces by their characters: a table of children for each node that has any, over the characters of longer pieces."""
 
     def __init__(self, words: dict[str, int]):
-        child: dict[int, int] = {}
+        lone = {ord(w): v for w, v in words.items() if len(w) == 1}
+        self.lone = np.full(LITERAL + 1, -1, np.int32)
+        self.lone[list(lone)] = list(lone.values())
+        longer = {w: v for w, v in words.items() if len(w) > 1}
+        codes = {c: i + 1 for i, c in enumerate(sorted({c for w in longer for c in w}))}
+        self.code = np.zeros(LITERAL + 1, np.int16)
+        for c, i in codes.items():
+            self.code[ord(c)] = i
+        child: dict[tuple[int, int], int] = {}
         value = [-1]
-        for word, v in words.items():
+        for word, v in longer.items():
             node = 0
             for c in word:
-                key = node << 21 | ord(c)
-                node = child.get(key, 0)
-                if not node:
-                    node = child[key] = len(value)
+                key = (node, codes[c])
+                if key not in child:
+                    child[key] = len(value)
                     value.append(-1)
+                node = child[key]
             value[node] = v
-        keys = np.array(sorted(child), np.int64)
-        self.keys, self.child = keys, np.array([child[k] for k in keys.tolist()], np.int32)
+        parents = {n: i + 1 for i, n in enumerate(sorted({n for n, _ in child}))}
         self.value = np.array(value, np.int32)
+        self.row = np.zeros(len(value), np.int64)
+        self.row[list(parents)] = list(parents.values())
+        self.width = len(codes) + 1
+        self.table = np.zeros((len(parents) + 1) * self.width, np.int32)
+        for (n, c), to in child.items():
+            self.table[parents[n] * self.width + c] = to
 
     def edges(self, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, stop, value) of every occurrence in ``chars`` that stays below ``end`` of its start, by start and stop.
 
         A position where no single character matches gets one with value -1 - character.
         """
+        code = self.code[chars].astype(np.int64)
         at = np.arange(len(chars), dtype=np.int32)
-        node = np.zeros(len(chars), np.int64)
-        found, depth = [], 0
-        lone = np.ones(len(chars), bool)
+        alone = self.lone[chars]
+        found = [(at, at + 1, np.where(alone >= 0, alone, -1 - chars.astype(np.int32)))]
+        row = np.full(len(chars), self.row[0])
+        depth = 0
         while len(at):
-            key = node << 21 | chars[at + depth]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[k] == key
-            at, node = at[hit], self.child[k[hit]].astype(np.int64)
+            node = self.table[row * self.width + code[at + depth]]
+            hit = np.flatnonzero(node)
+            at, node = at[hit], node[hit]
             depth += 1
-            v = self.value[node]
-            is_piece = v >= 0
-            start = at[is_piece]
-            if depth == 1:
-                lone[start] = False
-            found.append((start, start + depth, v[is_piece]))
-            more = at + depth < end[at]
-            at, node = at[more], node[more]
-        alone = np.flatnonzero(lone).astype(np.int32)
-        found.append((alone, alone + 1, -1 - chars[alone].astype(np.int32)))
+            if depth > 1:
+                v = self.value[node]
+                is_piece = np.flatnonzero(v >= 0)
+                start = at[is_piece]
+                found.append((start, start + depth, v[is_piece]))
+            row = self.row[node]
+            more = np.flatnonzero((row > 0) & (at + depth < end[at]))
+            at, row = at[more], row[more]
         start, stop, v = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(start, kind="stable")
         return start[order], stop[order], v[order]
