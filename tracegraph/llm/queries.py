@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, quality, segment, simhash
-from .common import fold_of, table
+from . import decontaminate, exact_dedup, langid, pii, quality, secretscan, segment, simhash, tokenfiles
+from .common import fold_of, shared_dir, table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return tokenfiles.read_tokens(spark, folder)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,17 +44,27 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.a.cast("string"), x.b.cast("string"))), ",")
+
+    base = F.filter("findings", lambda x: x.kind != "literal")
+    counts = [F.expr(f"cast(size(filter(findings, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op10_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(text.cast("binary")).alias("crc"), F.octet_length(text).alias("size"))
-    encoded = segment.encode(docs, ["doc_id", "crc", "size"])
-    digest = encoded.select("doc_id", "sample", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), *(F.round(c, 6).alias(c) for c in ("log_prob", "score", "inclusion")), "ids", "crc", "size")
-    back = segment.decode(digest, [c for c in digest.columns if c != "ids"])
-    exact = (F.crc32(F.col("text").cast("binary")) == F.col("crc")) & (F.octet_length("text") == F.col("size"))
-    return back.select("doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "score", "inclusion", exact.alias("exact"))
+    encoded = segment.encode(table(spark, sf_dir, "documents"), ["doc_id"], verify=True)
+    return encoded.select("doc_id", "sample", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), *(F.round(c, 6).alias(c) for c in ("log_prob", "score", "inclusion")), "exact")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_decontaminate, op6_simhash, op7_quality, op10_segment)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_decontaminate, op4_langid, op5_token_files, op6_simhash, op7_quality, op8_secrets, op9_pii, op10_segment)}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -34,8 +35,8 @@ from .common import BATCH_BYTES, map_texts
 from .vocabulary import LITERAL, SPACE, Trie, default_model, firsts, log_sums, vocabulary
 
 SAMPLES, SEED = 2, 17
-#: Edges that a worker keeps for words that it has seen; beyond, it starts anew (which changes no result).
-KEPT_EDGES = 3_000_000
+#: Edges that a task keeps for words that it has seen; beyond, it starts anew (which changes no result).
+KEPT_EDGES = 1_500_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _M = (1 << 64) - 1
@@ -62,12 +63,17 @@ def _uniform1(seed: int, counter: int) -> float:
     return ((_mix1((seed + counter * int(_A)) & _M) >> 11) + 0.5) * 2.0**-53
 
 
+@lru_cache(1)
+def _trie(model: str) -> Trie:
+    return Trie(vocabulary(model).normal)
+
+
 class Lattices:
     """The lattices of the words seen so far, one after the other: state = position, edges by state."""
 
     def __init__(self, model: str):
         self.vocabulary = vocabulary(model)
-        self.trie = Trie(self.vocabulary.normal)
+        self.trie = _trie(model)
         self.clear()
 
     def clear(self) -> None:
@@ -75,7 +81,7 @@ class Lattices:
         self.word.default_factory = self.word.__len__
         self.start = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)  # edge of each state, and the end
-        self.cum, self.stop, self.piece, self.log = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        self.within, self.stop, self.piece, self.log = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
 
     def built(self, words: list[str], base: int, edge: int) -> tuple[np.ndarray, ...]:
         """The lattices of new words (without their SPACE), whose first state is ``base`` and first edge ``edge``."""
@@ -107,20 +113,20 @@ class Lattices:
         share = np.exp(log)
         run = np.cumsum(share)
         within = run - np.concatenate([[0.0], run])[first[a]]
-        within[first[1:] - 1] = 1.0
-        return base + a + np.minimum(within, 1.0), np.where(last, -1, b + base).astype(np.int32), v.astype(np.int32), log, first[1:] + edge, start + base
+        within[first[1:] - 1] = 2.0  # more than any draw
+        return within.astype(np.float32), np.where(last, -1, b + base).astype(np.int32), v.astype(np.int32), log.astype(np.float32), first[1:] + edge, start + base
 
     def add(self, words: list[str]) -> None:
-        parts, base, edge = [], len(self.first) - 1, len(self.cum)
+        parts, base, edge = [], len(self.first) - 1, len(self.within)
         for i in range(0, len(words), 10_000):
             parts.append(self.built(words[i : i + 10_000], base, edge))
             base, edge = base + len(parts[-1][4]), edge + len(parts[-1][0])
-        for name, *new in zip(("cum", "stop", "piece", "log", "first", "start"), *parts, strict=True):
+        for name, *new in zip(("within", "stop", "piece", "log", "first", "start"), *parts, strict=True):
             setattr(self, name, np.concatenate([getattr(self, name), *new]))
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the number of each word."""
-        if len(self.cum) > KEPT_EDGES:
+        if len(self.within) > KEPT_EDGES:
             self.clear()
         known, had = self.word, len(self.word)
         numbers = [np.fromiter(map(known.__getitem__, t.split(" ")), np.int64) if t else np.zeros(0, np.int64) for t in texts]
@@ -135,10 +141,12 @@ class Lattices:
         act = np.arange(len(state))
         while len(act):
             at = state[act]
-            goal = at + _uniform(seed[act], shift[act] + at)
+            goal = _uniform(seed[act], shift[act] + at)
             e = self.first[at]
-            hard = np.flatnonzero(self.cum[e] <= goal)
-            e[hard] = np.minimum(np.searchsorted(self.cum, goal[hard], side="right"), self.first[at[hard] + 1] - 1)
+            hard = np.flatnonzero(self.within[e] <= goal)
+            while len(hard):
+                e[hard] += 1
+                hard = hard[self.within[e[hard]] <= goal[hard]]
             acts.append(act)
             taken.append(e)
             to = self.stop[e].astype(np.int64)
@@ -161,7 +169,7 @@ class _Path:
 
     def __init__(self, edges: np.ndarray, count: np.ndarray, log: np.ndarray, score: float):
         self.edges, self.offset, self.score = edges, np.concatenate([[0], np.cumsum(count)]), score
-        self.log = float(log[edges].sum())
+        self.log = float(log[edges].sum(dtype=float))
 
 
 class _Search:
@@ -189,7 +197,7 @@ class _Search:
 
     def along(self, path: _Path, t: int, before: float, limit: float, log: np.ndarray) -> None:
         """Everything that leaves ``path`` at piece t or later."""
-        rest = min(0.0, float(log[path.edges[t:]].sum()))
+        rest = min(0.0, float(log[path.edges[t:]].sum(dtype=float)))
         if rest < 0:
             self.push(before + math.log(-math.expm1(rest)), limit, (path, t, before, ()))
 
@@ -201,7 +209,7 @@ class _Search:
         if len(what) == 5:
             return -bound, *what[:4]
         path, t, before, out = what
-        part = np.minimum(log[path.edges[t:]], 0.0)
+        part = np.minimum(log[path.edges[t:]].astype(float), 0.0)
         share = np.exp(np.cumsum(part) - part) * -np.expm1(part)
         share[[x - t for x in out]] = 0.0
         run = np.cumsum(share)
@@ -246,7 +254,7 @@ def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int, seed:
             word = int(np.searchsorted(path.offset, t, side="right")) - 1
             state = int(np.searchsorted(lattices.first, path.edges[t], side="right")) - 1
             lo, hi = int(lattices.first[state]), int(lattices.first[state + 1])
-            share = np.exp(log[lo:hi])
+            share = np.exp(log[lo:hi].astype(float))
             share[[e - lo for e in banned]] = 0.0
             run = np.cumsum(share)
             edge = lo + min(int(np.searchsorted(run, run[-1] * _uniform1(s.seed, (n << 48) + t), side="right")), int(np.flatnonzero(share)[-1]))
@@ -285,40 +293,33 @@ def ids_of(lattices: Lattices, path: _Path) -> np.ndarray:
 
 
 
-def encode(docs: DataFrame, keep: list[str], k: int = SAMPLES, seed: int = SEED, model: str | None = None, key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, keep: list[str], k: int = SAMPLES, seed: int = SEED, model: str | None = None, key: str = "doc_id", verify: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` once for each sample, with sample (1 to k), ids (32-bit little-endian), log_prob,
-    score and inclusion. ``key`` is a long column that seeds the row; null counts as 0."""
+    score and inclusion. ``key`` is a long column that seeds the row; null counts as 0. With ``verify`` also ``exact``:
+    whether decoding the ids gives the text."""
     model = model or default_model()
     seen = docs.select(*dict.fromkeys([*keep, key, "text"]))
     fields = [f for f in seen.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sample int, ids binary, log_prob double, score double, inclusion double"
-    names = [f.name for f in fields] + ["sample", "ids", "log_prob", "score", "inclusion"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sample int, ids binary, log_prob double, score double, inclusion double" + ", exact boolean" * verify
+    names = [f.name for f in fields] + ["sample", "ids", "log_prob", "score", "inclusion"] + ["exact"] * verify
 
     def make():
-        lattices = _lattices(model)
+        lattices = Lattices(model)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             drawn = sample(lattices, [x or 0 for x in batch.column(key).to_pylist()], texts, k, seed)
             flat = [(i, n + 1, p, q) for i, ps in enumerate(drawn) for n, (p, q) in enumerate(ps)]
             take = pa.array([x[0] for x in flat], pa.int32())
-            new = [pa.array([x[1] for x in flat], pa.int32()), pa.array([ids_of(lattices, x[2]).tobytes() for x in flat], pa.binary()), pa.array([x[2].log for x in flat], pa.float64()), pa.array([x[2].score for x in flat], pa.float64()), pa.array([x[3] for x in flat], pa.float64())]
+            ids = [ids_of(lattices, x[2]).tobytes() for x in flat]
+            new = [pa.array([x[1] for x in flat], pa.int32()), pa.array(ids, pa.binary()), pa.array([x[2].log for x in flat], pa.float64()), pa.array([x[2].score for x in flat], pa.float64()), pa.array([x[3] for x in flat], pa.float64())]
+            if verify:
+                new.append(pa.array([decode_ids(x, model) == texts[f[0]] for x, f in zip(ids, flat, strict=True)], pa.bool_()))
             return pa.RecordBatch.from_arrays([*(batch.column(f.name).take(take) for f in fields), *new], names)
 
         return work
 
-    return map_texts(seen, make, schema, limit=BATCH_BYTES // 2)
-
-
-_held: dict[str, Lattices] = {}
-
-
-def _lattices(model: str) -> Lattices:
-    """One for each worker and model, which later tasks use again."""
-    if model not in _held:
-        _held.clear()
-        _held[model] = Lattices(model)
-    return _held[model]
+    return map_texts(seen, make, schema, limit=BATCH_BYTES // 4)
 
 
 def decode_ids(ids: bytes | None, model: str) -> str | None:

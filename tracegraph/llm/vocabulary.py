@@ -49,7 +49,7 @@ class Trie:
         self.row = np.zeros(len(value), np.int64)
         self.row[list(parents)] = list(parents.values())
         self.width = len(codes) + 1
-        self.table = np.zeros((len(parents) + 1) * self.width, np.int32)
+        self.table = np.zeros((len(parents) + 1) * self.width, np.uint16 if len(value) < 1 << 16 else np.int32)
         for (n, c), to in child.items():
             self.table[parents[n] * self.width + c] = to
 
