@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, pii, quality, secretscan, segment, simhash, tokenfiles
+from . import decontaminate, exact_dedup, langid, linededup, pii, quality, secretscan, segment, simhash, tokenfiles
 from .common import fold_of, shared_dir, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), {"text_sha256": F.sha2(text, 256)})
@@ -64,9 +68,20 @@ def op10_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "sample", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), *(F.round(c, 6).alias(c) for c in ("log_prob", "score", "inclusion")), "exact")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_decontaminate, op4_langid, op5_token_files, op6_simhash, op7_quality, op8_secrets, op9_pii, op10_segment)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_decontaminate, op4_langid, op5_token_files, op6_simhash, op7_quality, op8_secrets, op9_pii, op10_segment)}
 
 ORACLES = {
+    "op1_line_dedup": """
+        WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+        tok AS (SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS id, list_distinct(list_filter(string_split(l, ' '), lambda x: x <> '')) AS w FROM line),
+        freq AS (SELECT t, count(*) AS c FROM (SELECT unnest(w) AS t FROM tok) GROUP BY t),
+        long AS (SELECT id, t, len(w) AS n, row_number() OVER (PARTITION BY id ORDER BY c, t) AS r FROM (SELECT id, w, unnest(w) AS t FROM tok) JOIN freq USING (t)),
+        pre AS (SELECT id, t, n FROM long WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
+        cand AS (SELECT DISTINCT a.id AS x, b.id AS y FROM pre a JOIN pre b ON a.t = b.t AND b.id < a.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        gone AS (SELECT DISTINCT x FROM cand JOIN tok a ON a.id = x JOIN tok b ON b.id = y WHERE 9 * len(list_intersect(a.w, b.w)) >= 4 * (len(a.w) + len(b.w))),
+        each AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS r FROM tok JOIN gone ON x = id GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(r, '') AS removed
+        FROM documents d LEFT JOIN each USING (doc_id)""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
