@@ -20,8 +20,12 @@ def plain(texts):
 def test_encoder_equals_tokenizer_on_whole_texts():
     rng = random.Random(1)
     texts = [t or "" for t in ODD] + ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "'s", "12", ".", "é", " ", "\x1c", "\x85", "<|endoftext|>", "日"]) for _ in range(rng.randrange(60))) for _ in range(4000)]
-    got = T.Encoder(T.default_tokenizer()).encode(texts)
-    assert [g.tolist() for g in got] == plain(texts)
+    encoder = T.Encoder(T.default_tokenizer())
+    for part in (texts, [t for t in texts if "  " not in t and "\t" not in t], texts[5:9], []):
+        ids, sizes = encoder.encode(pa.array(part, pa.string()).slice(0))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][: len(part)] == plain(part)
+        ids, sizes = encoder.encode(pa.array(["x", *part], pa.string()).slice(1))
+        assert ids.tolist() == [x for y in plain(part) for x in y]
 
 
 def test_files_give_back_every_id(spark, odd_docs, tmp_path):

@@ -23,22 +23,28 @@ import re
 import uuid
 import zlib
 from collections import defaultdict
-from itertools import islice
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import BATCH_BYTES, pieces, release
 
 LENGTH, END, ROWS = 2048, 2, 128
-#: Ids that a task keeps for strings that it has seen; beyond, it starts anew (which changes no result).
-KEPT_STRINGS = 150_000
+#: Strings whose ids a worker keeps; beyond, it starts anew (which changes no result).
+KEPT_STRINGS = 800_000
 
-_ODD = re.compile(r" (?=\s|$)")
+#: A space before anything but letters, numbers and visible ASCII; such texts, and those with NUL, are cut by ``_CUT``.
+_ODD = r" (?:[^\p{L}\p{N}\x21-\x7e]|$)|\x00"
 _CUT = re.compile(r"(?= \S)")
+#: Other places where the tokenizer's pattern always begins a new string: after a word, and around a single line feed.
+_WORD_END = r"([\p{L}\p{N}])([^\s\p{L}\p{N}\x00])"
+_LINE_END = r"([^\s\x00])\n(\p{L})"
 
 
 def default_tokenizer() -> str:
@@ -54,8 +60,9 @@ def _file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
 class Encoder:
     """Encodes each distinct string between spaces once.
 
-    The tokenizer's own pattern starts a new string at every space before a character that isn't white space, and
-    merges never cross such strings, so encoding them one by one gives the ids of the whole text.
+    The tokenizer's own pattern starts a new string at every space before a character that isn't white space, after
+    every word and around a single line feed, and merges never cross such strings, so encoding them one by one gives the ids
+    of the whole text.
     """
 
     def __init__(self, path: str):
@@ -71,39 +78,46 @@ class Encoder:
     def clear(self) -> None:
         self.known: defaultdict[str, int] = defaultdict()
         self.known.default_factory = self.known.__len__
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.offset = np.zeros(0, np.uint32 if self.wide else np.uint16), np.zeros(1, np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each. Nulls count as empty."""
         if len(self.known) > KEPT_STRINGS:
             self.clear()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        if pc.any(odd).as_py():
+            cut = pa.array([_CUT.split(t) if o else [t if i == 0 else f" {t}" for i, t in enumerate(t.split(" "))] for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.string()))
+        else:
+            cut = pc.replace_substring_regex(pc.replace_substring(texts, " ", "\0 "), _WORD_END, "\\1\0\\2")
+            cut = pc.split_pattern(pc.replace_substring_regex(cut, _LINE_END, "\\1\0\n\0\\2"), "\0")
+        strings = cut.flatten().dictionary_encode()
         had, get = len(self.known), self.known.__getitem__
-        numbers = []
-        for text in texts:
-            if _ODD.search(text):
-                parts = _CUT.split(text)
-            else:
-                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
-            numbers.append(np.fromiter(map(get, parts), np.int64, len(parts)))
+        number = np.fromiter(map(get, strings.dictionary.to_pylist()), np.int32, len(strings.dictionary))
         fresh = list(islice(self.known, had, None))
-        flats, sizes = [self.flat], [self.size]
+        flats, offsets = [self.flat], [self.offset]
         for i in range(0, len(fresh), 5_000):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[i : i + 5_000], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flats.append(np.fromiter((x for y in ids for x in y), np.uint32))
-        self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
-        self.start = np.cumsum(self.size) - self.size
-        out = []
-        for n in numbers:
-            size = self.size[n]
-            total = int(size.sum())
-            out.append(self.flat[np.repeat(self.start[n] - (np.cumsum(size) - size), size) + np.arange(total)])
-        return out
+            offsets.append((offsets[-1][-1] + np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)))).astype(np.int32))
+            flats.append(np.fromiter(chain.from_iterable(ids), self.flat.dtype))
+        self.flat, self.offset = np.concatenate(flats), np.concatenate(offsets)
+        lists = pa.ListArray.from_arrays(pa.array(self.offset), pa.array(self.flat))
+        taken = lists.take(pa.array(number[strings.indices.to_numpy()]))
+        ends = taken.offsets.to_numpy()[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return taken.flatten().to_numpy(), np.diff(ends)
+
+
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker; its strings serve later tasks."""
+    return Encoder(path)
 
 
 class _Writer:
     def __init__(self, fs: pa.fs.FileSystem, path: str, wide: bool, length: int):
         self.length = length
         self.kind = pa.uint32() if wide else pa.uint16()
+        self.dtype = self.kind.to_pandas_dtype()
         self.ids = pa.ipc.new_file(fs.open_output_stream(f"{path}.arrow"), self.schema)
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.index = pa.ipc.new_file(fs.open_output_stream(f"{path}.index.arrow"), self.index_schema)
@@ -115,11 +129,12 @@ class _Writer:
     def schema(self) -> pa.Schema:
         return pa.schema([("ids", pa.list_(pa.field("item", self.kind, nullable=False), self.length)), ("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), self.length))])
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.total, len(ids)))
-        self.total += len(ids)
-        self.waiting += len(ids)
-        self.held.append(ids)
+    def add(self, doc_id: int | None, ids: np.ndarray, end: int) -> None:
+        n = len(ids) + 1
+        self.docs.append((doc_id, self.total, n))
+        self.total += n
+        self.waiting += n
+        self.held += [ids, np.array([end], self.dtype)]
         if self.waiting >= ROWS * self.length:
             stream = np.concatenate(self.held)
             whole = len(stream) // (ROWS * self.length) * ROWS * self.length
@@ -131,7 +146,7 @@ class _Writer:
 
     def _batch(self, stream: np.ndarray) -> None:
         rows = -(-len(stream) // self.length)
-        ids = np.zeros(rows * self.length, self.kind.to_pandas_dtype())
+        ids = np.zeros(rows * self.length, self.dtype)
         ids[: len(stream)] = stream
         mask = np.arange(len(ids)) < len(stream)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x, f.type.value_type), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
@@ -143,7 +158,7 @@ class _Writer:
             self.docs = []
 
     def close(self) -> None:
-        rest = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        rest = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
         if len(rest):
             self._batch(rest)
         self._index()
@@ -166,13 +181,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, len
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         count = 0
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=2 * BATCH_BYTES):
                 if writer is None:
-                    encoder = Encoder(path)
+                    encoder = _encoder(path)
                     writer = _Writer(fs, f"{root}/{name}", encoder.wide, length)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    writer.add(doc_id, np.append(ids, np.uint32(end)))
+                ids, sizes = encoder.encode(part.column("text"))
+                for doc_id, one in zip(part.column("doc_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                    writer.add(doc_id, one, end)
                     count += 1
+            release()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "docs": pa.array([count], pa.int64()), "ids": pa.array([writer.total], pa.int64())})
