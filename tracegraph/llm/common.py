@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -55,13 +57,34 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES
     yield batch.slice(start)
 
 
+def release(whole: bool = True) -> None:
+    """Give memory that is no longer used back to the system; workers outlive their tasks."""
+    if whole:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
-    """Run ``make()`` once a task, and what it returns on bounded parts of each Arrow batch."""
+    """Run ``make()`` once a task, and what it returns on bounded parts of each Arrow batch.
+
+    Batches that Spark sends are held to ``BATCH_BYTES`` by a session setting, unless it is set lower already.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB") if conf.get(key).rstrip("bB").isdigit() else 1 << 60) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in pieces(batch, column, limit):
                 yield work(part)
+                release(whole=False)
+            release()
+        del work
+        release()
 
     return df.mapInArrow(run, schema)

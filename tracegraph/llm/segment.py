@@ -36,7 +36,7 @@ from .vocabulary import LITERAL, SPACE, Trie, default_model, firsts, log_sums, v
 
 SAMPLES, SEED = 2, 17
 #: Edges that a task keeps for words that it has seen; beyond, it starts anew (which changes no result).
-KEPT_EDGES = 1_500_000
+KEPT_EDGES = 300_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _M = (1 << 64) - 1
@@ -118,8 +118,8 @@ class Lattices:
 
     def add(self, words: list[str]) -> None:
         parts, base, edge = [], len(self.first) - 1, len(self.within)
-        for i in range(0, len(words), 10_000):
-            parts.append(self.built(words[i : i + 10_000], base, edge))
+        for i in range(0, len(words), 5_000):
+            parts.append(self.built(words[i : i + 5_000], base, edge))
             base, edge = base + len(parts[-1][4]), edge + len(parts[-1][0])
         for name, *new in zip(("within", "stop", "piece", "log", "first", "start"), *parts, strict=True):
             setattr(self, name, np.concatenate([getattr(self, name), *new]))
@@ -319,7 +319,7 @@ def encode(docs: DataFrame, keep: list[str], k: int = SAMPLES, seed: int = SEED,
 
         return work
 
-    return map_texts(seen, make, schema, limit=BATCH_BYTES // 4)
+    return map_texts(seen, make, schema, limit=BATCH_BYTES // 8)
 
 
 def decode_ids(ids: bytes | None, model: str) -> str | None:
