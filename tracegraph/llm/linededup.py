@@ -2,19 +2,22 @@
 
 A line's tokens are its distinct words (between spaces). Two lines match when the Jaccard similarity of their token
 sets is 0.8 or more. A line is removed when an earlier line (by doc_id, then place, null doc_ids first) matches it, removed or not;
-so what stays doesn't depend on the order of work. Lines of equal token sets form a class, of which only the first can
-stay; whether it does is decided between classes:
+so what stays doesn't depend on the order of work. Of lines with one text only the first can stay. Whether it does is decided by a join:
 
-1. Tokens are ordered by rarity (counts of 2^15 hash buckets, a table of fixed size), then by hash. A match of two lines
+1. Tokens are ordered by rarity (counts of 2^14 hash buckets, a table of fixed size), then by hash. A match of two lines
    shows in their prefixes: the n - ceil(0.8 n) + 1 rarest tokens of each.
-2. A semi-join of prefix tokens finds classes with any likely partner. Its condition has the length filter, the positional filter (exact at
-   the first common token) and a bound of the overlap from 64-bit signatures. It yields each class at most once for a token, never pairs.
-3. Only those classes, told apart by a bitmap of fixed size, carry their tokens into a second semi-join, whose condition verifies the
-   Jaccard similarity and the order. It stops at the first earlier match.
+2. A semi-join of prefix tokens finds, for each line and token, whether any partner is likely. Its condition has the length filter, the
+   positional filter (exact at the first common token) and a bound of the overlap from 192-bit signatures. It yields no pairs.
+3. Only those lines carry their tokens into a second semi-join on those tokens, whose condition verifies the Jaccard similarity and the
+   order. It stops at the first earlier match.
 
-Tokens are compared as 56-bit hashes within a pair of lines, classes as 128-bit hashes. Lines without words are never
+Texts with many copies would fill one task with rows of one token; of them only the first line goes into the joins. They are told
+by a table of at most ``HEAVY`` rows: texts with more than 1 / ``HEAVY`` of all lines. What tells other lines apart before a join is a bitmap
+of fixed size.
+
+Tokens are compared as 56-bit hashes within a pair of lines, texts as 128-bit hashes. Lines without words are never
 removed. Null texts have no lines, empty texts one. Rows that repeat a doc_id are one document whose lines count together; lines
-at equal places with equal sets are both first. An empty table gives an empty result.
+at equal places are both first. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .common import checkpoint
 
-BUCKETS = 1 << 15
+BUCKETS, HEAVY = 1 << 14, 10_000
 
 
 def _words(line: Column) -> Column:
@@ -33,73 +36,80 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, at, line) of lines that have words."""
+    """(doc, at, line, h1, h2) of lines that have words; h1 and h2 are hashes of the line."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     rows = docs.where("text is not null").select(doc.alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.where(F.col("line").rlike("[^ ]"))
+    return rows.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def _ranks(docs: DataFrame) -> bytearray:
-    """The rank of each hash bucket by how often its words occur, 0 to 120. A row for each bucket comes to the driver."""
-    word = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
+def _ranks(docs: DataFrame) -> Column:
+    """The rank of each hash bucket by how often its words occur, as an array. A row for each bucket comes to the driver."""
+    word = _lines(docs).select(F.explode(F.split("line", " ")).alias("w"))
     counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id")).agg(F.count("*").alias("c"))
-    ranks = bytearray(BUCKETS)
+    ranks = [0] * BUCKETS
     for r in counts.select("id", F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(120)).alias("r")).collect():
         ranks[r.id] = r.r
-    return ranks
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _sets(docs: DataFrame, ranks: bytearray) -> DataFrame:
-    """(doc, at, t, n, h1, h2) of each line with words: its tokens by rarity, their number and hashes."""
-    table = F.lit(ranks)
+def _tokens(ranks: Column) -> Column:
+    """The distinct tokens of ``line`` by rarity: rank in the high bits, hash below."""
 
     def token(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.ascii(F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        return F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    t = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), token)))
-    return _lines(docs).select("doc", "at", t.alias("t")).withColumns({"n": F.size("t"), "h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(7), F.col("t"))})
+    return F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), token)))
 
 
 def _prefix() -> Column:
     return F.slice("t", F.lit(1), (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int"))
 
 
+def _signature(shift: int) -> Column:
+    one = F.lit(1).cast("long")
+    return F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))))
+
+
 _LENGTH = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
 _PLACE = "9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
-_SIGN = "9 * least(x.n - bit_count(x.bits & ~y.bits), y.n - bit_count(y.bits & ~x.bits)) >= 4 * (x.n + y.n)"
+# each signature bounds what one line has and the other hasn't
+_SIGN = " and ".join(f"9 * least(x.n - bit_count(x.{s} & ~y.{s}), y.n - bit_count(y.{s} & ~x.{s})) >= 4 * (x.n + y.n)" for s in ("s1", "s2", "s3"))
 _EARLIER = "(y.doc, y.at, y.h1) < (x.doc, x.at, x.h1)"
+_VERIFIED = "9 * size(array_intersect(x.t, y.t)) >= 4 * (x.n + y.n)"
 
 
-def _likely(sets: DataFrame) -> DataFrame:
-    """h1 of the classes that share a prefix token with another that may match."""
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    marked = sets.select("h1", "n", bits.alias("bits"), _prefix().alias("p"))
-    posts = marked.select("h1", "n", "bits", F.posexplode("p").alias("i", "token")).repartition("token").distinct()
+def _likely(lines: DataFrame, tokens: Column) -> DataFrame:
+    """(h1, tokens): the prefix tokens of a line at which some other line may match."""
+    sets = lines.select("h1", tokens.alias("t")).withColumn("n", F.size("t"))
+    marked = sets.select("h1", "n", *(_signature(6 * k).alias(f"s{k + 1}") for k in range(3)), _prefix().alias("p"))
+    posts = marked.select("h1", "n", "s1", "s2", "s3", F.posexplode("p").alias("i", "token"))
     x, y = posts.alias("x"), posts.alias("y")
-    return x.join(y, F.expr(f"x.token = y.token and x.h1 != y.h1 and {_LENGTH} and {_PLACE} and {_SIGN}"), "left_semi").select("h1").distinct()
+    found = x.join(y, F.expr(f"x.token = y.token and x.h1 != y.h1 and {_LENGTH} and {_PLACE} and {_SIGN}"), "left_semi")
+    return found.groupBy("h1").agg(F.collect_set("token").alias("tokens"))
 
 
-def _beaten(sets: DataFrame, likely: DataFrame) -> DataFrame:
-    """(h1, h2) of the classes whose first line has an earlier match."""
-    some = bitmap.maybe_in(sets, bitmap.build(likely, "h1"), "h1", "__maybe").where("__maybe")
-    first = some.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at", "t", "n")).alias("f")).select("h1", "h2", "f.*")
-    posts = checkpoint(first).select("h1", "h2", "doc", "at", "n", "t", F.posexplode(_prefix()).alias("i", "token"))
+def _beaten(lines: DataFrame, tokens: Column, likely: DataFrame) -> DataFrame:
+    """(doc, at) of the lines that an earlier one of another text matches."""
+    some = bitmap.maybe_in(lines, bitmap.build(likely, "h1"), "h1", "__maybe").where("__maybe")
+    sets = some.select("doc", "at", "h1", tokens.alias("t")).withColumn("n", F.size("t")).join(likely, "h1")
+    posts = sets.select("doc", "at", "h1", "t", "n", F.explode("tokens").alias("token")).withColumn("i", F.array_position("t", F.col("token")) - 1)
     x, y = posts.alias("x"), posts.alias("y")
-    verified = "9 * size(array_intersect(x.t, y.t)) >= 4 * (x.n + y.n)"
-    return x.join(y, F.expr(f"x.token = y.token and {_LENGTH} and {_PLACE} and {_EARLIER} and {verified}"), "left_semi").select("h1", "h2").distinct()
+    return x.join(y, F.expr(f"x.token = y.token and {_LENGTH} and {_PLACE} and {_EARLIER} and {_VERIFIED}"), "left_semi").select("doc", "at").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, at) of every line that an earlier one matches. ``doc`` is doc_id, the least long for null."""
-    sets = _sets(docs.select("doc_id", "text"), _ranks(docs))
-    beaten = checkpoint(_beaten(sets, checkpoint(_likely(sets))))
-    lines = checkpoint(sets.select("doc", "at", "h1", "h2"))
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"))
-    judged = first.join(beaten.withColumn("lost", F.lit(True)), ["h1", "h2"], "left")
-    again = lines.join(judged, ["h1", "h2"])
-    return again.where("lost or f.doc != doc or f.at != at").select("doc", "at").distinct()
+    lines = _lines(docs.select("doc_id", "text"))
+    places = checkpoint(lines.select("doc", "at", "h1", "h2"))
+    first = checkpoint(places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("copies")))
+    least = max(1000, places.count() // HEAVY)
+    heavy = first.where(F.col("copies") > least).select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"))
+    one = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where("fdoc is null or (fdoc = doc and fat = at)").drop("fdoc", "fat")
+    tokens = _tokens(_ranks(docs))
+    beaten = _beaten(one, tokens, checkpoint(_likely(one, tokens)))
+    again = places.join(first, ["h1", "h2"]).where("f.doc != doc or f.at != at").select("doc", "at")
+    return again.union(beaten).distinct()
 
 
 def line_report(docs: DataFrame) -> DataFrame:
