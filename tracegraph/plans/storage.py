@@ -53,8 +53,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _hadoop(spark, path)
     if not fs.exists(p):
         return None
-    rows = spark.read.text(path, wholetext=True).collect()
-    return rows[0].value if rows else ""
+    stream = fs.open(p)  # Spark's own readers hide names that start with an underscore
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
