@@ -7,7 +7,7 @@ so what stays doesn't depend on the order of work. Of lines with one text only t
 1. Tokens are ordered by rarity (counts of 2^14 hash buckets, a table of fixed size), then by hash. A match of two lines
    shows in their prefixes: the n - ceil(0.8 n) + 1 rarest tokens of each.
 2. A semi-join of prefix tokens finds, for each line and token, whether any partner is likely. Its condition has the length filter, the
-   positional filter (exact at the first common token) and a bound of the overlap from 192-bit signatures. It yields no pairs.
+   positional filter (exact at the first common token) and a bound of the overlap from 128-bit signatures. It yields no pairs.
 3. Only those lines carry their tokens into a second semi-join on those tokens, whose condition verifies the Jaccard similarity and the
    order. It stops at the first earlier match.
 
@@ -66,15 +66,17 @@ def _prefix() -> Column:
     return F.slice("t", F.lit(1), (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int"))
 
 
-def _signature(shift: int) -> Column:
-    one = F.lit(1).cast("long")
-    return F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def _signature(half: int) -> Column:
+    """64 bits for the tokens whose seventh bit is ``half``."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda x: x.bitwiseAND(F.lit(64)) == 64 * half
+    return F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when(mine(x), a.bitwiseOR(bit(x))).otherwise(a))
 
 
 _LENGTH = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
 _PLACE = "9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
-# each signature bounds what one line has and the other hasn't
-_SIGN = " and ".join(f"9 * least(x.n - bit_count(x.{s} & ~y.{s}), y.n - bit_count(y.{s} & ~x.{s})) >= 4 * (x.n + y.n)" for s in ("s1", "s2", "s3"))
+# bits of one line that the other hasn't are tokens that it hasn't
+_SIGN = "9 * least(x.n - bit_count(x.s1 & ~y.s1) - bit_count(x.s2 & ~y.s2), y.n - bit_count(y.s1 & ~x.s1) - bit_count(y.s2 & ~x.s2)) >= 4 * (x.n + y.n)"
 _EARLIER = "(y.doc, y.at, y.h1) < (x.doc, x.at, x.h1)"
 _VERIFIED = "9 * size(array_intersect(x.t, y.t)) >= 4 * (x.n + y.n)"
 
@@ -82,8 +84,8 @@ _VERIFIED = "9 * size(array_intersect(x.t, y.t)) >= 4 * (x.n + y.n)"
 def _likely(lines: DataFrame, tokens: Column) -> DataFrame:
     """(h1, tokens): the prefix tokens of a line at which some other line may match."""
     sets = lines.select("h1", tokens.alias("t")).withColumn("n", F.size("t"))
-    marked = sets.select("h1", "n", *(_signature(6 * k).alias(f"s{k + 1}") for k in range(3)), _prefix().alias("p"))
-    posts = marked.select("h1", "n", "s1", "s2", "s3", F.posexplode("p").alias("i", "token"))
+    marked = sets.select("h1", "n", *(_signature(k).alias(f"s{k + 1}") for k in range(2)), _prefix().alias("p"))
+    posts = marked.select("h1", "n", "s1", "s2", F.posexplode("p").alias("i", "token"))
     x, y = posts.alias("x"), posts.alias("y")
     found = x.join(y, F.expr(f"x.token = y.token and x.h1 != y.h1 and {_LENGTH} and {_PLACE} and {_SIGN}"), "left_semi")
     return found.groupBy("h1").agg(F.collect_set("token").alias("tokens"))
