@@ -100,9 +100,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int
     """``keep`` columns and ``text`` of ``docs``, with n_words, hits (word spans, end exclusive, merged) and items (sorted ids).
 
     One pass over the documents for each block of the benchmark. What is sent to the executors is one block, of at
-    most ``block_chars`` characters or one item.
+    most ``block_chars`` characters or one item. Columns to keep that are named like the new ones give way to them.
     """
-    kept = [c for c in dict.fromkeys(keep) if c != "text"]
+    kept = [c for c in dict.fromkeys(keep) if c not in ("text", "n_words", "hits", "items")]
     out = docs.select(*kept, "text", F.lit(0).cast("long").alias("__words"), F.array().cast("array<struct<a:int,b:int>>").alias("__hits"), F.array().cast("array<string>").alias("__items"))
     schema = out.schema
     arrow = pa.struct([("a", pa.int32()), ("b", pa.int32())])

@@ -177,7 +177,8 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs``, lang_pred and score, for every row."""
+    """``keep`` columns of ``docs``, lang_pred and score, for every row. Columns to keep that are named like these give way to them."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     seen = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = [f for f in seen.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"

@@ -128,7 +128,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``findings``, an array of (kind, a, b)."""
+    """``keep`` columns of ``docs`` and ``findings``, an array of (kind, a, b). A column of that name gives way to it."""
+    keep = [c for c in keep if c != "findings"]
     seen = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = [f for f in seen.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", findings array<struct<kind:string,a:int,b:int>>"

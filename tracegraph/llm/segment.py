@@ -296,8 +296,9 @@ def ids_of(lattices: Lattices, path: _Path) -> np.ndarray:
 def encode(docs: DataFrame, keep: list[str], k: int = SAMPLES, seed: int = SEED, model: str | None = None, key: str = "doc_id", verify: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` once for each sample, with sample (1 to k), ids (32-bit little-endian), log_prob,
     score and inclusion. ``key`` is a long column that seeds the row; null counts as 0. With ``verify`` also ``exact``:
-    whether decoding the ids gives the text."""
+    whether decoding the ids gives the text. Columns to keep that are named like these give way to them."""
     model = model or default_model()
+    keep = [c for c in keep if c not in ("sample", "ids", "log_prob", "score", "inclusion", "exact")]
     seen = docs.select(*dict.fromkeys([*keep, key, "text"]))
     fields = [f for f in seen.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sample int, ids binary, log_prob double, score double, inclusion double" + ", exact boolean" * verify
@@ -333,6 +334,7 @@ def decode_ids(ids: bytes | None, model: str) -> str | None:
 def decode(encoded: DataFrame, keep: list[str], model: str | None = None) -> DataFrame:
     """``keep`` columns of ``encoded`` and the decoded ``text`` of its ``ids``."""
     model = model or default_model()
+    keep = [c for c in keep if c != "text"]
     fields = [f for f in encoded.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
 
