@@ -29,8 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return decontaminate.find_overlaps(whole, benchmark, ["row"]).where(F.size("hits") == 0).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
