@@ -3,7 +3,8 @@
 Each step works on what the one before could not tell apart. Lengths that occur once and (length, prefix hash) pairs
 that occur once are settled. Which rows survive is handed to the last scan as a bitmap of fixed size (see ``bitmap``),
 so that it takes the full SHA-256 of survivors in place, without moving any text. Groups are pre-aggregated before
-each shuffle; a large group is then joined back by a plain equi-join, whose hot partitions AQE splits.
+each shuffle. Rows then meet their groups: groups of more than 1 / ``HEAVY`` of all rows, ``HEAVY`` at most, are
+broadcast, so that no join key has more rows than that.
 
 Null texts count as empty. Texts are equal when identical after no change. Of equal texts the row with the largest
 doc_id stays; a null doc_id is smaller than any other. Every input row gives a row: rows that repeat a doc_id
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
+from .common import checkpoint
 
-PREFIX_CHARS = 256
+PREFIX_CHARS, HEAVY = 256, 10_000
 
 
 def _grouped(docs: DataFrame, carry: dict[str, Column], prefix_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +35,7 @@ def _grouped(docs: DataFrame, carry: dict[str, Column], prefix_chars: int) -> tu
     rows = bitmap.maybe_in(rows, survivors, "__prefix", "__open")
     # a settled row is a group of its own, under a key that no hash has
     key = F.when(F.col("__open"), F.sha2(F.col("__text"), 256)).otherwise(F.concat(F.lit("row "), F.col("__row").cast("string")))
-    rows = rows.select("doc_id", key.alias("__key"), "__open", *carry)
+    rows = rows.select("doc_id", key.alias("__key"), "__open", "__row", *carry)
     groups = rows.where("__open").groupBy("__key").agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__size"))
     return rows, groups
 
@@ -42,7 +44,12 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix_
     """doc_id, keep_id, group_size, kept and the ``carry`` expressions (evaluated over ``docs``) for each row."""
     extra = {f"__x{i}": c for i, c in enumerate((carry or {}).values())}
     rows, groups = _grouped(docs, extra, prefix_chars)
-    out = rows.join(groups, "__key", "left")
+    groups = checkpoint(groups.where("__size > 1"))
+    least = max(1000, docs.count() // HEAVY)
+    heavy = groups.where(F.col("__size") > least).select("__key", F.col("__keep").alias("__hkeep"), F.col("__size").alias("__hsize"))
+    apart = rows.join(F.broadcast(heavy), "__key", "left")
+    apart = apart.withColumn("__key", F.when(F.col("__hsize").isNull(), F.col("__key")).otherwise(F.concat(F.lit("row "), F.col("__row").cast("string"))))
+    out = apart.join(groups.where(F.col("__size") <= least), "__key", "left").withColumns({"__keep": F.coalesce("__hkeep", "__keep"), "__size": F.coalesce("__hsize", "__size")})
     keep = F.when(F.col("__size").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), *(F.col(k).alias(name) for k, name in zip(extra, carry or {}, strict=True)))
 
