@@ -70,6 +70,9 @@ def test_read_crossref(spark, tmp_path):
     defs = spark.createDataFrame([(0, "helper", "function", "a.c", 3, 3, False, None), (1, "total", "global", "a.c", 2, 2, False, None)], schema.DEFINITIONS)
     kept = crossref.wanted(got, defs)
     assert {(r.op, r.name) for r in kept.collect()} == {("call", "helper"), ("ref", "total"), ("assign", "total"), ("include", "deep.h")}
+    (tmp_path / "part.out").write_text(HEAD + "\n\t@a.c\n\n9x9 \nname\n\n\n\t@b.c\n\n1 \n\t`f\n()\n\n\t@\n0\n")
+    part = crossref.read_crossref(spark, str(tmp_path / "part.out"))
+    assert [r.file for r in crossref.bad_sections(part).collect()] == ["a.c"] and part.where("op = 'call'").count() == 1
     (tmp_path / "bad.out").write_text("cscope 15 /tmp 000\n\t@\n")
     with pytest.raises(crossref.CrossrefError, match="format"):
         crossref.read_crossref(spark, str(tmp_path / "bad.out"))

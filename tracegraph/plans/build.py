@@ -79,15 +79,18 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", state.alias("change")).where("change is not null")
 
 
-def rebuild(spark: SparkSession, facts: Facts, before: Graph) -> Graph:
+def rebuild(spark: SparkSession, facts: Facts, before: Graph, inputs_changed: bool = False) -> Graph:
     """The graph of ``facts``, keeping index edges of ``before`` that no change can have touched.
 
+    If no file changed, ``before`` is the result, unless the caller says that other inputs did (the manual table, module
+    rules or commits).
+
     An edge goes if its site is in a touched file or an end was defined in one, before or now. What is looked up again: every
     name that such files define or mention, and the targets of edges that went for their source. All other layers are
     computed in full, so the result equals a full build, but for the tags of a semantic import.
     """
     changed = storage.checkpoint(changes(before.files, facts.files))
-    if changed.isEmpty():
+    if changed.isEmpty() and not inputs_changed:
         return before
     touched = changed.where("change != 'deleted'").select("path")
     gone = changed.select("path")

@@ -119,7 +119,10 @@ def read_crossref(spark: SparkSession, path: str) -> DataFrame:
         names = ["op", "name", "scope", "file", "line", "text"]
         for batch in batches:
             for section in batch.column("value").to_pylist():
-                found = list(read_section(section)) if section and not section.startswith("\n") else []
+                try:
+                    found = list(read_section(section)) if section and not section.startswith("\n") else []
+                except (ValueError, IndexError) as e:  # one bad section doesn't fail the build; it is counted
+                    found = [("bad", "", GLOBAL, section.split("\n", 1)[0], 0, str(e))]
                 for i in range(0, len(found), 20_000):
                     columns = zip(*found[i : i + 20_000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "line" else pa.string()) for n, c in zip(names, columns, strict=True)], names)
@@ -127,6 +130,11 @@ def read_crossref(spark: SparkSession, path: str) -> DataFrame:
     return sections.mapInArrow(run, "op string, name string, scope string, file string, line int, text string").withColumn("seq", F.col("line").cast("long"))
 
 
+def bad_sections(occurrences: DataFrame) -> DataFrame:
+    """(file, reason) of sections that couldn't be read."""
+    return occurrences.where("op = 'bad'").select("file", F.col("text").alias("reason"))
+
+
 def wanted(occurrences: DataFrame, definitions: DataFrame) -> DataFrame:
     """Only calls of functions and macros, references and assignments of globals, and includes."""
     of = lambda *kinds: definitions.where(F.col("kind").isin(*kinds)).select("name").distinct()
