@@ -37,10 +37,20 @@ def test_layout_and_coreference(spark):
 def test_entities_are_found_and_clean_text_stays(spark):
     clean = ["version 4.0.1 and 1.2.3.4.5", "token 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "on 12.11.2024, 3 - 4 o'clock", "Mr and Mrs", "a@b", "", None, "Über Straße 1234567890"]
     assert replaced(spark, clean) == clean
-    hit = ["x +44 20 7946 0958 y", "(017) 555-7713", "212.555.0199", "4845168114407329!!", "of.55@mail9.example.com", "DE89 3704 0044 0532 0130 00", "a 255.1.0.9.", "Herr Groß-Klein"]
+    hit = ["x +44 20 7946 0958 y", "(017) 555-7713", "212.555.0199", "4845168114407329!!", "of.55@mail9.example.com", "DE89 3704 0044 0532 0130 00", "a 255.1.0.9.", "Herr Groß-Klein", "by Maria Garcia Lopez, or John F. Smith", "1-800-555-0100", "(212) 555 0100"]
     assert all(a != b for a, b in zip(replaced(spark, hit), hit, strict=True))
 
 
+def test_gender_and_script_of_names(spark):
+    out = replaced(spark, ["Maria Garcia met Mr Garcia", "John Smith and John Smith", "Иван Петров", "Frau Anna Schmidt", "John Nobody's, Smith Anna"])
+    first = lambda t: t.split()[0]
+    assert first(out[0]) in pii.GIVEN["latin", "f"] and out[0].split()[1] != out[0].split()[4]
+    assert first(out[1]) in pii.GIVEN["latin", "m"] and out[1].split(" and ")[0] == out[1].split(" and ")[1] and "Smith" not in out[1]
+    assert first(out[2]) in pii.GIVEN["cyrillic", "m"] and re.fullmatch(r"[А-Я][а-я]+ [А-Я][а-я]+", out[2])
+    assert out[3].split()[0] == "Frau" and out[3].split()[1] in pii.GIVEN["latin", "f"] and "Schmidt" not in out[3]
+    assert "Nobody" not in out[4] and out[4].endswith("Smith Anna")
+
+
 def test_distinct_entities_stay_distinct(spark, monkeypatch):
     """Few replacements for many entities: draws repeat until none is shared and none is an entity."""
     texts = [f"from 1.{i % 10}.{i // 10}.9" for i in range(100)] + [f"{a}@b{c}.cc" for a in "abcdefgh" for c in range(10)]

@@ -1,10 +1,10 @@
 """Surrogates for personal data, by DataFrame and SQL functions only.
 
-Kinds: e-mail addresses, IBANs, IPv4 addresses, social security numbers, phone numbers, card numbers, and names after a
-form of address. Every distinct entity gets a replacement that is a keyed hash of its kind and canonical form, in the
+Kinds: e-mail addresses, IBANs, IPv4 addresses, social security numbers, phone numbers, card numbers, and names: after a
+form of address, or a common given name with a surname. Every distinct entity gets a replacement that is a keyed hash of its kind and canonical form, in the
 entity's own layout: digits for digits, letters of the same case for letters, the same punctuation, top-level domain and
 country code, a valid Luhn digit if there was one, octets of as many digits. A name keeps its form of address and gets a
-given name of that gender and a surname in the same script.
+given name of the same gender and a surname in the same script.
 
 Coreference: forms that differ in layout or case only (``+1 (212) 555-0100``, ``+1 212-555-0100``) are one entity and get one
 replacement, written in the layout of each place. Distinctness: replacements that two entities share, or that are an
@@ -33,15 +33,18 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra"
 NEUTRAL = ("Dr", "Prof")
 # Given names, by script and gender.
 GIVEN = {
-    ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leon", "Martin", "Oscar", "Simon"),
-    ("latin", "f"): ("Alice", "Bella", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Laura", "Marta", "Sofia"),
+    ("latin", "m"): ("Adam", "Albert", "Alexander", "Andrew", "Anthony", "Antonio", "Benjamin", "Bruno", "Carl", "Carlos", "Charles", "Christian", "Christopher", "Daniel", "David", "Edward", "Emil", "Felix", "François", "Friedrich", "George", "Hans", "Hugo", "Jacques", "James", "Javier", "Jean", "John", "Jonas", "José", "Joseph", "Juan", "Jürgen", "Klaus", "Leon", "Louis", "Luis", "Martin", "Matthew", "Michael", "Miguel", "Oscar", "Paul", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Simon", "Stefan", "Thomas", "William"),
+    ("latin", "f"): ("Alice", "Amélie", "Anna", "Barbara", "Bella", "Camille", "Carmen", "Caroline", "Charlotte", "Clara", "Claudia", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Flora", "Greta", "Hannah", "Heike", "Helen", "Irene", "Isabel", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Laura", "Linda", "Lucía", "Maria", "María", "Marie", "Marta", "Mary", "Monika", "Nancy", "Olivia", "Patricia", "Sabine", "Sarah", "Sofia", "Sophie", "Susan", "Ursula"),
     ("latin", "u"): ("Alex", "Casey", "Jamie", "Jordan", "Kim", "Robin", "Sam", "Taylor"),
-    ("cyrillic", "m"): ("Андрей", "Борис", "Виктор", "Иван", "Олег", "Павел"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Ольга"),
+    ("cyrillic", "m"): ("Алексей", "Андрей", "Борис", "Виктор", "Дмитрий", "Иван", "Михаил", "Олег", "Павел", "Сергей"),
+    ("cyrillic", "f"): ("Анна", "Вера", "Екатерина", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"),
     ("cyrillic", "u"): ("Саша", "Женя", "Валя"),
 }
 
-_NAME = r"(?<![\p{L}\d])(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"
+_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
+_COMMON = "(?:" + "|".join(sorted((n for (_, g), pool in GIVEN.items() if g != "u" for n in pool), key=len, reverse=True)) + ")"
+_CAPITAL = r"\p{Lu}\p{Ll}+"
+_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE} {_CAPITAL}(?:[ -]{_CAPITAL}){{0,2}}|{_COMMON}(?: \p{{Lu}}\.)?(?:[ -]{_CAPITAL}){{1,2}})(?!\p{{L}})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = "|".join(
     (
@@ -51,8 +54,8 @@ PATTERN = "|".join(
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<![\p{L}\d+])\+\d{1,3}[ -]?\(\d{1,4}\)[ -]?\d{3}[ .-]?\d{4}(?!\d)",
         r"(?<![\p{L}\d+])\+\d{1,3}(?:[ -]?\d{2,4}){2,4}(?!\d|\.\d)",
-        r"(?<![\p{L}\d])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)",
-        r"(?<![\p{L}\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\d-])",
+        r"(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+        r"(?<![\p{L}\d.-])(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\d-])",
         r"(?<![\p{L}\d])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\d])",
         r"(?<![\p{L}\d])\d{13,19}(?![\p{L}\d])",
         _NAME,
@@ -67,14 +70,17 @@ def _kind(m: Column) -> Column:
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\p{L}"), "name")
-        .when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
+        .when(m.rlike(r"^[+(]|^(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
         .otherwise("card")
     )
 
 
 def _gender(m: Column) -> Column:
-    title = F.regexp_extract(m, r"^(\p{L}+)", 1)
-    return F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("u")
+    title = F.regexp_extract(m, rf"^({_TITLE}) ", 1)
+    word = F.regexp_replace(title, r"\.$", "")
+    given = F.regexp_extract(m, rf"^(?:{_TITLE} )?(\p{{L}}+)", 1)
+    men, women = ([n for (_, g), pool in GIVEN.items() if g == k for n in pool] for k in "mf")
+    return F.when(word.isin(*MALE), "m").when(word.isin(*FEMALE), "f").when(given.isin(*men), "m").when(given.isin(*women), "f").otherwise("u")
 
 
 def _script(m: Column) -> Column:
@@ -183,15 +189,15 @@ def _rendered(m: Column, kind: Column, surrogate: Column, key: str) -> Column:
         lambda a, c: F.when(c.rlike(r"[A-Za-z\d]"), F.struct(F.concat(a.s, F.substring(surrogate, a.k, F.lit(1))).alias("s"), (a.k + 1).alias("k"))).otherwise(F.struct(F.concat(a.s, c).alias("s"), a.k.alias("k"))),
         lambda a: a.s,
     )
-    title = F.regexp_extract(m, r"^(\p{L}+\.? )", 1)
-    given = F.regexp_extract(m, r"^\p{L}+\.? ((?:\p{L}+[ -])*)\p{L}+$", 1)
+    title = F.regexp_extract(m, rf"^({_TITLE} )", 1)
+    given = F.regexp_extract(m, rf"^(?:{_TITLE} )?((?:\p{{L}}+\.?[ -])*)\p{{L}}+$", 1)
     h = F.pmod(F.xxhash64(F.lit(key), F.lower(given)), F.lit(1 << 20))
     names = F.lit("")
     for (script, gender), pool in GIVEN.items():
         pick = F.element_at(F.array(*map(F.lit, pool)), (F.pmod(h, F.lit(len(pool))) + 1).cast("int"))
         names = F.when((_script(m) == script) & (_gender(m) == gender), pick).otherwise(names)
     # as many given names as there were, with what stood between them
-    seps = F.regexp_replace(given, r"\p{L}", "")
+    seps = F.regexp_replace(given, r"[\p{L}.]", "")
     name = F.concat(title, F.when(given == "", "").otherwise(F.concat(names, F.when(F.length(seps) > 1, F.concat(F.substring(seps, 1, 1), F.concat(F.substring(names, 1, 1), F.lit(".")))).otherwise(""), F.substring(seps, -1, 1))), surrogate)
     cased = F.when((kind == "email") & (m == F.upper(m)), F.upper(surrogate)).otherwise(surrogate)
     return F.when(surrogate.startswith("["), surrogate).when(kind.isin("phone", "card", "ssn", "iban"), fill).when(kind == "name", name).otherwise(cased)
