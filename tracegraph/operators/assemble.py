@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -59,17 +59,13 @@ def counts(df: DataFrame, *by: str) -> DataFrame:
 def truncated(df: DataFrame, order: list[Column], limit: int, by: list[str] | None = None) -> DataFrame:
     """The first rows of each group by ``order``, with total and truncated; a limit of 0 or less keeps all.
 
-    Totals are counted apart, so that a large group's rows are cut early by the rank filter that Spark pushes into its window."""
-    keys = by or []
-    if keys:
-        total = df.groupBy(*keys).agg(F.count("*").alias("total"))
-        with_total = df.join(total, keys)
+    Totals are counted apart, so that Spark cuts each group by rank before the shuffle as well as after it."""
+    if by:
+        with_total = df.join(df.groupBy(*by).agg(F.count("*").alias("total")), by)
+        if limit > 0:
+            rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+            with_total = df.withColumn("__r", rank).where(F.col("__r") <= limit).drop("__r").join(df.groupBy(*by).agg(F.count("*").alias("total")), by)
     else:
-        with_total = df.join(F.broadcast(df.agg(F.count("*").alias("total"))))
-    if limit > 0:
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order))
-        with_total = with_total.withColumn("__r", rank).where(F.col("__r") <= limit).drop("__r")
-        return with_total.withColumn("truncated", F.col("total") > limit)
-    return with_total.withColumn("truncated", F.lit(False))
+        total = df.agg(F.count("*").alias("total")).scalar()
+        with_total = (df.orderBy(*order).limit(limit) if limit > 0 else df).withColumn("total", total)
+    return with_total.withColumn("truncated", (F.col("total") > limit) & F.lit(limit > 0))
