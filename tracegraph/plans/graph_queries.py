@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as X
-from ..operators import assemble, layers, resolve, traverse
+from ..operators import assemble, layers, reports, resolve, traverse
 from ..sources import config as C
 from ..sources import files as S
 from . import build as B
@@ -536,22 +536,21 @@ def arm_pivot_median(spark, sf_dir):
 @query("""WITH s AS (SELECT role, regexp_extract(text, '^\\S+') AS sig, count(*) AS n, sum(strlen(text)) AS bytes FROM conversations GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY bytes DESC, sig) AS k FROM s)
     SELECT role, sig, n, CAST(bytes AS BIGINT) AS bytes, round(bytes / n, 2) AS avg_bytes FROM r WHERE k <= 12""")
 def topk_signatures(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = P.table(spark, sf_dir, "conversations").groupBy("role", F.regexp_extract("text", r"^\S+", 0).alias("sig")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    k = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("bytes"), "sig"))
-    return s.withColumn("k", k).where("k <= 12").select("role", "sig", "n", F.col("bytes").cast("long").alias("bytes"), F.round(F.col("bytes") / F.col("n"), 2).alias("avg_bytes"))
+    calls = P.table(spark, sf_dir, "conversations").select("role", F.regexp_extract("text", r"^\S+", 0).alias("sig"), F.octet_length("text").alias("bytes"))
+    return reports.top_signatures(calls, "role").select("role", "sig", F.col("calls").alias("n"), F.col("bytes").cast("long").alias("bytes"), F.round("avg_bytes", 2).alias("avg_bytes"))
 
 
 @query("SELECT l_returnflag AS arm, sum(CAST(l_quantity AS BIGINT)) AS turns, count(*) AS runs, round(sum(l_extendedprice), 2) AS cost FROM lineitem GROUP BY 1")
 def arm_sums(spark, sf_dir):
-    return P.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("arm")).agg(F.sum(F.col("l_quantity").cast("long")).alias("turns"), F.count("*").alias("runs"), F.round(F.sum("l_extendedprice"), 2).alias("cost"))
+    runs = P.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_quantity").cast("long").alias("turns"), F.col("l_extendedprice").alias("cost"))
+    return reports.sums(runs, "arm", ["turns", "cost"]).withColumn("cost", F.round("cost", 2))
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY ALL")
 def latest_run_upsert(spark, sf_dir):
     """Last wins: the newest row of each key."""
-    return P.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
+    rows = P.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return reports.latest(rows, ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", F.col("event_id").alias("last_id"))
 
 
 @query("SELECT DISTINCT c_custkey AS run FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
