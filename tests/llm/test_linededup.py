@@ -39,9 +39,8 @@ def test_against_all_pairs(spark):
 
 
 def test_hot_lines_are_cut_to_their_first(spark, monkeypatch):
-    monkeypatch.setattr(L, "HEAVY", 1)
+    monkeypatch.setattr(L, "LEAST", 3)
     rows = [(i, f"a hot line of every text\nown{i} word{i} x{i}\na hot line of every text now{i}") for i in range(40)]
-    monkeypatch.setattr("builtins.max", lambda *a, _max=max, **k: 3 if a == (1000, 120) else _max(*a, **k))
     assert {tuple(r) for r in L.removed_lines(docs_of(spark, rows)).collect()} == brute(rows)
 
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .common import checkpoint
 
-PREFIX_CHARS, HEAVY = 256, 10_000
+PREFIX_CHARS = 256
+#: A group is hot if it has more than 1 / HEAVY of all rows, and more than LEAST.
+HEAVY, LEAST = 10_000, 1000
 
 
 def _grouped(docs: DataFrame, carry: dict[str, Column], prefix_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +47,7 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, prefix_
     extra = {f"__x{i}": c for i, c in enumerate((carry or {}).values())}
     rows, groups = _grouped(docs, extra, prefix_chars)
     groups = checkpoint(groups.where("__size > 1"))
-    least = max(1000, docs.count() // HEAVY)
+    least = max(LEAST, docs.count() // HEAVY)
     heavy = groups.where(F.col("__size") > least).select("__key", F.col("__keep").alias("__hkeep"), F.col("__size").alias("__hsize"))
     apart = rows.join(F.broadcast(heavy), "__key", "left")
     apart = apart.withColumn("__key", F.when(F.col("__hsize").isNull(), F.col("__key")).otherwise(F.concat(F.lit("row "), F.col("__row").cast("string"))))

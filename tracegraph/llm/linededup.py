@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .common import checkpoint
 
-BUCKETS, HEAVY = 1 << 14, 10_000
+BUCKETS = 1 << 14
+#: A text is hot if it is more than 1 / HEAVY of all lines, and more than LEAST.
+HEAVY, LEAST = 10_000, 1000
 
 
 def _words(line: Column) -> Column:
@@ -105,7 +107,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs.select("doc_id", "text"))
     places = checkpoint(lines.select("doc", "at", "h1", "h2"))
     first = checkpoint(places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("copies")))
-    least = max(1000, places.count() // HEAVY)
+    least = max(LEAST, places.count() // HEAVY)
     heavy = first.where(F.col("copies") > least).select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"))
     one = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where("fdoc is null or (fdoc = doc and fat = at)").drop("fdoc", "fat")
     tokens = _tokens(_ranks(docs))
