@@ -23,7 +23,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, the document with the least doc_id."""
+    """Of near copies (five-word Jaccard of 0.8 or more), the document with the least doc_id."""
     return simhash.keep_one(docs)
 
 

@@ -118,3 +118,24 @@ def test_near_odd_rows(spark, odd_docs, no_docs):
     assert by[8].component_id == 7 and by[5].component_id == 4 and by[None].component_id is None
     assert all(int(r.fingerprint, 16) == fingerprint(t.text) for r in rows for t in odd_docs.where(F.col("doc_id") == r.doc_id).limit(1).collect())
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Edited copies of one another, in chains: the groups are those of five-word Jaccard 0.8 or more."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 30, 80, 300]))]
+        for _ in range(8):
+            texts.append(" ".join(words))
+            words = words[:]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(5000)}"
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = components(range(len(sets)), near)
+    docs = docs_of(spark, list(enumerate(texts)))
+    assert len(near) > 100 and sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root.values()))
+    far = [p for p in near if (simhash.fingerprint(texts[p[0]]) ^ simhash.fingerprint(texts[p[1]])).bit_count() > 2]
+    assert far

@@ -9,6 +9,12 @@ of it, so components need no other pairs.
 Null and empty texts have fingerprint zero, which is linked like any other. Texts of fewer than three words are one
 shingle. Repeated rows give a row each. An empty table gives an empty result. Rows with a null doc_id are kept out
 of links and get their own null component.
+
+The pipeline's stage (``keep_one``) has another rule: texts are near copies if their sets of five-word shingles have Jaccard
+0.8 or more. At 0.8 two fingerprints differ by about ten of 64 bits, which no ball reaches, so fingerprints (of five words)
+only propose pairs, as do 32 bands of four min-hashes; a pair of Jaccard 0.8 meets in no band with a chance of 5e-8. Every
+proposed pair is decided by its exact Jaccard. Rows of a band first meet the least of them; then those that are still in
+different components meet each other, so that a large group of copies makes no square of pairs.
 """
 
 from __future__ import annotations
@@ -26,24 +32,49 @@ from .common import checkpoint, map_texts
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: The stage's shingles, and its bands of min-hashes.
+WIDE, BANDS, ROWS = 5, 32, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def fingerprint(text: str | None) -> int:
+_rng = np.random.default_rng(SEED)
+_FLIP, _TIMES = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def hashes(text: str | None, size: int) -> np.ndarray:
+    """Of each shingle in turn; none for texts without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # at \x20 and \x09-\x0D
     if not words:
+        return np.zeros(0, "<u8")
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else iter([b" ".join(words)])
+    return np.fromiter(map(_hash, shingles), "<u8", max(1, len(words) - size + 1))
+
+
+def majority(found: np.ndarray) -> int:
+    n = len(found)
+    if not n:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else iter([b" ".join(words)])
-    n = max(1, len(words) - SHINGLE + 1)
-    bits = np.unpackbits(np.fromiter(map(_hash, shingles), "<u8", n).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(found.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     if n % 255:  # sums of 255 rows fit a byte
         bits = np.concatenate([bits, np.zeros((-n % 255, 64), np.uint8)])
     counts = bits.reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    return majority(hashes(text, size))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(found), 1024):
+        least = np.minimum(least, ((found[i : i + 1024, None] ^ _FLIP) * _TIMES).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
 
@@ -74,7 +105,62 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), own.alias("component_id"))
 
 
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, keys): the five-word fingerprint, the number of distinct shingles, the band keys."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp, n, keys = [], [], []
+        for t in batch.column("text").to_pylist():
+            found = hashes(t, WIDE)
+            apart = np.unique(found)
+            fp.append(majority(found))
+            n.append(len(apart))
+            keys.append(bands(apart))
+        columns = [batch.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "keys"])
+
+    return map_texts(docs.select("doc_id", "text"), lambda: work, "doc_id long, fp long, n int, keys array<long>")
+
+
+def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets of five-word shingles have Jaccard 0.8 or more. Two empty sets are alike."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(hashes(t, WIDE)).view(np.int64) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    ids = pairs.select("a").union(pairs.select("b"))
+    marks = bitmap.build(ids.select(F.xxhash64("a").alias("__key")), "__key")
+    asked = bitmap.maybe_in(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("__key")), marks, "__key", "__maybe").where("__maybe")
+    sets = map_texts(asked.select("doc_id", "text"), lambda: work, "doc_id long, shingles array<long>")
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return met.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of doc_ids of Jaccard 0.8 or more, whose components are those of all such pairs."""
+    rows = checkpoint(_sketches(docs.where("doc_id is not null")))
+    reps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    alike = rows.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links(reps))
+    keyed = rows.select("doc_id", "n", F.explode("keys").alias("key"))
+    groups = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = checkpoint(keyed.join(groups, "key"))
+    stars = shared.where("5 * least(n, m.n) >= 4 * greatest(n, m.n)").select(F.col("doc_id").alias("a"), F.col("m.doc_id").alias("b"))
+    first = checkpoint(alike.union(stars).where("a != b").distinct())
+    linked = checkpoint(similar(docs, first))
+
+    roots = connected_components(linked).withColumnRenamed("node", "doc_id")
+    placed = shared.drop("m").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("big"), F.count("*").alias("c"))
+    apart = checkpoint(placed.join(sizes.where("c > 1").drop("c"), "key"))
+    x, y = apart.where("root != big").alias("x"), apart.alias("y")
+    met = x.join(y, "key").where("x.root != y.root and (y.root = y.big or x.doc_id < y.doc_id) and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+    rest = met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+    more = checkpoint(rest.join(first, ["a", "b"], "left_anti"))
+    return linked if more.isEmpty() else linked.union(similar(docs, more))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component."""
-    dropped = checkpoint(near_duplicates(docs).where("doc_id != component_id").select("doc_id"))
+    """The rows of ``docs`` whose doc_id is the least of its component of near copies."""
+    dropped = checkpoint(connected_components(near_copies(docs)).where("node != root").select(F.col("node").alias("doc_id")))
     return bitmap.drop_ids(docs, dropped, "doc_id")
