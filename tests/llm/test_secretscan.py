@@ -46,3 +46,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = S.find_secrets(odd_docs, ["doc_id", "score"]).collect()
     assert len(rows) == odd_docs.count() and all(r.findings == [] for r in rows)
     assert S.find_secrets(no_docs, ["doc_id"]).where(F.size("findings") > 0).count() == 0
+
+
+def test_constants_of_many_parts():
+    parts = [f"pArt-{i:02}-of-Key{i * 7919}" for i in range(12)]
+    whole = " + ".join(f'"{p}"' for p in parts)
+    found = lambda text: [text[a:b] for k, a, b in S.scan(text) if k == "literal"]
+    assert found(f"private_key = {whole}") == found(f"block = {whole}\nprivate_key = block\n") == parts
+    lines = [f'c{i} = "{p}"' for i, p in enumerate(parts)] + ["all = " + " + ".join(f"c{i}" for i in range(12)), "private_key = all"]
+    assert found("\n".join(lines)) == parts
+    grown = ['x = "pArt-00-of-Key99"'] + ["x = x + x"] * 200 + ["private_key = x"]
+    assert found("\n".join(grown)) == ["pArt-00-of-Key99"]

@@ -66,8 +66,11 @@ def variety(literal: str) -> float:
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name."""
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEX.finditer(text)]
-    known: dict[str, tuple[tuple[int, int], ...]] = {}
+    # a constant is its parts: spans, and the constants (as they were) that it is built from
+    known: dict[str, list] = {}
     found: set[tuple[int, int]] = set()
+    held: list[list] = []  # keeps all constants, so that ids aren't used again
+    reached: dict[float, set[int]] = {}  # by weight, the constants whose literals have been scored
     i, n = 0, len(tokens)
     while i < n:
         kind, name, start, _ = tokens[i]
@@ -79,17 +82,17 @@ def literals(text: str) -> list[tuple[int, int]]:
         if i >= n or tokens[i][1] not in ("=", ":", ":=", "=>"):
             continue
         i += 1
-        spans: list[tuple[int, int]] = []
+        parts: list = []
         first = True
         while i < n:
             kind, word, a, b = tokens[i]
             if kind == "string":
-                spans.append((a + 1, b - 1))
+                parts.append((a + 1, b - 1))
             elif kind == "name" and word in known and not (i + 1 < n and tokens[i + 1][1] in ("=", ":", ":=", "=>")):
-                spans.extend(known[word])
+                parts.append(known[word])
             elif first and kind in ("name", "number", "bare"):
                 m = _BARE.match(text, a)
-                spans.append(m.span())
+                parts.append(m.span())
                 while i + 1 < n and tokens[i + 1][2] < m.end():
                     i += 1
             else:
@@ -100,12 +103,21 @@ def literals(text: str) -> list[tuple[int, int]]:
                 i += 1
             else:
                 break
-        if not spans:
+        if not parts:
             continue
-        known[name] = tuple(spans[-8:]) if len(spans) > 8 else tuple(spans)
+        known[name] = parts
+        held.append(parts)
         weight = sensitivity(name)
         if weight:
-            found.update(s for s in spans if weight + variety(text[s[0] : s[1]]) >= THRESHOLD + 0.5)
+            seen, waiting = reached.setdefault(weight, set()), [parts]
+            while waiting:
+                for p in waiting.pop():
+                    if isinstance(p, tuple):
+                        if weight + variety(text[p[0] : p[1]]) >= THRESHOLD + 0.5:
+                            found.add(p)
+                    elif id(p) not in seen:
+                        seen.add(id(p))
+                        waiting.append(p)
     return sorted(found)
 
 
