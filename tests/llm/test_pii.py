@@ -80,3 +80,12 @@ def test_hot_texts(spark, n):
     df = spark.createDataFrame([(i, "call (212) 555-0100" if i % 3 else f"t{i}@x.org", None, None, None) for i in range(60 * n)], SCHEMA)
     out = pii.replace_entities(df, ["doc_id"]).collect()
     assert len(out) == 60 * n and len({r.text for r in out if r.doc_id % 3}) == 1 and len({r.text for r in out if r.doc_id % 3 == 0}) == 20 * n
+
+
+def test_people_of_one_surname_stay_distinct(spark):
+    """All given names of the pools, more than the pools hold, and middle initials."""
+    people = [f"{n} Smith" for g in "mf" for n in pii.GIVEN["latin", g]] + [f"{n} Иванов" for n in pii.GIVEN["cyrillic", "m"]]
+    people += [f"Mr {a}{b} Smith" for a in ("Zor", "Quil", "Bran", "Tev", "Osk") for b in ("an", "el", "ik", "or", "us", "ain", "ett", "ob", "ym", "ax", "il", "en")] + ["John F. Smith"]
+    out = replaced(spark, [*people, "JOHN SMITH", "Mr John Smith"])
+    assert len(set(out[: len(people)])) == len(people) and not set(out) & set(people)
+    assert out[-1] == "Mr " + out[people.index("John Smith")]

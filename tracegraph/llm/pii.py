@@ -4,7 +4,8 @@ Kinds: e-mail addresses, IBANs, IPv4 addresses, social security numbers, phone n
 form of address, or a common given name with a surname. Every distinct entity gets a replacement that is a keyed hash of its kind and canonical form, in the
 entity's own layout: digits for digits, letters of the same case for letters, the same punctuation, top-level domain and
 country code, a valid Luhn digit if there was one, octets of as many digits. A name keeps its form of address and gets a
-given name of the same gender and a surname in the same script.
+given name of the same gender and a surname in the same script. Given names (with any middle ones) are entities of their own, so that
+people of one surname stay apart; when a draw from the pool fails ``LOOSE`` times, a name is made of syllables.
 
 Coreference: forms that differ in layout or case only (``+1 (212) 555-0100``, ``+1 212-555-0100``) are one entity and get one
 replacement, written in the layout of each place. Distinctness: replacements that two entities share, or that are an
@@ -100,6 +101,17 @@ def _canonical(kind: Column, m: Column) -> Column:
     )
 
 
+def _given(m: Column) -> Column:
+    """What stands between the form of address and the surname."""
+    return F.regexp_extract(m, rf"^(?:{_TITLE} )?((?:\p{{L}}+\.?[ -])*)\p{{L}}+$", 1)
+
+
+def _canonical_given(kind: Column, m: Column) -> Column:
+    """Gender, script and the given names; null where there is none."""
+    words = F.trim(F.regexp_replace(F.lower(_given(m)), r"[^\p{L}]+", " "))
+    return F.when((kind == "name") & (words != ""), F.concat_ws(" ", _gender(m), _script(m), words))
+
+
 def _byte(i: Column) -> Column:
     return F.conv(F.substring(F.col("__hash"), (F.pmod(i, F.lit(64)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
@@ -153,8 +165,13 @@ def _surrogate() -> Column:
     latin, cyrillic = (F.concat(*(_one_of(s, F.lit(i)) for i, s in enumerate(x))) for x in sounds)
     more = F.when(loose, _one_of(_LOWER, F.lit(40))).otherwise("")
     surname = F.when(parts[1] == "cyrillic", F.concat(cyrillic, F.when(parts[0] == "f", "а").otherwise(""))).otherwise(F.concat(latin, more))
+    given = F.when(parts[1] == "cyrillic", cyrillic).otherwise(F.concat(latin, more))
+    h = F.conv(F.substring("__hash", 1, 12), 16, 10).cast("long")
+    for (script, gender), pool in GIVEN.items():
+        pick = F.element_at(F.array(*map(F.lit, pool)), (F.pmod(h, F.lit(len(pool))) + 1).cast("int"))
+        given = F.when(~loose & (parts[0] == gender) & (parts[1] == script), pick).otherwise(given)
     last = F.concat(F.lit("["), F.col("kind"), F.lit(":"), F.substring("__hash", 1, 64), F.lit("]"))
-    by_kind = F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "phone", phone).when(F.col("kind") == "card", card).when(F.col("kind") == "iban", iban).when(F.col("kind") == "name", surname).otherwise(_redrawn(c, 7))
+    by_kind = F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "phone", phone).when(F.col("kind") == "card", card).when(F.col("kind") == "iban", iban).when(F.col("kind") == "name", surname).when(F.col("kind") == "given", given).otherwise(_redrawn(c, 7))
     return F.when(F.col("__try") >= LAST, last).otherwise(by_kind), drawn
 
 
@@ -164,9 +181,10 @@ def _plain(kind: Column, canonical: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canonical, surrogate) for the distinct (kind, canonical): no two alike within a kind, and none an entity."""
+    """(kind, canonical, surrogate) for the distinct (kind, canonical): no two alike within a kind, and none an entity
+    (a given name may be another's: the surname beside it is nobody's)."""
     replacement, card = _surrogate()
-    real = entities.select("kind", _plain(F.col("kind"), F.col("canonical")).alias("surrogate")).distinct()
+    real = entities.where("kind != 'given'").select("kind", _plain(F.col("kind"), F.col("canonical")).alias("surrogate")).distinct()
     waiting, settled = entities.withColumn("__try", F.lit(0)), None
     while True:
         drawn = waiting.withColumn("__hash", F.sha2(F.concat_ws("\x01", F.lit(key), "kind", "canonical", F.col("__try").cast("string")), 512)).withColumn("__card", card).withColumn("surrogate", replacement).drop("__hash", "__card")
@@ -181,7 +199,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
             return settled
 
 
-def _rendered(m: Column, kind: Column, surrogate: Column, key: str) -> Column:
+def _rendered(m: Column, kind: Column, surrogate: Column, names: Column) -> Column:
     """The surrogate in the layout of the place ``m``."""
     fill = F.aggregate(
         F.split(m, ""),
@@ -190,12 +208,7 @@ def _rendered(m: Column, kind: Column, surrogate: Column, key: str) -> Column:
         lambda a: a.s,
     )
     title = F.regexp_extract(m, rf"^({_TITLE} )", 1)
-    given = F.regexp_extract(m, rf"^(?:{_TITLE} )?((?:\p{{L}}+\.?[ -])*)\p{{L}}+$", 1)
-    h = F.pmod(F.xxhash64(F.lit(key), F.lower(given)), F.lit(1 << 20))
-    names = F.lit("")
-    for (script, gender), pool in GIVEN.items():
-        pick = F.element_at(F.array(*map(F.lit, pool)), (F.pmod(h, F.lit(len(pool))) + 1).cast("int"))
-        names = F.when((_script(m) == script) & (_gender(m) == gender), pick).otherwise(names)
+    given = _given(m)
     # as many given names as there were, with what stood between them
     seps = F.regexp_replace(given, r"[\p{L}.]", "")
     name = F.concat(title, F.when(given == "", "").otherwise(F.concat(names, F.when(F.length(seps) > 1, F.concat(F.substring(seps, 1, 1), F.concat(F.substring(names, 1, 1), F.lit(".")))).otherwise(""), F.substring(seps, -1, 1))), surrogate)
@@ -209,9 +222,12 @@ def replace_entities(docs: DataFrame, keep: list[str], key: str = KEY) -> DataFr
     found = docs.select("text", F.expr(f"regexp_extract_all(text, r'{PATTERN}', 0)").alias("m")).where("size(m) > 0")
     by_text = found.groupBy(F.sha2("text", 256).alias("__text")).agg(F.first("m").alias("m"))
     places = by_text.select("__text", F.posexplode("m").alias("at", "m"))
-    places = checkpoint(places.withColumn("kind", _kind(F.col("m"))).withColumn("canonical", _canonical(F.col("kind"), F.col("m"))))
-    mapping = surrogates(places.select("kind", "canonical").distinct(), key)
-    new = places.join(mapping, ["kind", "canonical"]).select("__text", "at", "kind", _rendered(F.col("m"), F.col("kind"), F.col("surrogate"), key).alias("new"))
+    places = checkpoint(places.withColumn("kind", _kind(F.col("m"))).withColumn("canonical", _canonical(F.col("kind"), F.col("m"))).withColumn("given", _canonical_given(F.col("kind"), F.col("m"))))
+    givens = places.where("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("canonical"))
+    mapping = surrogates(places.select("kind", "canonical").union(givens).distinct(), key)
+    firsts = mapping.where("kind = 'given'").select(F.col("canonical").alias("given"), F.col("surrogate").alias("names"))
+    named = places.where("given is not null").join(firsts, "given").drop("given").unionByName(places.where("given is null").drop("given").withColumn("names", F.lit("")))
+    new = named.join(mapping, ["kind", "canonical"]).select("__text", "at", "kind", _rendered(F.col("m"), F.col("kind"), F.col("surrogate"), F.col("names")).alias("new"))
     new = checkpoint(new.groupBy("__text").agg(F.array_sort(F.collect_list(F.struct("at", "new", "kind"))).alias("new")))
 
     marks = bitmap.build(new.select(F.xxhash64("__text").alias("__key")), "__key")
