@@ -57,3 +57,9 @@ def test_constants_of_many_parts():
     assert found("\n".join(lines)) == parts
     grown = ['x = "pArt-00-of-Key99"'] + ["x = x + x"] * 200 + ["private_key = x"]
     assert found("\n".join(grown)) == ["pArt-00-of-Key99"]
+
+
+@pytest.mark.parametrize("name", ["pass_word", "PASS_PHRASE", "pass-wd", '"pass word"'])
+def test_names_whose_parts_are_apart(name):
+    text = f'{name} = "hunter2hunter2!"'
+    assert [text[a:b] for k, a, b in S.scan(text) if k == "literal"] == ["hunter2hunter2!"]

@@ -34,6 +34,8 @@ _BASE_WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey
 #: Parts of a name that make it sensitive, with their weights.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.8, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "authkey": 1.0, "signingkey": 1.0, "encryptionkey": 1.0}
 _MARKS = (b"passw", b"pwd", b"passphrase", b"secret", b"token", b"key", b"credential")
+#: What may stand between adjacent parts of a name.
+_BETWEEN = bytes(c for c in range(256) if not (48 <= c <= 57 or 97 <= c <= 122))
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|change_?me.*|your[_-].*|example.*|todo|none|null|true|false)$", re.I)
 
 _LEX = re.compile(r"""
@@ -134,7 +136,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if b"h" * 32 in raw.translate(_HEX_MARK):
         spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
-    if any(w in low for w in _MARKS) and (b"=" in raw or b":" in raw):
+    joined = low.translate(None, _BETWEEN) if b"=" in raw or b":" in raw else b""
+    if any(w in joined for w in _MARKS):
         spans += [(a, 3, b) for a, b in literals(text)]
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 
