@@ -26,13 +26,42 @@ def test_exact_against_groups(spark, monkeypatch, least):
         assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(same), len(same), i == max(same))
 
 
-def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
-    rows = [(i, f"text {i % 40}") for i in range(100)]
+def kept(frame):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in frame.collect())
+
+
+def one_of_each(rows):
+    """Brute force: of equal texts the largest doc_id, null least; rows alike count once."""
+    best = {}
+    for i, t in rows:
+        best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+    return sorted((i == -1, max(i, 0), t) for t, i in best.items())
+
+
+@pytest.mark.parametrize("bits", [None, 64])
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch, bits):
+    rows = [(i, f"text {i % 40}") for i in range(100)] + [(7, "another"), (None, "text 3"), (None, "alone"), (None, "alone"), (7, None), (8, "")]
     want = {tuple(r) for r in exact_dedup.exact_dedup(docs_of(spark, rows)).collect()}
-    monkeypatch.setattr(bitmap, "BITS", 64)
+    if bits:
+        monkeypatch.setattr(bitmap, "LEAST", bits)
+        monkeypatch.setattr(bitmap, "MOST", bits)
     assert {tuple(r) for r in exact_dedup.exact_dedup(docs_of(spark, rows)).collect()} == want
-    ids = spark.createDataFrame([(i,) for i in range(0, 100, 3)], "doc_id long")
-    assert {r.doc_id for r in bitmap.drop_ids(docs_of(spark, rows), ids, "doc_id").collect()} == {i for i in range(100) if i % 3}
+    assert kept(exact_dedup.keep_one(docs_of(spark, rows))) == one_of_each(rows)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, "a"), (1, "unique b"), (2, "a")],
+        [(None, "a"), (2, "a")],
+        [(2, None), (2, "")],
+        [(5, "a"), (7, "a"), (5, "b"), (7, "b"), (6, "b")],
+        [(None, "a"), (None, "a"), (None, "b")],
+        [(3, "a"), (3, "a"), (4, "b"), (4, "b"), (2, "b")],
+    ],
+)
+def test_exact_decides_by_id_and_text(spark, rows):
+    assert kept(exact_dedup.keep_one(docs_of(spark, rows))) == one_of_each(rows)
 
 
 def test_exact_odd_rows(spark, odd_docs, no_docs):
@@ -120,22 +149,80 @@ def test_near_odd_rows(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
-def test_near_copies_against_all_pairs(spark):
-    """Edited copies of one another, in chains: the groups are those of five-word Jaccard 0.8 or more."""
-    rng = random.Random(6)
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_groups(rows):
+    """Brute force: of each component of Jaccard 0.8 or more, the least doc_id, null last, then one text."""
+    sets = [shingles(t) for _, t in rows]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root, groups = components(range(len(sets)), near), {}
+    for i, r in root.items():
+        groups.setdefault(r, []).append(rows[i])
+    return groups.values()
+
+
+def edited(rng, chains=12, length=8):
     texts = []
-    for _ in range(12):
+    for _ in range(chains):
         words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 30, 80, 300]))]
-        for _ in range(8):
+        for _ in range(length):
             texts.append(" ".join(words))
             words = words[:]
             for _ in range(rng.choice([0, 1, 1, 2])):
                 words[rng.randrange(len(words))] = f"w{rng.randrange(5000)}"
     rng.shuffle(texts)
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
-    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    root = components(range(len(sets)), near)
-    docs = docs_of(spark, list(enumerate(texts)))
-    assert len(near) > 100 and sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root.values()))
-    far = [p for p in near if (simhash.fingerprint(texts[p[0]]) ^ simhash.fingerprint(texts[p[1]])).bit_count() > 2]
-    assert far
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [100, 0])
+def test_near_copies_against_all_pairs(spark, monkeypatch, crowd):
+    """Edited copies of one another, in chains; without and with the join of crowded bands."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    texts = edited(random.Random(6))
+    groups = near_groups(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs_of(spark, list(enumerate(texts)))).collect()) == sorted(min(i for i, _ in g) for g in groups)
+    alike = [(a, b) for g in groups for a in g for b in g if a[0] < b[0] and shingles(a[1]) & shingles(b[1])]
+    assert any((simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1])).bit_count() > 2 for a, b in alike)
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 1, 2, 3, rng.randrange(40)]), t) for t in edited(rng, 10, 6)]
+    rows += rng.sample(rows, 12) + [(3, "words of no other row at all"), (None, None), (4, " "), (4, "")]
+    got = kept(simhash.keep_one(docs_of(spark, rows)))
+    groups = near_groups(rows)
+    least = [min((i is None, i or 0) for i, _ in g) for g in groups]
+    assert sorted(x[:2] for x in got) == sorted(least)
+    held = {x for g in groups for x in [frozenset((i is None, i or 0, t or "") for i, t in g)]}
+    assert all(sum(x in g for x in got) == 1 for g in held)
+
+
+def test_join_of_crowded_bands_against_all_pairs(spark):
+    """A passage that all texts share, a large group of near copies, and texts of other lengths."""
+    rng = random.Random(8)
+    sets = []
+    core = [rng.getrandbits(62) for _ in range(60)]
+    for i in range(60):
+        sets.append(core[: rng.choice([30, 55, 60])] + [rng.getrandbits(62) for _ in range(rng.choice([0, 2, 8, 14, 40]))])
+    for i in range(40):
+        sets.append(sets[-1][: -rng.randrange(1, 5)] + [rng.getrandbits(62)])
+    sets = [sorted(set(s)) for s in sets] + [[], []]
+    df = spark.createDataFrame([(i, s, i if i % 7 else 0) for i, s in enumerate(sets)], "node long, shingles array<long>, group long")
+    group = [i if i % 7 else 0 for i in range(len(sets))]
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if sets[i] and group[i] != group[j] and 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    assert {frozenset((r.a, r.b)) for r in simhash.joined(df).collect()} == want and len(want) > 100
+
+
+def test_recall_of_bands():
+    """Sets of Jaccard 0.8 share a min-hash as often."""
+    rng = random.Random(5)
+    n = met = 0
+    for _ in range(60):
+        a = [rng.getrandbits(64) for _ in range(200)]
+        b = a[:178] + [rng.getrandbits(64) for _ in range(22)]
+        x, y = (simhash.bands(simhash.np.array(s, simhash.np.uint64)) for s in (a, b))
+        n, met = n + len(x), met + int((x == y).sum())
+    assert abs(met / n - 0.8**4) < 0.06

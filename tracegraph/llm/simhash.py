@@ -13,8 +13,12 @@ of links and get their own null component.
 The pipeline's stage (``keep_one``) has another rule: texts are near copies if their sets of five-word shingles have Jaccard
 0.8 or more. At 0.8 two fingerprints differ by about ten of 64 bits, which no ball reaches, so fingerprints (of five words)
 only propose pairs, as do 32 bands of four min-hashes; a pair of Jaccard 0.8 meets in no band with a chance of 5e-8. Every
-proposed pair is decided by its exact Jaccard. Rows of a band first meet the least of them; then those that are still in
-different components meet each other, so that a large group of copies makes no square of pairs.
+proposed pair is decided by its exact Jaccard. The texts of a band first meet one of them, another for each third of the bands; what a band
+then has of different components meets too, up to ``CROWD`` pairs. The texts of bands with more go through an exact set-similarity join,
+so that neither a large group of copies nor a passage that many texts share makes a square of pairs.
+
+Rows of one text are one node. One row of each component stays: of the least doc_id, null last, then of the least text hash. Texts without words
+are near copies of one another. Rows that repeat a doc_id with other texts are decided each by its text.
 """
 
 from __future__ import annotations
@@ -34,13 +38,17 @@ from .components import connected_components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: The stage's shingles, and its bands of min-hashes.
 WIDE, BANDS, ROWS = 5, 32, 4
+#: A band in which more pairs of different components would meet is crowded: its texts are joined by ``joined``.
+CROWD = 100
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
 _rng = np.random.default_rng(SEED)
-_FLIP, _TIMES = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP, _TIMES = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32), _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+#: Orders of the nodes, so that bands differ in which of their nodes all others meet first.
+_ORDERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
 
 def hashes(text: str | None, size: int) -> np.ndarray:
@@ -69,9 +77,9 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def bands(found: np.ndarray) -> np.ndarray:
     """A key for each band of min-hashes."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for i in range(0, len(found), 1024):
-        least = np.minimum(least, ((found[i : i + 1024, None] ^ _FLIP) * _TIMES).min(axis=0))
+    least, low = np.full(BANDS * ROWS, ~np.uint32(0)), found.astype(np.uint32)
+    for i in range(0, len(low), 1024):
+        least = np.minimum(least, ((low[i : i + 1024, None] ^ _FLIP) * _TIMES).min(axis=0))
     return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
@@ -106,7 +114,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, keys): the five-word fingerprint, the number of distinct shingles, the band keys."""
+    """(doc_id, cheap, full, fp, n, keys): the row's identity, the five-word fingerprint, the number of distinct shingles, the band keys."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp, n, keys = [], [], []
@@ -116,51 +124,106 @@ def _sketches(docs: DataFrame) -> DataFrame:
             fp.append(majority(found))
             n.append(len(apart))
             keys.append(bands(apart))
-        columns = [batch.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "keys"])
+        columns = [*(batch.column(c) for c in ("doc_id", "cheap", "full")), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "cheap", "full", "fp", "n", "keys"])
 
-    return map_texts(docs.select("doc_id", "text"), lambda: work, "doc_id long, fp long, n int, keys array<long>")
+    cheap, full = bitmap.identity(F.col("text"), F.col("doc_id"))
+    return map_texts(docs.select("doc_id", "text", cheap.alias("cheap"), full.alias("full")), lambda: work, "doc_id long, cheap long, full string, fp long, n int, keys array<long>")
 
 
-def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets of five-word shingles have Jaccard 0.8 or more. Two empty sets are alike."""
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles): the five-word shingles of ``nodes`` (node, cheap, full), sorted. Only their texts are read as words."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(hashes(t, WIDE)).view(np.int64) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        sets = [np.unique(hashes(t, WIDE).view(np.int64)) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("full"), pa.array(sets, pa.list_(pa.int64()))], ["full", "shingles"])
+
+    marks = bitmap.build(nodes, "cheap", nodes.count())
+    cheap, full = bitmap.identity(F.col("text"), F.col("doc_id"))
+    asked = bitmap.maybe_in(docs.select("text", full.alias("full"), cheap.alias("cheap")), marks, "cheap", "__maybe").where("__maybe")
+    sets = map_texts(asked.select("full", "text"), lambda: work, "full string, shingles array<long>")
+    # rows that repeat an identity give the same set
+    return sets.join(nodes.select("full", "node"), "full").dropDuplicates(["node"]).select("node", "shingles")
+
+
+_ALIKE = "9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))"
+
 
-    ids = pairs.select("a").union(pairs.select("b"))
-    marks = bitmap.build(ids.select(F.xxhash64("a").alias("__key")), "__key")
-    asked = bitmap.maybe_in(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("__key")), marks, "__key", "__maybe").where("__maybe")
-    sets = map_texts(asked.select("doc_id", "text"), lambda: work, "doc_id long, shingles array<long>")
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets of five-word shingles have Jaccard 0.8 or more. Two empty sets are alike."""
+    asked = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    sets = checkpoint(_sets(docs, checkpoint(asked)))
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return met.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").distinct()
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of doc_ids of Jaccard 0.8 or more, whose components are those of all such pairs."""
-    rows = checkpoint(_sketches(docs.where("doc_id is not null")))
-    reps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    alike = rows.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links(reps))
-    keyed = rows.select("doc_id", "n", F.explode("keys").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = checkpoint(keyed.join(groups, "key"))
-    stars = shared.where("5 * least(n, m.n) >= 4 * greatest(n, m.n)").select(F.col("doc_id").alias("a"), F.col("m.doc_id").alias("b"))
+    return met.where(_ALIKE).select("a", "b").distinct()
+
+
+def joined(sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``sets`` (node, shingles, group) of Jaccard 0.8 or more and of different groups, by an exact set-similarity join.
+
+    Shingles are ordered by rarity. Of a match, the longer set has a common shingle among its n - ceil(0.8 n) + 1 rarest, the shorter
+    among its n - ceil(8 n / 9) + 1 rarest; so what a group shares meets nothing, unless it is nearly all of its texts.
+    """
+    each = sets.select("node", "group", F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count("*").alias("c"))
+    ordered = each.join(counts, "s").groupBy("node", "group").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("t"))
+    posts = ordered.select("node", "group", F.size("t").alias("n"), F.posexplode(F.expr("slice(t, 1, size(t) - cast(ceil(0.8 * size(t) - 1e-9) as int) + 1)")).alias("i", "e"))
+    posts = checkpoint(posts.where("e.c > 1").select("node", "group", "n", "i", F.col("e.s").alias("s")))
+    # within the largest group of a shingle nothing is compared
+    largest = posts.groupBy("s", "group").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "group")).alias("big"), F.count("*").alias("groups")).where("groups > 1")
+    marked = checkpoint(posts.join(largest.select("s", F.col("big.group").alias("big")), "s"))
+    near = F.expr("x.s = y.s and x.group != y.group and (y.n, y.node) < (x.n, x.node) and 5 * y.n >= 4 * x.n and 9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.alias("x").join(y.where("9 * (n - i) >= 8 * n").alias("y"), near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    small, large = marked.where("group != big"), marked.where("group = big")
+    pairs = meet(small, marked).union(meet(large, small)).distinct()
+    plain = sets.select("node", "shingles")
+    return pairs.join(plain.toDF("a", "x"), "a").join(plain.toDF("b", "y"), "b").where(_ALIKE).select("a", "b")
+
+
+def near_copies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, cheap, full, fp, n, keys) of Jaccard 0.8 or more, whose components are those of all such pairs."""
+    reps = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    alike = nodes.join(reps, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")).union(links(reps))
+    order = F.element_at(F.array(*map(F.lit, _ORDERS)), F.col("band") % len(_ORDERS) + 1)
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key")).select("node", "n", "key", order.alias("o"))
+    groups = keyed.groupBy("key", "o").agg(F.min(F.col("node").bitwiseXOR(F.col("o"))).alias("m"), F.count("*").alias("c")).where("c > 1")
+    shared = checkpoint(keyed.join(groups.select("key", F.col("m").bitwiseXOR(F.col("o")).alias("m")), "key").select("key", "node", "n", "m"))
+    size = nodes.select(F.col("node").alias("m"), F.col("n").alias("k"))
+    stars = shared.select("node", "n", "m").where("node != m").distinct().join(size, "m").where("5 * least(n, k) >= 4 * greatest(n, k)").select(F.col("node").alias("a"), F.col("m").alias("b"))
     first = checkpoint(alike.union(stars).where("a != b").distinct())
-    linked = checkpoint(similar(docs, first))
-
-    roots = connected_components(linked).withColumnRenamed("node", "doc_id")
-    placed = shared.drop("m").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("big"), F.count("*").alias("c"))
-    apart = checkpoint(placed.join(sizes.where("c > 1").drop("c"), "key"))
-    x, y = apart.where("root != big").alias("x"), apart.alias("y")
-    met = x.join(y, "key").where("x.root != y.root and (y.root = y.big or x.doc_id < y.doc_id) and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
-    rest = met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+    linked = checkpoint(similar(docs, nodes, first))
+
+    # what a band holds that isn't in one component yet
+    roots = connected_components(linked)
+    placed = shared.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.count("*").alias("parts"), F.sum("c").alias("c")).where("parts > 1")
+    apart = checkpoint(placed.join(parts.select("key", F.col("big.root").alias("big"), (F.col("c") - F.col("big.c")).alias("others"), "c"), "key"))
+    x, y = apart.where(f"others * c <= {CROWD}").alias("x"), apart.alias("y")
+    met = x.where("root != big").join(y, "key").where("x.root != y.root and (y.root = y.big or x.node < y.node) and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+    rest = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     more = checkpoint(rest.join(first, ["a", "b"], "left_anti"))
-    return linked if more.isEmpty() else linked.union(similar(docs, more))
+    out = linked if more.isEmpty() else linked.union(similar(docs, nodes, more))
+    crowded = checkpoint(apart.where(f"others * c > {CROWD}").select("node", F.col("root").alias("group")).distinct())
+    if crowded.isEmpty():
+        return out
+    sets = _sets(docs, checkpoint(nodes.join(crowded, "node", "left_semi")))
+    return out.union(joined(checkpoint(sets.join(crowded, "node"))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component of near copies."""
-    dropped = checkpoint(connected_components(near_copies(docs)).where("node != root").select(F.col("node").alias("doc_id")))
-    return bitmap.drop_ids(docs, dropped, "doc_id")
+    """One row of ``docs`` for each component of near copies: of the least doc_id, null last. Of rows that share that doc_id one stays."""
+    rows = checkpoint(_sketches(docs).withColumn("row", F.monotonically_increasing_id()))
+    text = F.substring("full", 1, 64)
+    texts = checkpoint(rows.groupBy(text.alias("text")).agg(F.min("row").alias("row"), F.count("*").alias("copies")))
+    # the rows of one text are one node
+    nodes = rows if texts.where("copies > 1").isEmpty() else checkpoint(rows.join(texts.select("row"), "row", "left_semi"))
+    nodes = nodes.withColumnRenamed("row", "node")
+    roots = connected_components(near_copies(docs, nodes))
+    named = texts.select("text", F.col("row").alias("node"), "copies").join(roots, "node", "left").where("copies > 1 or root is not null")
+    some = rows.select("doc_id", "cheap", "full", text.alias("text")).join(named.select("text", F.coalesce("root", "node").alias("root")), "text", "left")
+    best = some.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "full")).alias("best"))
+    # all rows of the best identity are kept here, and one of them by keep_rows
+    decided = some.join(best, "root", "left").select(F.col("cheap").alias("__cheap"), F.col("full").alias("__full"), F.coalesce(F.col("best.full") == F.col("full"), F.lit(True)).alias("__keep"))
+    return bitmap.keep_rows(docs, checkpoint(decided))
