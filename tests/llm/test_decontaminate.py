@@ -20,8 +20,8 @@ def brute(text, items, n=10):
         for i in range(len(w) - m + 1) if m else ():
             if tuple(w[i : i + m]) in windows:
                 hit.update(range(i, i + m))
-                found.add(str(item_id))
-    return len(w), len(hit), sorted(found)
+                found.add(item_id if item_id is None else str(item_id))
+    return len(w), len(hit), sorted(found, key=lambda x: (x is not None, x or ""))
 
 
 def tables(spark, docs, items):
@@ -32,10 +32,10 @@ def got(found):
     return {r.doc_id: (r.n_words, sum(x.b - x.a for x in r.hits), r["items"]) for r in found.collect()}
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     vocabulary = ["the", "of", "A", "b", "Cé", "d1", "99", "e"]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 5, 9, 10, 11, 30])))) for i in range(25)] + [(9, "again; the same"), (100, None), (101, "...")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 5, 9, 10, 11, 30])))) for i in range(25)] + [(9, "again; the same"), (100, None), (101, "..."), (None, "the of"), (None, "99 99 e")]
     docs = []
     for i in range(120):
         parts = [rng.choice(vocabulary + [", ", ".\n"]) for _ in range(rng.randrange(40))]
@@ -45,6 +45,9 @@ def test_against_brute_force(spark):
     d, b = tables(spark, docs, items)
     want = {i: brute(t, items) for i, t in docs}
     assert got(D.find_overlaps(d, b, ["doc_id"])) == want
+    assert any(None in w[2] for w in want.values())
+    monkeypatch.setattr(D, "SLAB", 7)
+    assert all((x[0], sum(b - a for a, b in x[1]), sorted(x[2], key=lambda i: (i is not None, i or ""))) == want[i] for block in [D.Block([(j if j is None else str(j), t) for j, t in items if t], 10)] for i, t in docs for x in [block.search(t)])
     # many small blocks of the benchmark give the same
     assert got(D.find_overlaps(d, b, ["doc_id"], block_chars=150)) == want
 
