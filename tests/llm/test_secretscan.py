@@ -42,6 +42,62 @@ def test_assignments_to_sensitive_names(text, want):
     assert [text[a:b] for k, a, b in S.scan(text) if k == "literal"] == want
 
 
+V = "Zm9vYmFy-99xK2"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"Don't use signing_key = \"{V}\" as it's bad", 1),
+        (f'Note: signing_key = "{V}"', 1),
+        (f"it's 5 o'clock and signing_key = '{V}', isn't it", 1),
+        (f'signing_key: str = "{V}"', 1),
+        (f'a = signing_key = b = "{V}"', 1),
+        (f'signing_key: {V}', 1),
+        (f'signing_key = b"{V}"', 1),
+        (f'signing_key = """{V}"""', 1),
+        ('signing_key = self.settings.signing.material', 0),
+        ('signing_key = load_key_99(path)', 0),
+        # comments are read, and reach no code
+        (f'# signing_key = "{V}"', 1),
+        (f'/* signing_key = "{V}" */ x = 1', 1),
+        (f'# k = "{V}"\nsigning_key = k\n', 0),
+        (f'k = "{V}"\n// k = "none of it at all"\nsigning_key = k\n', 1),
+        (f"see http://host/a and signing_key = '{V}'", 1),
+        # scopes
+        (f'void f() {{ k = "{V}"; }}\nvoid g() {{ signing_key = k; }}', 0),
+        (f'void f() {{ k = "{V}"; signing_key = k; }}', 1),
+        (f'k = "{V}";\nvoid g() {{ signing_key = k; }}', 1),
+        (f'if (x) {{ k = "{V}"; }}\nsigning_key = k;', 1),
+        (f'def f():\n    k = "{V}"\n\ndef g():\n    signing_key = k\n', 0),
+        (f'def f():\n    k = "{V}"\n    signing_key = k\n', 1),
+        (f'k = "{V}"\ndef f():\n    k = "no secret but long"\nsigning_key = k\n', 1),
+        (f'{{"k": "{V}", "signing_key": k}}\n', 1),
+        (f'{{"k": "{V}"}}\nsigning_key = k\n', 0),
+        ("}}}{{{ )))((( ''' \"\"\" /* <!-- ", 0),
+    ],
+)
+def test_lexer(text, want):
+    found = [text[a:b] for k, a, b in S.scan(text) if k == "literal"]
+    assert (found == [V] if want else V not in found and not found)
+
+
+@pytest.mark.parametrize("unit", ["{", "}", "'", '"', "/* ", "# ", "''' ", "\\", "k = k + ", "def f\n", "(", "key: ", "-- "])
+def test_time_in_proportion_to_length(unit):
+    import time
+
+    def took(n):
+        text = "token " + unit * n + ' = "x"'
+        best = 9.0
+        for _ in range(2):
+            t = time.perf_counter()
+            S.literals(text)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert took(40_000) < 12 * took(10_000) + 0.2
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = S.find_secrets(odd_docs, ["doc_id", "score"]).collect()
     assert len(rows) == odd_docs.count() and all(r.findings == [] for r in rows)

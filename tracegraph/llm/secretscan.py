@@ -1,13 +1,18 @@
 """Secret scans: base patterns, and literals that source or configuration syntax assigns to sensitive names.
 
 Base kinds are ``assign``, ``access`` and ``hex``; leftmost non-overlapping matches of each, of which failing ones are
-dropped. The kind ``literal`` comes from a lexer that reads names, strings, numbers and operators, parses
+dropped. The kind ``literal`` comes from a lexer that reads names, strings, numbers, operators and comments, parses
 ``name = value``, ``name: value``, ``name := value`` and ``name => value`` (a value is a literal, a name, or such parts joined by +
-or a full stop), and propagates constants: a name stands for the literals last assigned to it. The literals that reach
+or a full stop), and propagates constants: a name stands for the literals last assigned to it in its scope or one around it. The literals that reach
 a sensitive name are scored by that name and by their own length, variety and entropy.
 
-Spans are in code points, end exclusive. Null counts as empty; a text without findings has counts 0 and empty spans.
-Repeated rows give a row each.
+* A quote opens a string after an operator or at the start of a line, so apostrophes and quotes of prose open none.
+* ``word: name = value`` assigns to ``name``; dotted names and calls are no literals.
+* Functions, classes and braces that hold keys are scopes: in braces, or by indentation after ``def`` and ``class``. Blocks after ``if`` and the like aren't.
+* Comments are read too, each in a scope of its own: what they assign reaches no code.
+
+Spans are in code points, end exclusive. Null counts as empty; a text without findings has counts 0 and empty spans. Whole texts are read, in time
+in proportion to their length. Repeated rows give a row each; an empty table gives an empty result. Of spans that several kinds share all are given.
 """
 
 from __future__ import annotations
@@ -39,14 +44,22 @@ _BETWEEN = bytes(c for c in range(256) if not (48 <= c <= 57 or 97 <= c <= 122))
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|change_?me.*|your[_-].*|example.*|todo|none|null|true|false)$", re.I)
 
 _LEX = re.compile(r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+    (?P<line>\n)
+  | (?P<note>/\*|(?:(?<![^\s;{}(),])(?:\#|//|--(?=\s)|<!--)))
+  | (?P<string>(?:[bBrRuUfF]{1,2}(?=["']))?(?:\"{3}(?:[^"\\]|\\.|"(?!""))*\"{3}|\'{3}(?:[^'\\]|\\.|'(?!''))*\'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))
   | (?P<op>:=|=>|==|!=|<=|>=|[=:+.,;(){}\[\]])
   | (?P<name>[A-Za-z_][A-Za-z0-9_-]*)
   | (?P<number>[0-9][A-Za-z0-9_]*)
-  | (?P<line>\n)
   | (?P<bare>[^\s"':=+.,;(){}\[\]]+)
-""", re.X)
+  | (?P<quote>["'])
+  | (?P<space>[^\S\n]+)
+""", re.X | re.S)
+_QUOTE = re.compile("[\"']")
+_DOTTED = re.compile(r"[A-Za-z_][A-Za-z_]*(?:\.[A-Za-z_][A-Za-z_]*)+")
 _BARE = re.compile(r"""[^\s"'#;,(){}\[\]]+""")
+_ASSIGN_OPS = ("=", ":", ":=", "=>")
+#: Words before a block that is no scope.
+_CONTROL = {"if", "for", "while", "switch", "catch", "else", "elif", "try", "do", "finally", "with", "foreach", "unless", "until", "match"}
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -65,61 +78,205 @@ def variety(literal: str) -> float:
     return min(1.0, len(literal) / 16) * 0.4 + kinds / 4 * 0.3 + min(1.0, entropy / 4) * 0.3
 
 
-def literals(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name."""
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEX.finditer(text)]
-    # a constant is its parts: spans, and the constants (as they were) that it is built from
-    known: dict[str, list] = {}
-    found: set[tuple[int, int]] = set()
-    held: list[list] = []  # keeps all constants, so that ids aren't used again
-    reached: dict[float, set[int]] = {}  # by weight, the constants whose literals have been scored
-    i, n = 0, len(tokens)
-    while i < n:
-        kind, name, start, _ = tokens[i]
-        i += 1
-        if kind == "string":
-            name = name[1:-1]  # a quoted key
-        elif kind != "name":
-            continue
-        if i >= n or tokens[i][1] not in ("=", ":", ":=", "=>"):
-            continue
-        i += 1
+def lex(text: str, at: int, stop: int, comments: bool = True) -> list[tuple[str, str, int, int]]:
+    """(kind, word, start, end); a note is a whole comment, without its mark. Strings only open where a value can begin."""
+    out: list[tuple[str, str, int, int]] = []
+    closed = True  # whether a block comment may still end
+    while at < stop:
+        m = _LEX.match(text, at, stop)
+        kind, word, a, b = m.lastgroup, m.group(), at, m.end()
+        if kind == "string" and not (not out or out[-1][0] == "line" or (out[-1][0] == "op" and out[-1][1] not in ".)]}")):
+            b = _QUOTE.search(text, a).end()
+            kind = "quote"
+        elif kind == "note":
+            if not comments:
+                kind = "bare"
+            elif word in ("/*", "<!--"):
+                mark = "*/" if word == "/*" else "-->"
+                end = text.find(mark, b, stop) if closed else -1
+                closed = end >= 0
+                if closed:
+                    out.append(("note", "", b, end))
+                    at = end + len(mark)
+                    continue
+                kind = "bare"
+            else:
+                end = text.find("\n", b, stop)
+                end = stop if end < 0 else end
+                out.append(("note", "", b, end))
+                at = end
+                continue
+        at = b
+        if kind not in ("space", "quote"):
+            out.append((kind, word, a, b))
+    return out
+
+
+class _Scopes:
+    """What names stand for: a stack of values for each, from which a scope that ends takes back its own."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, list[list]] = {}
+        #: (indentation, or -1 for braces; names assigned, or None if it is no scope)
+        self.frames: list[tuple[int, set[str] | None]] = []
+        self.inner: list[set[str]] = [set()]
+        self.braces = 0
+
+    def enter(self, column: int, scope: bool = True) -> None:
+        names: set[str] | None = set() if scope else None
+        self.frames.append((column, names))
+        self.braces += column < 0
+        if names is not None:
+            self.inner.append(names)
+
+    def _leave(self) -> None:
+        column, names = self.frames.pop()
+        self.braces -= column < 0
+        if names is not None:
+            for name in names:
+                self.known[name].pop()
+            self.inner.pop()
+
+    def close(self) -> None:
+        """A closing brace; what is indented in it ends too."""
+        if self.braces:
+            while self.frames[-1][0] >= 0:
+                self._leave()
+            self._leave()
+
+    def line(self, column: int) -> None:
+        while self.frames and column <= self.frames[-1][0]:
+            self._leave()
+
+    def get(self, name: str) -> list | None:
+        found = self.known.get(name)
+        return found[-1] if found else None
+
+    def put(self, name: str, parts: list) -> None:
+        stack = self.known.setdefault(name, [])
+        if name in self.inner[-1]:
+            stack[-1] = parts
+        else:
+            self.inner[-1].add(name)
+            stack.append(parts)
+
+
+class _Parser:
+    """Assignments of one text or comment, in order."""
+
+    def __init__(self, text: str, tokens: list[tuple[str, str, int, int]], stop: int):
+        self.text, self.tokens, self.stop = text, tokens, stop
+        self.scopes = _Scopes()
+        self.notes: list[tuple[int, int]] = []
+        self.found: set[tuple[int, int]] = set()
+        self._held: list[list] = []  # keeps all constants, so that ids aren't used again
+        self._reached: dict[float, set[int]] = {}  # by weight, the constants whose literals have been scored
+
+    def _assigned(self, i: int) -> bool:
+        """Whether a sign of assignment follows token ``i``."""
+        return i + 1 < len(self.tokens) and self.tokens[i + 1][0] == "op" and self.tokens[i + 1][1] in _ASSIGN_OPS
+
+    def _nested(self, i: int) -> bool:
+        """Whether the name ``i``, where a value could stand, is assigned to itself: the sign has a space or a quote beside it, and a value."""
+        if self.tokens[i][0] != "name" or not self._assigned(i) or i + 2 >= len(self.tokens) or self.tokens[i + 2][0] in ("line", "note"):
+            return False
+        _, _, a, b = self.tokens[i + 1]
+        return self.text[a - 1].isspace() or self.text[b] in " \t\"'"
+
+    def run(self) -> None:
+        tokens, scopes = self.tokens, self.scopes
+        heads: list[str] = []  # what stands before each open parenthesis
+        head, last, fresh, i = "", "", True, 0
+        if tokens and tokens[0][0] == "line":
+            fresh = False
+        while i < len(tokens):
+            kind, word, a, b = tokens[i]
+            i += 1
+            if kind == "note":
+                self.notes.append((a, b))
+                continue
+            if kind == "line":
+                if i < len(tokens) and tokens[i][0] not in ("line", "note"):
+                    scopes.line(tokens[i][2] - b)
+                    fresh = True
+                continue
+            if fresh and kind == "name" and word in ("def", "class"):
+                scopes.enter(a - (self.text.rfind("\n", 0, a) + 1))
+            fresh = False
+            if kind == "op":
+                if word == "(":
+                    heads.append(last)
+                elif word == ")":
+                    head = heads.pop() if heads else ""
+                elif word == "{":
+                    scopes.enter(-1, (head if last == ")" else last) not in _CONTROL)
+                elif word == "}":
+                    scopes.close()
+            last = word
+            if kind in ("name", "string") and self._assigned(i - 1):
+                i = self._assignment(i - 1)
+                last = ""
+
+    def _assignment(self, i: int) -> int:
+        """Reads the names and the value that begin at token ``i``; returns where the parser goes on."""
+        tokens, text = self.tokens, self.text
+        names = [tokens[i][1].strip("\"'")]
+        i += 2
+        while i < len(tokens) and self._nested(i):
+            names.append(tokens[i][1])
+            i += 2
         parts: list = []
-        first = True
-        while i < n:
+        while i < len(tokens):
             kind, word, a, b = tokens[i]
             if kind == "string":
-                parts.append((a + 1, b - 1))
-            elif kind == "name" and word in known and not (i + 1 < n and tokens[i + 1][1] in ("=", ":", ":=", "=>")):
-                parts.append(known[word])
-            elif first and kind in ("name", "number", "bare"):
-                m = _BARE.match(text, a)
-                parts.append(m.span())
-                while i + 1 < n and tokens[i + 1][2] < m.end():
+                quote = _QUOTE.search(word).start()
+                size = 3 if len(word) >= quote + 6 and word[quote : quote + 3] in ('"""', "'''") else 1
+                parts.append((a + quote + size, b - size))
+            elif kind == "name" and self.scopes.get(word) is not None and not self._assigned(i):
+                parts.append(self.scopes.get(word))
+            elif not parts and kind in ("name", "number", "bare"):
+                m = _BARE.match(text, a, self.stop)
+                while i + 1 < len(tokens) and tokens[i + 1][2] < m.end():
                     i += 1
+                if text[m.end() : m.end() + 1] not in ("(", "[") and not _DOTTED.fullmatch(m.group()):
+                    parts.append(m.span())
             else:
                 break
             i += 1
-            first = False
-            if i < n and tokens[i][1] in ("+", "."):
+            if i < len(tokens) and tokens[i][1] in ("+", "."):
                 i += 1
             else:
                 break
-        if not parts:
-            continue
-        known[name] = parts
-        held.append(parts)
-        weight = sensitivity(name)
-        if weight:
-            seen, waiting = reached.setdefault(weight, set()), [parts]
-            while waiting:
-                for p in waiting.pop():
-                    if isinstance(p, tuple):
-                        if weight + variety(text[p[0] : p[1]]) >= THRESHOLD + 0.5:
-                            found.add(p)
-                    elif id(p) not in seen:
-                        seen.add(id(p))
-                        waiting.append(p)
+        if parts:
+            self._held.append(parts)
+            for name in names:
+                self.scopes.put(name, parts)
+            for weight in {sensitivity(name) for name in names} - {0.0}:
+                self._reach(parts, weight)
+        return i
+
+    def _reach(self, parts: list, weight: float) -> None:
+        """Scores the literals of a constant, and of the constants (as they were) that it is built from."""
+        seen, waiting = self._reached.setdefault(weight, set()), [parts]
+        while waiting:
+            for p in waiting.pop():
+                if isinstance(p, tuple):
+                    if weight + variety(self.text[p[0] : p[1]]) >= THRESHOLD + 0.5:
+                        self.found.add(p)
+                elif id(p) not in seen:
+                    seen.add(id(p))
+                    waiting.append(p)
+
+
+def literals(text: str) -> list[tuple[int, int]]:
+    """Spans of literals that reach a sensitive name."""
+    code = _Parser(text, lex(text, 0, len(text)), len(text))
+    code.run()
+    found = code.found
+    for a, b in code.notes:
+        note = _Parser(text, lex(text, a, b, comments=False), b)
+        note.run()
+        found |= note.found
     return sorted(found)
 
 
