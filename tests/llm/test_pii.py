@@ -1,13 +1,17 @@
-import re
+import random
 
 import pytest
+import regex as re
+from pyspark.sql import functions as F
 
 from tracegraph.llm import pii
 
 from .conftest import SCHEMA
 
+KEY = "a key of the tests"
 
-def replaced(spark, texts, key=pii.KEY):
+
+def replaced(spark, texts, key=KEY):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     return [r.text for r in pii.replace_entities(df, ["doc_id"], key).orderBy("doc_id").collect()]
 
@@ -60,25 +64,25 @@ def test_distinct_entities_stay_distinct(spark, monkeypatch):
 
 def test_no_python_in_plans(spark):
     df = spark.createDataFrame([(1, "a@b.cc", None, None, None)], SCHEMA)
-    plan = pii.replace_entities(df, ["doc_id"])._jdf.queryExecution().toString()
+    plan = pii.replace_entities(df, ["doc_id"], KEY)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    rows = pii.replace_entities(odd_docs, ["doc_id", "score"]).collect()
+    rows = pii.replace_entities(odd_docs, ["doc_id", "score"], KEY).collect()
     assert len(rows) == odd_docs.count()
     assert sorted((r.doc_id or -1, r.text or "") for r in rows) == sorted((r.doc_id or -1, r.text or "") for r in odd_docs.collect())
     assert {r.doc_id: r.text for r in rows}[1] is None and all(r.n_entities == 0 for r in rows)
-    assert pii.replace_entities(no_docs, ["doc_id"]).count() == 0
+    assert pii.replace_entities(no_docs, ["doc_id"], KEY).count() == 0
     twice = spark.createDataFrame([(i % 2, "to a@b.cc", None, None, None) for i in range(4)], SCHEMA)
-    out = pii.replace_entities(twice, ["doc_id"]).collect()
+    out = pii.replace_entities(twice, ["doc_id"], KEY).collect()
     assert len(out) == 4 and len({r.text for r in out}) == 1 and all(r.n_entities == 1 for r in out)
 
 
 @pytest.mark.parametrize("n", [1, 2])
 def test_hot_texts(spark, n):
     df = spark.createDataFrame([(i, "call (212) 555-0100" if i % 3 else f"t{i}@x.org", None, None, None) for i in range(60 * n)], SCHEMA)
-    out = pii.replace_entities(df, ["doc_id"]).collect()
+    out = pii.replace_entities(df, ["doc_id"], KEY).collect()
     assert len(out) == 60 * n and len({r.text for r in out if r.doc_id % 3}) == 1 and len({r.text for r in out if r.doc_id % 3 == 0}) == 20 * n
 
 
@@ -89,3 +93,74 @@ def test_people_of_one_surname_stay_distinct(spark):
     out = replaced(spark, [*people, "JOHN SMITH", "Mr John Smith"])
     assert len(set(out[: len(people)])) == len(people) and not set(out) & set(people)
     assert out[-1] == "Mr " + out[people.index("John Smith")]
+
+
+def entities(text):
+    """Brute force: the pattern by another engine, and kinds by plain rules."""
+    out = []
+    for m in re.finditer(pii.PATTERN, text or ""):
+        w = m.group()
+        digits = re.sub(r"\D", "", w)
+        if "@" in w:
+            kind = "email"
+        elif w[0].isalpha():
+            kind = "iban" if w[:2].isascii() and w[:2].isupper() and w[2:4].isdigit() else "name"
+        elif re.fullmatch(r"\d+(\.\d+){3}", w) and len(digits) <= 12 and all(int(x) < 256 for x in w.split(".")):
+            kind = "ip"
+        elif re.fullmatch(r"\d{3}-\d{2}-\d{4}", w):
+            kind = "ssn"
+        else:
+            kind = "phone" if w[0] in "+(" or re.fullmatch(r"(1[.-])?\d{3}[.-]\d{3}[.-]\d{4}", w) else "card"
+        out.append((m.start(), m.end(), kind))
+    return out
+
+
+def test_spans_against_brute_force(spark):
+    """All places, kinds and what is between them, for random texts and the test table."""
+    rng = random.Random(4)
+    parts = ["Mr", "Mrs.", "Dr", "Herr", "Frau", "John", "Maria", "Smith", "Garcia", "Groß-Klein", "Иван", "Петров", "Госпожа", "a.b@c.org", "X@y-z.co.uk", "@", "10.0.0.1", "256.1.1.1", "1.2.3.4.5", "123-45-6789", "+1 (212) 555-0100", "+44 20 7946 0958", "(212) 555-0100", "212.555.0199", "4111 1111 1111 1111", "4845168114407329", "12345678901234567890", "DE89 3704 0044 0532 0130 00", "word", "the", ",", ".", "-", "F.", "\n", "é", "7"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "", "  "]) for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in pii.replace_entities(df, ["doc_id"], KEY).collect()}
+    assert sum(len(entities(t)) for t in texts) > 500
+    for i, t in enumerate(texts):
+        found = entities(t)
+        assert (got[i].n_entities, got[i].kinds) == (len(found), ",".join(sorted({k for _, _, k in found}))), t
+        between = [t[a:b] for a, b in zip([0] + [b for _, b, _ in found], [a for a, _, _ in found] + [len(t or "")], strict=True)] if t else []
+        assert t is None or re.fullmatch(".+?".join(map(re.escape, between)), got[i].text, re.S), t
+
+
+def test_many_names_stay_distinct(spark):
+    """More names than three syllables can make, with given names of all sorts."""
+    n = 100_000
+    surnames = spark.range(n).select(F.concat(F.lit("m latin name"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("canonical"))
+    given = spark.range(2000).select(F.lit("given").alias("kind"), F.concat(F.lit("f latin g"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("canonical"))
+    out = pii.surrogates(surnames.select(F.lit("name").alias("kind"), "canonical").union(given), KEY)
+    assert out.count() == n + 2000 and out.groupBy("kind").agg(F.count_distinct("surrogate").alias("n")).agg(F.sum("n")).first()[0] == n + 2000
+    assert out.where(~F.col("surrogate").rlike(r"^\p{Lu}\p{Ll}+$")).isEmpty()
+
+
+def test_a_full_layout_keeps_replacements_distinct(spark, monkeypatch):
+    """All one-digit numbers of a layout are entities."""
+    monkeypatch.setattr(pii, "FULL", 2)
+    cards = spark.createDataFrame([("other", str(i)) for i in range(10)], "kind string, canonical string")
+    out = pii.surrogates(cards, KEY).collect()
+    assert sorted(r.surrogate for r in out) == [str(i) for i in range(10)]
+
+
+def test_no_given_name_replaces_itself(spark):
+    names = [f"{n} Smith" for g in "mf" for n in pii.GIVEN["latin", g]]
+    for key in ("k1", "k2", "k3"):
+        assert all(a.split()[0] != b.split()[0] for a, b in zip(names, replaced(spark, names, key), strict=True))
+
+
+def test_clashing_names_and_hot_entities(spark, monkeypatch):
+    from tracegraph.llm import common
+
+    monkeypatch.setattr(common, "LEAST", 5)
+    rows = [(i, f"to all@b.cc and u{i}@b.cc, John Smith" if i % 3 else "to all@b.cc") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as n_entities", "'x' as kinds", "7 as new", "8 as __text")
+    out = {r.doc_id: r for r in pii.replace_entities(df, df.columns, KEY).collect()}
+    assert len(out) == 60 and all(r.n_entities == (3 if i % 3 else 1) and r.new == 7 and r["__text"] == 8 for i, r in out.items())
+    assert len({r.text.split()[1] for r in out.values()}) == 1 and len({r.text for r in out.values()}) == 41

@@ -38,6 +38,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it has more than 1 / HEAVY of all rows, and more than LEAST.
+HEAVY, LEAST = 10_000, 1000
+
+
+def hot_keys(rows: DataFrame, key: list[str], copies: str | None = None) -> DataFrame:
+    """The hot keys of ``rows``, which has been written, ``HEAVY`` at most, and in how many parts (__parts) to deal each out. A row
+    stands for as many as its column ``copies`` says."""
+    n = F.coalesce(F.sum(copies), F.lit(0)) if copies else F.count("*")
+    least = max(LEAST, rows.agg(n.alias("n")).first().n // HEAVY)
+    counts = rows.groupBy(*key).agg(n.alias("__parts")).where(F.col("__parts") > least)
+    return checkpoint(counts.withColumn("__parts", F.ceil(F.col("__parts") / least).cast("int")))
+
+
+def join_dealt(rows: DataFrame, table: DataFrame, key: list[str], hot: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key at most. The rows of hot keys are dealt out by a hash of their columns
+    ``by``, and the table's row goes to each part, so that no task has many more rows than others; that makes ``HEAVY`` more rows at most."""
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    spread = table.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(spread, [*key, "__part"], how).drop("__part")
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5; rows of fold 0 are held out of every training set."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))

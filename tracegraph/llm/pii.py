@@ -5,15 +5,21 @@ form of address, or a common given name with a surname. Every distinct entity ge
 entity's own layout: digits for digits, letters of the same case for letters, the same punctuation, top-level domain and
 country code, a valid Luhn digit if there was one, octets of as many digits. A name keeps its form of address and gets a
 given name of the same gender and a surname in the same script. Given names (with any middle ones) are entities of their own, so that
-people of one surname stay apart; when a draw from the pool fails ``LOOSE`` times, a name is made of syllables.
+people of one surname stay apart; when a draw from the pool fails ``LOOSE`` times, a name is made of syllables. There are more syllables
+the more names there are, and after each ``LOOSE`` draws.
 
 Coreference: forms that differ in layout or case only (``+1 (212) 555-0100``, ``+1 212-555-0100``) are one entity and get one
 replacement, written in the layout of each place. Distinctness: replacements that two entities share, or that are an
-entity themselves, are drawn again until there are none.
+entity themselves, are drawn again until there are none. Only where ``FULL`` draws fail, since the numbers of one layout are nearly all
+taken, a replacement may be another entity, but never another's replacement. No given name replaces itself.
+
+The key is a secret that the caller gives: who has it can find replacements of guessed entities. Entities and texts with very many places are dealt out
+over tasks (see ``common.join_dealt``).
 
 Occurrences are found once for each distinct text. Texts without any never move: a bitmap of fixed size (see ``bitmap``)
 tells them apart; only the others are shuffled, to meet their replacements by the hash of the text.
-Null texts stay null with no entities. Repeated rows give a row each. An empty table gives an empty result.
+Null texts stay null with no entities. Repeated rows give a row each. An empty table gives an empty result. Whole texts are searched, very long ones in
+one task. Columns to keep that are named like the new ones give way to them.
 """
 
 from __future__ import annotations
@@ -22,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import checkpoint
+from .common import checkpoint, hot_keys, join_dealt
 
-KEY = "surrogate key"
-#: Draws after which layouts may give way, and after which a replacement names its kind and hash.
-LOOSE, LAST = 4, 24
+#: Draws after which layouts may give way, and after which a replacement may be another entity.
+LOOSE, FULL = 4, 40
+#: Replacements that still wait are sent to what is settled up to this number, as a broadcast.
+FEW = 100_000
 
 # Forms of address, by gender.
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин")
@@ -140,12 +147,25 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10
 
 
-def _surrogate() -> Column:
-    """From kind, canonical, __hash and __try. Of a phone, card, social security number or IBAN: its digits and letters in turn."""
+_SOUNDS = {"latin": ("BCDFGHKLMNPRSTVW", "aeiou", "lmnrst", "aeo", "bdgkmt", "aei", "nrs"), "cyrillic": ("БВГДЗКЛМНПРСТ", "аеиоу", "лмнрст", "аео", "бдгкмт", "ои", "вн")}
+#: Numbers of one kind of made-up name, and how many times more a syllable makes them.
+_MADE, _MORE = 20_000, 16
+
+
+def _made(script: str, syllables: Column) -> Column:
+    """A name of syllables, the given number more than three."""
+    first = F.concat(*(_one_of(x, F.lit(i)) for i, x in enumerate(_SOUNDS[script])))
+    vowels, consonants = _SOUNDS[script][1], _SOUNDS[script][2]
+    more = F.transform(F.sequence(F.lit(0), syllables), lambda i: F.when(i == 0, "").otherwise(F.concat(_one_of(vowels, i * 2 + 20), _one_of(consonants, i * 2 + 21))))
+    return F.concat(first, F.array_join(more, ""))
+
+
+def _surrogate(syllables: Column) -> Column:
+    """From kind, canonical, __hash, __card and __try. Of a phone, card, social security number or IBAN: its digits and letters in turn."""
     c, loose = F.col("canonical"), F.col("__try") >= LOOSE
     local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
     labels = F.expr("substring(canonical, instr(canonical, '@') + 1, length(canonical) - instr(canonical, '@') - length(substring_index(canonical, '.', -1)))")
-    email = F.concat(_redrawn(local, 0), F.when(loose, F.substring("__hash", 100, 8)).otherwise(""), F.lit("@"), _redrawn(labels, 29), F.substring_index(domain, ".", -1))
+    email = F.concat(_redrawn(local, 0), F.when(loose, F.substring(F.col("__hash"), F.lit(100), 6 + F.col("__try"))).otherwise(""), F.lit("@"), _redrawn(labels, 29), F.substring_index(domain, ".", -1))
 
     def octet(o: Column, i: Column) -> Column:
         b = _byte(i * 3 + 1) + _byte(i * 3 + 2) * 256
@@ -155,24 +175,21 @@ def _surrogate() -> Column:
     code = F.when(c.startswith("+"), F.substring(c, 2, 1).cast("int")).otherwise(0)
     number = F.regexp_replace(c, r"^\+\d ", "")
     phone = F.concat(F.substring(number, F.lit(1), code), _redrawn(F.substring(number, code + 1, F.lit(40)), 3))
-    drawn = F.concat(F.substring(c, 1, 1), _redrawn(F.substring(c, 2, 40), 5))
     stem = F.expr("substring(__card, 1, length(__card) - 1)")
     check = F.pmod(10 - _luhn(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string")
     card = F.when(_luhn(c) == 0, F.concat(stem, check)).otherwise(F.col("__card"))
     iban = F.concat(F.substring(c, 1, 2), _redrawn(F.substring(c, 3, 40), 5))
     parts = F.split(c, " ")
-    sounds = (("BCDFGHKLMNPRSTVW", "aeiou", "lmnrst", "aeo", "bdgkmt", "aei", "nrs"), ("БВГДЗКЛМНПРСТ", "аеиоу", "лмнрст", "аео", "бдгкмт", "ои", "вн"))
-    latin, cyrillic = (F.concat(*(_one_of(s, F.lit(i)) for i, s in enumerate(x))) for x in sounds)
-    more = F.when(loose, _one_of(_LOWER, F.lit(40))).otherwise("")
-    surname = F.when(parts[1] == "cyrillic", F.concat(cyrillic, F.when(parts[0] == "f", "а").otherwise(""))).otherwise(F.concat(latin, more))
-    given = F.when(parts[1] == "cyrillic", cyrillic).otherwise(F.concat(latin, more))
+    more = syllables + F.floor(F.col("__try") / LOOSE).cast("int")
+    made = F.when(parts[1] == "cyrillic", _made("cyrillic", more)).otherwise(_made("latin", more))
+    surname = F.concat(made, F.when((parts[1] == "cyrillic") & (parts[0] == "f"), "а").otherwise(""))
+    given = made
     h = F.conv(F.substring("__hash", 1, 12), 16, 10).cast("long")
     for (script, gender), pool in GIVEN.items():
         pick = F.element_at(F.array(*map(F.lit, pool)), (F.pmod(h, F.lit(len(pool))) + 1).cast("int"))
         given = F.when(~loose & (parts[0] == gender) & (parts[1] == script), pick).otherwise(given)
-    last = F.concat(F.lit("["), F.col("kind"), F.lit(":"), F.substring("__hash", 1, 64), F.lit("]"))
-    by_kind = F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "phone", phone).when(F.col("kind") == "card", card).when(F.col("kind") == "iban", iban).when(F.col("kind") == "name", surname).when(F.col("kind") == "given", given).otherwise(_redrawn(c, 7))
-    return F.when(F.col("__try") >= LAST, last).otherwise(by_kind), drawn
+    kind = F.col("kind")
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", surname).when(kind == "given", given).otherwise(_redrawn(c, 7))
 
 
 def _plain(kind: Column, canonical: Column) -> Column:
@@ -180,23 +197,35 @@ def _plain(kind: Column, canonical: Column) -> Column:
     return F.when(kind == "name", F.initcap(F.substring_index(canonical, " ", -1))).when(kind == "phone", F.regexp_replace(canonical, r"^\+\d ", "")).otherwise(canonical)
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, surrogate) for the distinct (kind, canonical): no two alike within a kind, and none an entity
     (a given name may be another's: the surname beside it is nobody's)."""
-    replacement, card = _surrogate()
-    real = entities.where("kind != 'given'").select("kind", _plain(F.col("kind"), F.col("canonical")).alias("surrogate")).distinct()
-    waiting, settled = entities.withColumn("__try", F.lit(0)), None
-    while True:
-        drawn = waiting.withColumn("__hash", F.sha2(F.concat_ws("\x01", F.lit(key), "kind", "canonical", F.col("__try").cast("string")), 512)).withColumn("__card", card).withColumn("surrogate", replacement).drop("__hash", "__card")
-        taken = real if settled is None else real.unionByName(settled.select("kind", "surrogate"))
-        free = drawn.join(taken.withColumn("__taken", F.lit(True)).distinct(), ["kind", "surrogate"], "left")
-        first = F.expr("row_number() over (partition by kind, surrogate order by sha2(canonical, 256))") == 1
-        judged = checkpoint(free.withColumn("__ok", (first & F.col("__taken").isNull()) | (F.col("__try") >= LAST)).select("kind", "canonical", "surrogate", "__try", "__ok"))
-        won = judged.where("__ok").select("kind", "canonical", "surrogate")
+    entities = checkpoint(entities)
+    # a name's space has sixteen places for each name, or more
+    names = entities.where("kind in ('name', 'given')").count()
+    syllables = 0
+    while _MADE * _MORE**syllables < 16 * names:
+        syllables += 1
+    replacement = _surrogate(F.lit(syllables))
+    drawn_card = F.concat(F.substring("canonical", 1, 1), _redrawn(F.substring("canonical", 2, 40), 5))
+    own = (F.col("kind") == "given") & (F.lower("surrogate") == F.split("canonical", " ")[2])
+    real = checkpoint(entities.where("kind != 'given'").select("kind", _plain(F.col("kind"), F.col("canonical")).alias("surrogate")))
+    waiting, settled, tries, left = entities, None, 0, None
+    while left is None or left:
+        salt = F.sha2(F.concat_ws("\x01", F.lit(key), "kind", "canonical", F.lit(str(tries))), 512)
+        drawn = waiting.withColumn("__try", F.lit(tries)).withColumn("__hash", salt).withColumn("__card", drawn_card).withColumn("surrogate", replacement)
+        drawn = checkpoint(drawn.select("kind", "canonical", "surrogate", (~own).alias("__ok")))
+        wanted = drawn.select("kind", "surrogate")
+        parts = ([real] if tries < FULL else []) + ([settled.select("kind", "surrogate")] if settled is not None else [])
+        taken = drawn.select("kind", "surrogate").where("false")
+        for part in parts:  # what is settled stays where it is if few are asked for
+            taken = taken.unionByName(part.join(F.broadcast(wanted) if left is not None and left <= FEW else wanted, ["kind", "surrogate"], "left_semi"))
+        free = drawn.where("__ok").join(taken.distinct(), ["kind", "surrogate"], "left_anti")
+        won = checkpoint(free.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).select("kind", "canonical", "surrogate"))
         settled = won if settled is None else settled.unionByName(won)
-        waiting = judged.where("not __ok").select("kind", "canonical", (F.col("__try") + 1).alias("__try"))
-        if waiting.isEmpty():
-            return settled
+        waiting = checkpoint(waiting.join(won, ["kind", "canonical"], "left_anti").select("kind", "canonical"))
+        tries, left = tries + 1, waiting.count()
+    return settled
 
 
 def _rendered(m: Column, kind: Column, surrogate: Column, names: Column) -> Column:
@@ -213,30 +242,38 @@ def _rendered(m: Column, kind: Column, surrogate: Column, names: Column) -> Colu
     seps = F.regexp_replace(given, r"[\p{L}.]", "")
     name = F.concat(title, F.when(given == "", "").otherwise(F.concat(names, F.when(F.length(seps) > 1, F.concat(F.substring(seps, 1, 1), F.concat(F.substring(names, 1, 1), F.lit(".")))).otherwise(""), F.substring(seps, -1, 1))), surrogate)
     cased = F.when((kind == "email") & (m == F.upper(m)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(surrogate.startswith("["), surrogate).when(kind.isin("phone", "card", "ssn", "iban"), fill).when(kind == "name", name).otherwise(cased)
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), fill).when(kind == "name", name).otherwise(cased)
 
 
-def replace_entities(docs: DataFrame, keep: list[str], key: str = KEY) -> DataFrame:
-    """``keep`` columns of ``docs``, ``text`` with replacements, n_entities and kinds (distinct, sorted, comma-joined)."""
-    kept = [c for c in dict.fromkeys(keep) if c != "text"]
+def places_of(docs: DataFrame) -> DataFrame:
+    """(__text, copies, at, m, kind, canonical, given) of each entity of each distinct text with any; __text is its SHA-256."""
     found = docs.select("text", F.expr(f"regexp_extract_all(text, r'{PATTERN}', 0)").alias("m")).where("size(m) > 0")
-    by_text = found.groupBy(F.sha2("text", 256).alias("__text")).agg(F.first("m").alias("m"))
-    places = by_text.select("__text", F.posexplode("m").alias("at", "m"))
-    places = checkpoint(places.withColumn("kind", _kind(F.col("m"))).withColumn("canonical", _canonical(F.col("kind"), F.col("m"))).withColumn("given", _canonical_given(F.col("kind"), F.col("m"))))
+    by_text = found.groupBy(F.sha2("text", 256).alias("__text")).agg(F.first("m").alias("m"), F.count("*").alias("copies"))
+    places = by_text.select("__text", "copies", F.posexplode("m").alias("at", "m"))
+    return places.withColumn("kind", _kind(F.col("m"))).withColumn("canonical", _canonical(F.col("kind"), F.col("m"))).withColumn("given", _canonical_given(F.col("kind"), F.col("m")))
+
+
+def replace_entities(docs: DataFrame, keep: list[str], key: str) -> DataFrame:
+    """``keep`` columns of ``docs``, ``text`` with replacements, n_entities and kinds (distinct, sorted, comma-joined)."""
+    kept = [c for c in dict.fromkeys(keep) if c not in ("text", "n_entities", "kinds")]
+    places = checkpoint(places_of(docs))
     givens = places.where("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("canonical"))
     mapping = surrogates(places.select("kind", "canonical").union(givens).distinct(), key)
     firsts = mapping.where("kind = 'given'").select(F.col("canonical").alias("given"), F.col("surrogate").alias("names"))
-    named = places.where("given is not null").join(firsts, "given").drop("given").unionByName(places.where("given is null").drop("given").withColumn("names", F.lit("")))
-    new = named.join(mapping, ["kind", "canonical"]).select("__text", "at", "kind", _rendered(F.col("m"), F.col("kind"), F.col("surrogate"), F.col("names")).alias("new"))
+    named = places.where("given is not null")
+    named = join_dealt(named, firsts, ["given"], hot_keys(named, ["given"]), ["__text", "at"], "inner").drop("given").unionByName(places.where("given is null").drop("given").withColumn("names", F.lit("")))
+    new = join_dealt(named, mapping, ["kind", "canonical"], hot_keys(places, ["kind", "canonical"]), ["__text", "at"], "inner")
+    new = new.select("__text", "at", "kind", _rendered(F.col("m"), F.col("kind"), F.col("surrogate"), F.col("names")).alias("new"))
     new = checkpoint(new.groupBy("__text").agg(F.array_sort(F.collect_list(F.struct("at", "new", "kind"))).alias("new")))
 
-    marks = bitmap.build(new.select(F.xxhash64("__text").alias("__key")), "__key")
-    hashed = docs.select(*kept, F.col("text").alias("__old")).withColumn("__text", F.sha2("__old", 256)).withColumn("__key", F.xxhash64("__text"))
+    marks = bitmap.build(new.select(F.xxhash64("__text").alias("__key")), "__key", new.count())
+    names = [f"__k{i}" for i in range(len(kept))]
+    hashed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col("text").alias("__old")).withColumn("__text", F.sha2("__old", 256)).withColumn("__key", F.xxhash64("__text"))
     seen = bitmap.maybe_in(hashed, marks, "__key", "__maybe")
-    still = seen.where("not __maybe or __text is null").select(*kept, F.col("__old").alias("text"), F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
-    moved = seen.where("__maybe and __text is not null").select(*kept, "__old", "__text").join(new, "__text", "left")
+    still = seen.where("not __maybe or __text is null").select(*names, F.col("__old").alias("text"), F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
+    some = seen.where("__maybe and __text is not null").select(*names, "__old", "__text")
+    moved = join_dealt(some, new, ["__text"], hot_keys(places.where("at = 0"), ["__text"], "copies"), names or ["__text"])
     parts = F.arrays_zip(F.expr(f"split(__old, r'{PATTERN}', -1)").alias("a"), F.transform("new", lambda x: x.new).alias("b"))
     text = F.array_join(F.flatten(F.transform(parts, lambda x: F.array(x["a"], x["b"]))), "")
-    moved = moved.select(*kept, F.when(F.col("new").isNull(), F.col("__old")).otherwise(text).alias("text"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("__n"), F.array_join(F.array_sort(F.array_distinct(F.transform("new", lambda x: x.kind))), ",").alias("kinds"))
-    moved = moved.select(*kept, "text", F.greatest("__n", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("kinds", F.lit("")).alias("kinds"))
-    return still.unionByName(moved)
+    moved = moved.select(*names, F.when(F.col("new").isNull(), F.col("__old")).otherwise(text).alias("text"), F.greatest(F.coalesce(F.size("new"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("new", lambda x: x.kind))), ","), F.lit("")).alias("kinds"))
+    return still.unionByName(moved).withColumnsRenamed(dict(zip(names, kept, strict=True)))

@@ -60,7 +60,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents"), ["doc_id"])
+    # a key of one's own goes into the session's settings
+    return pii.replace_entities(table(spark, sf_dir, "documents"), ["doc_id"], spark.conf.get("tracegraph.surrogate.key", "key of the test tables"))
 
 
 def op10_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
