@@ -6,74 +6,79 @@ from pyspark.sql import functions as F
 from tracegraph import schema
 from tracegraph.sources import config, crossref, files
 
-HEAD = "cscope 15 /tmp -c               0000000099"
-SECTION_A = """a.c
+HEAD = "cscope 15 /srv/mail -c               0000000042"
 
-1 
-\t#WRAP
-(x) 
-\t`helper
-(x)
-\t)
 
+def record(number, *parts):
+    """A record from its first text, then symbols and texts in turn."""
+    return "\n".join([f"{number} {parts[0]}", *parts[1:]]) + "\n\n"
 
-3 int 
-\t$helper
-(int v) { 
-total
- = v; }
-\t}
 
+def section(file, *items):
+    return f"{file}\n\n" + "".join(items)
 
-4 int 
-\t$use
-(void) { 
-\t`WRAP
-(1); 
-total
- += 2; 
-total
-++; 
-\t`helper
-(
-total
-); 
-\t}
 
+def told(*items):
+    return {(op, name, scope) for op, name, scope, *_ in crossref.read_section(section("m.c", *items))}
 
-9 
-\t~"sub/deep.h
-"
-"""
 
+def test_what_stands_in_a_function():
+    rows = list(crossref.read_section(section("m.c", record(12, "void ", "\t$deliver", "(box *b) { ", "queue", " <<= ", "\t`depth", "(b); if (", "limit", " == ", "queue", ") ", "\t`drop", "(b); ", "\t}", "}"))))
+    text = "void deliver(box *b) { queue <<= depth(b); if (limit == queue) drop(b); }"
+    assert {r[5] for r in rows} == {text} and {r[3:5] for r in rows} == {("m.c", 12)}
+    assert {r[:3] for r in rows} == {("ref", "deliver", "deliver"), ("ref", "queue", "deliver"), ("assign", "queue", "deliver"), ("ref", "depth", "deliver"), ("call", "depth", "deliver"), ("ref", "limit", "deliver"), ("ref", "drop", "deliver"), ("call", "drop", "deliver")}
+    assert len(rows) == 8  # queue is told once
 
-def test_sections():
-    rows = list(crossref.read_section(SECTION_A))
-    got = {(op, name, scope, line) for op, name, scope, _, line, _ in rows}
-    assert ("call", "helper", "WRAP", 1) in got and ("call", "helper", "use", 4) in got and ("call", "WRAP", "use", 4) in got
-    assert ("assign", "total", "helper", 3) in got and ("assign", "total", "use", 4) in got
-    assert ("include", "deep.h", "<global>", 9) in got
-    assert [t for op, n, *_, t in rows if op == "assign" and n == "total"][0] == "int helper(int v) { total = v; }"
 
+@pytest.mark.parametrize(("after", "assigned"), [(" = 1", True), ("\t*= 2", True), (" >>= 2", True), (" |= x", True), (" == 1", False), ("++", False), (" <= 1", False), ("", False)])
+def test_assignments(after, assigned):
+    assert (("assign", "n", "<global>") in told(record(1, "", "n", after))) == assigned
 
-def test_false_nesting_counts_for_both():
-    section = "g.cpp\n\n7 \n\t$Gui\n(int *a)\n\n8  : \n\t$app\n(a)\n\n10 \n\t`setup\n();\n\n"
-    assert {s for op, n, s, *_ in crossref.read_section(section) if n == "setup" and op == "call"} == {"Gui", "app"}
+
+def test_scope_ends_and_symbols_outside():
+    assert told(record(1, "", "\t$open", "() {", "\t}", "}"), record(2, "x = ", "\t`later", "();")) >= {("call", "later", "<global>")}
+    # a bare mark between records ends a function, or begins one
+    assert ("call", "mid", "late") in told("\t$late\n", record(4, "", "\t`mid", "()"))
+    assert ("call", "mid", "<global>") in told("\t$late\n\t}\n", record(4, "", "\t`mid", "()"))
+    # what was last seen in a function stays there, unless its mark is a letter
+    items = [record(1, "", "\t$fill", "() { ", "tank", " = 1; ", "\t}", "}")]
+    assert told(*items, record(9, "", "tank", " = 2")) == {("ref", "fill", "fill"), ("ref", "tank", "fill"), ("assign", "tank", "fill")}
+    assert ("ref", "tank", "<global>") in told(*items, record(9, "", "\tgtank", " = 2"))
+
+
+def test_macros():
+    body = record(3, "", "\t#ROUND", "(v) ", "\t`up", "(v)", "\t)", "")
+    assert told(body) == {("ref", "ROUND", "<global>"), ("ref", "up", "ROUND"), ("call", "up", "ROUND")}
+    # a macro within a function: its body is its own, what follows is the function's; it isn't remembered as a place
+    inner = [record(1, "", "\t$mill", "() {"), record(2, "", "\t#ROUND", "(v) ", "\t`up", "(v)", "\t)", ""), record(3, "", "\t`up", "(1)")]
+    assert {x for x in told(*inner) if x[:2] == ("call", "up")} == {("call", "up", "ROUND"), ("call", "up", "mill")}
+    assert told(body, record(8, "", "up", "")) - told(body) == {("ref", "up", "<global>")}
+
+
+def test_a_function_in_a_function_counts_for_both():
+    items = [record(5, "class ", "\t$Outer", " : "), record(6, "", "\t$inner", "(x)"), record(7, "", "\t`work", "();"), "\t}\n", record(8, "", "\t`work", "();")]
+    assert {x[2] for x in told(*items) if x[:2] == ("call", "work")} == {"inner", "Outer"} | {"inner"}
+    again = [record(1, "", "\t$a", ""), record(2, "", "\t$b", ""), record(3, "", "\t$a", ""), record(4, "", "\t`w", "")]
+    assert {x[2] for x in told(*again) if x[:2] == ("call", "w")} == {"a", "b"}
+
+
+def test_includes_by_base_name():
+    assert told(record(1, "#include ", '\t~"net/smtp.h', '"'), record(2, "", "\t~<stdio.h", ">")) == {("include", "smtp.h", "<global>"), ("include", "stdio.h", "<global>")}
 
 
 def test_read_crossref(spark, tmp_path):
-    text = HEAD + "\n\t@" + SECTION_A + "\n\t@b.c\n\n2 int \n\t$reader\n(void) { return \ntotal\n == 3; }\n\t}\n\n\n\t@\n0\n"
-    (tmp_path / "x.out").write_text(text)
+    parts = [section("a.c", record(1, "int ", "\t$send", "(", "mail", " m) {"), record(2, "", "sent", " += 1; ", "\t`log", "();", "\t}", ""), record(3, "", '\t~"net/smtp.h', '"')), section("b.c", record(2, "", "\t$seen", "() { return ", "sent", " == 3; ", "\t}", "}"))]
+    (tmp_path / "x.out").write_text("\n\t@".join([HEAD, *(x.removesuffix("\n") for x in parts), "\n0\n"]))
     got = crossref.read_crossref(spark, str(tmp_path / "x.out"))
     assert {r.file for r in got.collect()} == {"a.c", "b.c"}
-    assert got.where("op = 'assign' and file = 'b.c'").count() == 0 and got.where("op = 'ref' and file = 'b.c' and name = 'total' and scope = 'reader'").count() == 1
-    defs = spark.createDataFrame([(0, "helper", "function", "a.c", 3, 3, False, None), (1, "total", "global", "a.c", 2, 2, False, None)], schema.DEFINITIONS)
+    assert got.where("op = 'assign' and file = 'b.c'").count() == 0 and got.where("op = 'ref' and file = 'b.c' and name = 'sent' and scope = 'seen'").count() == 1
+    defs = spark.createDataFrame([(0, "send", "function", "a.c", 1, 2, False, None), (1, "sent", "global", "a.c", 9, 9, False, None), (2, "log", "macro", "a.c", 9, 9, False, None)], schema.DEFINITIONS)
     kept = crossref.wanted(got, defs)
-    assert {(r.op, r.name) for r in kept.collect()} == {("call", "helper"), ("ref", "total"), ("assign", "total"), ("include", "deep.h")}
-    (tmp_path / "part.out").write_text(HEAD + "\n\t@a.c\n\n9x9 \nname\n\n\n\t@b.c\n\n1 \n\t`f\n()\n\n\t@\n0\n")
+    assert {(r.op, r.name) for r in kept.collect()} == {("call", "log"), ("ref", "sent"), ("assign", "sent"), ("include", "smtp.h")}
+    (tmp_path / "part.out").write_text("\n\t@".join([HEAD, "a.c\n\n9x9 \nname\n\n", section("b.c", record(1, "", "\t`log", "()")).removesuffix("\n"), "\n0\n"]))
     part = crossref.read_crossref(spark, str(tmp_path / "part.out"))
-    assert [r.file for r in crossref.bad_sections(part).collect()] == ["a.c"] and part.where("op = 'call'").count() == 1
-    (tmp_path / "bad.out").write_text("cscope 15 /tmp 000\n\t@\n")
+    assert [r.file for r in crossref.bad_sections(crossref.wanted(part, defs)).collect()] == ["a.c"] and part.where("op = 'call'").count() == 1
+    (tmp_path / "bad.out").write_text("cscope 15 /srv 000\n\t@\n")
     with pytest.raises(crossref.CrossrefError, match="format"):
         crossref.read_crossref(spark, str(tmp_path / "bad.out"))
     (tmp_path / "cut.out").write_text(HEAD + "\n\t@a.c\n\n1 x\n\n")

@@ -1,117 +1,115 @@
 """Uncompressed cross-reference files of format 15.
 
 A file is a header, then a section for each source file. Sections don't depend on each other, so Spark splits the text at
-their marks and each becomes one row; a reader goes through its records.
+their marks and each becomes one row. A section is read in three passes: a grammar of two items (records and bare marks) gives its symbols in
+order, a fold over the symbols gives what each stands in, and the last pass names operations.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ASSIGNS = re.compile(r"^\s*(?:=(?!=)|[+\-*/%&|^]=|<<=|>>=)")
 GLOBAL = "<global>"
+# The marks of the format, and the header's start and option.
+CALL, FUNCTION, FUNCTION_END, MACRO, MACRO_END, INCLUDE = "`", "$", "}", "#", ")", "~"
+HEADER, UNCOMPRESSED = "cscope 15 ", " -c "
+_ASSIGNS = re.compile(r"^\s*(?:=(?!=)|[+\-*/%&|^]=|<<=|>>=)")
+#: A record: its number and text, then pairs of a symbol and the text after it, then an empty line.
+_ITEM = re.compile(r"(?P<number>\d+)(?: (?P<text>[^\n]*))?\n(?P<pairs>(?:[^\n]+\n[^\n]*(?:\n|\Z))*)(?:\n|\Z)|\t(?P<mark>[^\n]?)(?P<name>[^\n]*)(?:\n|\Z)|(?P<other>[^\n]*)(?:\n|\Z)")
 
 
 class CrossrefError(ValueError):
     """The text isn't an uncompressed cross-reference of this format, or is cut off."""
 
 
-class _Scope:
-    """Which function and macro a symbol stands in."""
-
-    def __init__(self) -> None:
-        self.function, self.outer, self.macro, self.last = GLOBAL, [], None, {}
-
-    def enter(self, name: str) -> None:
-        if self.function not in (GLOBAL, name) and self.function not in self.outer:
-            self.outer.append(self.function)  # one of two is a false definition; sites count for both
-        self.function, self.macro = name, None
-
-    def leave(self) -> None:
-        self.function, self.outer = GLOBAL, []
-
-    def of(self, mark: str, name: str) -> list[str]:
-        now = self.macro if self.macro is not None else self.function
-        if now != GLOBAL:
-            found = [now] if self.macro is not None else [now, *self.outer]
-        elif mark.isalpha():
-            found = [GLOBAL]
-        else:
-            found = [self.last.get(name, GLOBAL)]
-        if self.macro is None:
-            self.last[name] = found[0]
-        return found
-
-    def bare(self, mark: str, name: str) -> None:
-        """A mark outside a record."""
-        if mark == ")":
-            self.macro = None
-        elif mark == "}":
-            self.leave()
-        elif mark == "$" and name:
-            self.enter(name)
-        elif mark == "#" and name:
-            self.macro = name
+class Symbol(NamedTuple):
+    mark: str
+    name: str
+    after: str
+    #: Number and whole text of its record; None for a mark outside of records.
+    record: tuple[int, str] | None
+
+
+def symbols_of(body: str) -> Iterator[Symbol]:
+    """The symbols of a section in order."""
+    at = 0
+    while at < len(body):
+        item = _ITEM.match(body, at)
+        at = item.end()
+        if item["number"]:
+            flat = item["pairs"].removesuffix("\n").split("\n") if item["pairs"] else []
+            marked = [(w[1:2], w[2:]) if w.startswith("\t") else ("", w) for w in flat[::2]]
+            after = flat[1::2] + [""] * (len(marked) - len(flat[1::2]))
+            text = (item["text"] or "") + "".join(name + rest for (_, name), rest in zip(marked, after, strict=True))
+            record = int(item["number"]), text
+            yield from (Symbol(mark, name, rest, record) for (mark, name), rest in zip(marked, after, strict=True))
+        elif item["mark"]:
+            yield Symbol(item["mark"], item["name"], "", None)
+        elif (item["other"] or "")[:1].isdigit():
+            raise ValueError(f"not a record: {item['other'][:60]}")
+
+
+def places_of(symbols: list[Symbol]) -> list[tuple[bool, tuple[str, ...]]]:
+    """For each symbol, whether it stands in a macro, and the macro or the functions that it stands in, the latest first.
+
+    A function that begins before another's end leaves open which of the two is real, so both hold. A function's own symbol stands in it,
+    a macro's in what is around it.
+    """
+    out: list[tuple[bool, tuple[str, ...]]] = []
+    macro, functions = "", ()
+    for s in symbols:
+        if s.mark == FUNCTION and s.name:
+            macro, functions = "", (s.name, *(f for f in functions if f != s.name))
+        elif s.mark == FUNCTION_END:
+            functions = ()
+        elif s.mark == MACRO_END:
+            macro = ""
+        out.append((True, (macro,)) if macro else (False, functions))
+        if s.mark == MACRO and s.name:
+            macro = s.name
+    return out
+
+
+def operations_of(s: Symbol) -> list[str]:
+    return ["ref", *(["call"] if s.mark == CALL else []), *(["assign"] if _ASSIGNS.match(s.after) else [])]
 
 
 def read_section(section: str) -> Iterator[tuple[str, str, str, str, int, str]]:
-    """(op, name, scope, file, line, text) of a section that starts with its file's name."""
-    file, *lines = section.split("\n")
-    scope, at = _Scope(), 0
-    while at < len(lines):
-        head = lines[at]
-        at += 1
-        if head.startswith("\t"):
-            scope.bare(head[1:2], head[2:])
+    """(op, name, scope, file, line, text) of a section that starts with its file's name, once for each record, op, name and scope.
+
+    What stands in nothing is global if its mark is a letter; else it stands where its symbol stood last, macros aside.
+    """
+    file, _, body = section.partition("\n")
+    symbols = list(symbols_of(body))
+    latest: dict[str, str] = {}
+    told: dict[tuple, None] = {}
+    for s, (in_macro, scopes) in zip(symbols, places_of(symbols), strict=True):
+        if s.record is None or not s.name or s.mark in (FUNCTION_END, MACRO_END):
             continue
-        if not head[:1].isdigit():
+        if s.mark == INCLUDE:
+            told[id(s.record), "include", s.name[1:].rpartition("/")[2], GLOBAL, *s.record, len(told)] = None
             continue
-        number, _, first = head.partition(" ")
-        parts, symbols = [first], []  # text and symbols in turn
-        while at < len(lines) and lines[at] != "":
-            word = lines[at]
-            symbols.append((word[1:2], word[2:]) if word.startswith("\t") else ("", word))
-            parts.append(symbols[-1][1])
-            parts.append(lines[at + 1] if at + 1 < len(lines) else "")
-            at += 2
-        at += 1
-        text, line, told = "".join(parts), int(number), set()
-        for i, (mark, name) in enumerate(symbols):
-            if mark == ")":
-                scope.macro = None
-                continue
-            if mark == "}":
-                scope.leave()
-                continue
-            if not name:
-                continue
-            if mark == "$":
-                scope.enter(name)
-            if mark == "~":
-                yield "include", name[1:].rsplit("/", 1)[-1], GLOBAL, file, line, text
-                continue
-            ops = ["ref"] + ["call"] * (mark == "`") + ["assign"] * bool(_ASSIGNS.match(parts[2 * i + 2]))
-            for where in scope.of(mark, name):
-                for op in ops:
-                    if (op, name, where) not in told:
-                        told.add((op, name, where))
-                        yield op, name, where, file, line, text
-            if mark == "#":
-                scope.macro = name
+        scopes = scopes or (GLOBAL if s.mark.isalpha() else latest.get(s.name, GLOBAL),)
+        if not in_macro:
+            latest[s.name] = scopes[0]
+        told |= {(id(s.record), op, s.name, scope, *s.record): None for scope in scopes for op in operations_of(s)}
+    for _, op, name, scope, line, text, *_ in told:
+        yield op, name, scope, file, line, text
 
 
 def read_crossref(spark: SparkSession, path: str) -> DataFrame:
     """Occurrences of a cross-reference file. Checks header and trailer before anything else reads it."""
     rows = spark.read.option("lineSep", "\n\t@").text(path)
     head = [r.value for r in rows.limit(1).collect()]
-    if not head or not head[0].startswith("cscope 15 ") or " -c " not in head[0].split("\n")[0]:
+    if not head or not head[0].startswith(HEADER) or UNCOMPRESSED not in head[0].split("\n")[0]:
         raise CrossrefError(f"not an uncompressed cross-reference of format 15: {head[0][:60] if head else ''!r}")
-    sections = rows.where(~F.col("value").startswith("cscope 15 "))
+    sections = rows.where(~F.col("value").startswith(HEADER))
     if sections.where(F.regexp_extract("value", r"^([^\n]*)", 1) == "").isEmpty():
         raise CrossrefError("no trailer; the file is cut off")
 
@@ -136,8 +134,11 @@ def bad_sections(occurrences: DataFrame) -> DataFrame:
 
 
 def wanted(occurrences: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Only calls of functions and macros, references and assignments of globals, and includes."""
-    of = lambda *kinds: definitions.where(F.col("kind").isin(*kinds)).select("name").distinct()
-    called = occurrences.where("op = 'call'").join(of("function", "macro"), "name", "left_semi")
-    used = occurrences.where("op in ('ref', 'assign')").join(of("global"), "name", "left_semi")
-    return called.unionByName(used).unionByName(occurrences.where("op = 'include'").select(*called.columns))
+    """Only calls of functions and macros, references and assignments of globals, includes, and sections that couldn't be read. The occurrences
+    are gone through once."""
+    of = lambda *kinds: F.max(F.col("kind").isin(*kinds))
+    names = definitions.groupBy("name").agg(of("function", "macro").alias("__called"), of("global").alias("__used"))
+    called, used = F.coalesce("__called", F.lit(False)), F.coalesce("__used", F.lit(False))
+    op = F.col("op")
+    kept = op.isin("include", "bad") | ((op == "call") & called) | (op.isin("ref", "assign") & used)
+    return occurrences.join(names, "name", "left").where(kept).select(*occurrences.columns)
