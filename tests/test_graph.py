@@ -7,44 +7,60 @@ from pyspark.sql import functions as F
 
 from tracegraph import schema
 from tracegraph.operators import assemble, layers
-from tracegraph.plans import build, documents, sqlgate, storage, verbs
+from tracegraph.plans import build, documents, page, sqlgate, storage, verbs
 from tracegraph.streaming import watch
 
+#: A heating: a pump, a boiler with two makes of sensor, ticks that call back, and fuels behind a pointer.
 TREE = {
-    "lib.h": "int sum(int, int);\nextern int total;\n#define BIG(a, b) ((a) > (b) ? (a) : (b))\n",
-    "lib.c": '#include "lib.h"\nint total = 0;\nint sum(int a, int b) { return BIG(a, b) + a; }\nstatic int aid(void) { return 1; }\nint use_aid(void) { return aid(); }\nint get(void) { return total; }\nvoid up(void) { total++; }\n',
-    "app.c": '#include "lib.h"\nstatic int aid(void) { return 2; }\nint main(void) {\n    total = sum(1, 2);\n    return aid();\n}\n',
-    "one.c": "int boot(void) { return 0; }\n",
-    "two.c": "int boot(void) { return 1; }\n",
-    "run.c": '#include "p/conf.h"\nint go(void) { return boot(); }\nint conf(void) { return read_conf(); }\n',
-    "p/conf.h": "#define P 1\nstatic int read_conf(void) { return 1; }\n",
-    "q/conf.h": "#define Q 2\n",
-    "cb.c": 'static int order(const void *a, const void *b) { return 0; }\nvoid arrange(void *x) { my_sort(x, order); }\nvoid fake(void) { const char *s = "order(x)"; }\n',
-    "op.c": "static int act(void) { return 0; }\nstatic struct ops T = { .run = act };\nint dispatch(struct ops *o) { return o->run(); }\nint extra(void) { return 7; }\n",
+    "heat/pump.h": "#define CLAMP(v, hi) ((v) < (hi) ? (v) : (hi))\nextern int flow;\nint pump_set(int rate);\n",
+    "heat/pump.c": '#include "pump.h"\nint flow = 4;\nstatic int ceiling(void)\n{\n    return 9;\n}\nint pump_set(int rate)\n{\n    flow = CLAMP(rate, ceiling());\n    return flow;\n}\n',
+    "boiler.c": '#include "heat/pump.h"\nstatic int\nceiling(void) { return 70; }\nstatic long cycles;\nint boiler_step(void)\n{\n    cycles += flow;\n    if (sense() > ceiling())\n        pump_set(0);\n    return pump_set(3);\n}\n',
+    "hw/real.c": "int sense(void) { return 61; }\n",
+    "hw/fake.c": "int sense(void) { return 20; }\n",
+    "hw/config.h": "#define PERIOD 5\n",
+    "heat/config.h": "#define PERIOD 6\n",
+    "ticks.c": '#include "config.h"\nstatic void on_tick(int n) { boiler_step(); }\n/* (on_tick, in a comment) */\nvoid begin(void)\n{\n    every(PERIOD, on_tick);\n    log("(on_tick, in a string)", 1);\n}\n',
+    "fuel.c": "static int gas(int on) { return on; }\nstatic int oil(int on) { return -on; }\nstruct fuel { int (*light)(int); } G = { .light = gas };\nvoid choose(struct fuel *f) { f->light = oil; }\nint ignite(struct fuel *f)\n{\n    return f->light(1);\n}\nint spark(int on) { return 2 * on; }\n",
 }
-DEFS = [("total", "global", "lib.c", 2, 2, False), ("sum", "function", "lib.c", 3, 3, False), ("aid", "function", "lib.c", 4, 4, True), ("use_aid", "function", "lib.c", 5, 5, False), ("get", "function", "lib.c", 6, 6, False), ("up", "function", "lib.c", 7, 7, False), ("BIG", "macro", "lib.h", 3, 3, False), ("aid", "function", "app.c", 2, 2, True), ("main", "function", "app.c", 3, 6, False), ("boot", "function", "one.c", 1, 1, False), ("boot", "function", "two.c", 1, 1, False), ("go", "function", "run.c", 2, 2, False), ("conf", "function", "run.c", 3, 3, False), ("P", "macro", "p/conf.h", 1, 1, False), ("read_conf", "function", "p/conf.h", 2, 2, True), ("Q", "macro", "q/conf.h", 1, 1, False), ("order", "function", "cb.c", 1, 1, True), ("arrange", "function", "cb.c", 2, 2, False), ("fake", "function", "cb.c", 3, 3, False), ("act", "function", "op.c", 1, 1, True), ("T", "global", "op.c", 2, 2, True), ("dispatch", "function", "op.c", 3, 3, False), ("extra", "function", "op.c", 4, 4, False)]
-OCCS = [("call", "sum", "main", "app.c", 4), ("call", "aid", "main", "app.c", 5), ("call", "aid", "use_aid", "lib.c", 5), ("call", "boot", "go", "run.c", 2), ("call", "read_conf", "conf", "run.c", 3), ("call", "BIG", "sum", "lib.c", 3), ("call", "sum", "BIG", "lib.h", 3), ("ref", "total", "main", "app.c", 4), ("assign", "total", "main", "app.c", 4), ("ref", "total", "get", "lib.c", 6), ("ref", "total", "up", "lib.c", 7), ("ref", "total", "<global>", "lib.c", 2), ("include", "lib.h", "<global>", "lib.c", 1), ("include", "lib.h", "<global>", "app.c", 1), ("include", "conf.h", "<global>", "run.c", 1)]
+_DEFS = """flow global heat/pump.c 2 2 | ceiling function heat/pump.c 3 6 static | pump_set function heat/pump.c 7 11 | CLAMP macro heat/pump.h 1 1
+ceiling function boiler.c 3 3 static | cycles global boiler.c 4 4 static | boiler_step function boiler.c 5 11 | sense function hw/real.c 1 1 | sense function hw/fake.c 1 1
+PERIOD macro hw/config.h 1 1 | PERIOD macro heat/config.h 1 1 | on_tick function ticks.c 2 2 static | begin function ticks.c 4 8
+gas function fuel.c 1 1 static | oil function fuel.c 2 2 static | G global fuel.c 3 3 | choose function fuel.c 4 4 | ignite function fuel.c 5 8 | spark function fuel.c 9 9"""
+DEFS = [(n, k, f, int(a), int(b), bool(more)) for row in _DEFS.replace("\n", " | ").split(" | ") for n, k, f, a, b, *more in [row.split()]]
+_OCCS = """call CLAMP pump_set heat/pump.c 9 | call ceiling pump_set heat/pump.c 9 | ref flow pump_set heat/pump.c 9 | assign flow pump_set heat/pump.c 9 | ref flow pump_set heat/pump.c 10 | ref flow <global> heat/pump.c 2
+ref cycles boiler_step boiler.c 7 | assign cycles boiler_step boiler.c 7 | ref flow boiler_step boiler.c 7 | call sense boiler_step boiler.c 8 | call ceiling boiler_step boiler.c 8 | call pump_set boiler_step boiler.c 9 | call pump_set boiler_step boiler.c 10
+call boiler_step on_tick ticks.c 2 | call PERIOD begin ticks.c 6 | include pump.h <global> heat/pump.c 1 | include pump.h <global> boiler.c 1 | include config.h <global> ticks.c 1"""
+OCCS = [(op, n, scope, f, int(line)) for row in _OCCS.replace("\n", " | ").split(" | ") for op, n, scope, f, line in [row.split()]]
 C, CB, FP, M = ("cscope", 0.9), ("callback", 0.7), ("fnptr", 0.8), ("manual", 1.0)
+TWO = '{"ambiguous":true,"candidates":2,"rule":"non-static-dup"}'
+BASE = '{"ambiguous":true,"rule":"dup-basename"}'
 EDGES = {
-    ("main", "sum", "calls", "app.c", 4, *C, "{}"),
-    ("main", "app.c::aid", "calls", "app.c", 5, *C, "{}"),
-    ("use_aid", "lib.c::aid", "calls", "lib.c", 5, *C, "{}"),
-    ("go", "one.c::boot", "calls", "run.c", 2, *C, '{"ambiguous":true,"candidates":2,"rule":"non-static-dup"}'),
-    ("go", "two.c::boot", "calls", "run.c", 2, *C, '{"ambiguous":true,"candidates":2,"rule":"non-static-dup"}'),
-    ("conf", "p/conf.h::read_conf", "calls", "run.c", 3, *C, "{}"),
-    ("sum", "BIG", "expands", "lib.c", 3, *C, "{}"),
-    ("main", "total", "writes", "app.c", 4, *C, "{}"),
-    ("get", "total", "reads", "lib.c", 6, *C, "{}"),
-    ("up", "total", "reads", "lib.c", 7, *C, "{}"),
-    ("up", "total", "writes", "lib.c", 7, *C, '{"rmw":true}'),
-    ("lib.c", "lib.h", "includes", "lib.c", 1, *C, "{}"),
-    ("app.c", "lib.h", "includes", "app.c", 1, *C, "{}"),
-    ("run.c", "p/conf.h", "includes", "run.c", 1, *C, "{}"),
-    ("arrange", "cb.c::order", "callback", "cb.c", 2, *CB, '{"heur":"fn-as-arg"}'),
-    ("dispatch", "op.c::act", "fnptr", "op.c", 3, *FP, '{"field":"run","handlers":1}'),
-    ("dispatch", "extra", "fnptr", "op.c", 3, *M, '{"field":"run","manual":true,"struct":"ops"}'),
-    ("dispatch", "extra", "fnptr", "(manual)", 0, *M, '{"manual":true}'),
-    ("dispatch", "elsewhere", "fnptr", "(manual)", 0, *M, '{"manual":true}'),
+    ("pump_set", "CLAMP", "expands", "heat/pump.c", 9, *C, "{}"),
+    ("pump_set", "heat/pump.c::ceiling", "calls", "heat/pump.c", 9, *C, "{}"),
+    ("pump_set", "flow", "writes", "heat/pump.c", 9, *C, "{}"),
+    ("pump_set", "flow", "reads", "heat/pump.c", 10, *C, "{}"),
+    ("boiler_step", "boiler.c::cycles", "writes", "boiler.c", 7, *C, "{}"),
+    ("boiler_step", "boiler.c::cycles", "reads", "boiler.c", 7, *C, '{"rmw":true}'),
+    ("boiler_step", "flow", "reads", "boiler.c", 7, *C, "{}"),
+    ("boiler_step", "flow", "writes", "boiler.c", 7, *C, '{"rmw":true}'),
+    ("boiler_step", "hw/real.c::sense", "calls", "boiler.c", 8, *C, TWO),
+    ("boiler_step", "hw/fake.c::sense", "calls", "boiler.c", 8, *C, TWO),
+    ("boiler_step", "boiler.c::ceiling", "calls", "boiler.c", 8, *C, "{}"),
+    ("boiler_step", "pump_set", "calls", "boiler.c", 9, *C, "{}"),
+    ("boiler_step", "pump_set", "calls", "boiler.c", 10, *C, "{}"),
+    ("ticks.c::on_tick", "boiler_step", "calls", "ticks.c", 2, *C, "{}"),
+    ("begin", "hw/config.h::PERIOD", "expands", "ticks.c", 6, *C, TWO),
+    ("begin", "heat/config.h::PERIOD", "expands", "ticks.c", 6, *C, TWO),
+    ("heat/pump.c", "heat/pump.h", "includes", "heat/pump.c", 1, *C, "{}"),
+    ("boiler.c", "heat/pump.h", "includes", "boiler.c", 1, *C, "{}"),
+    ("ticks.c", "hw/config.h", "includes", "ticks.c", 1, *C, BASE),
+    ("ticks.c", "heat/config.h", "includes", "ticks.c", 1, *C, BASE),
+    ("begin", "ticks.c::on_tick", "callback", "ticks.c", 6, *CB, '{"heur":"fn-as-arg"}'),
+    ("ignite", "fuel.c::gas", "fnptr", "fuel.c", 7, *FP, '{"field":"light","handlers":2}'),
+    ("ignite", "fuel.c::oil", "fnptr", "fuel.c", 7, *FP, '{"field":"light","handlers":2}'),
+    ("ignite", "spark", "fnptr", "fuel.c", 7, *M, '{"field":"light","manual":true,"struct":"fuel"}'),
+    ("begin", "spark", "fnptr", "(manual)", 0, *M, '{"manual":true}'),
+    ("ignite", "igniter_isr", "fnptr", "(manual)", 0, *M, '{"manual":true}'),
 }
 
 
@@ -52,8 +68,8 @@ def facts(spark, tree=TREE, defs=DEFS, occs=OCCS, **more):
     files = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in tree.items()], "path string, content binary").withColumn("content_hash", F.sha2("content", 256))
     d = spark.createDataFrame([(i, *x, None) for i, x in enumerate(defs)], schema.DEFINITIONS)
     o = spark.createDataFrame([(i, *x, tree[x[3]].splitlines()[x[4] - 1]) for i, x in enumerate(occs)], schema.OCCURRENCES)
-    regs = spark.createDataFrame([("run", "extra", "ops")], schema.REGISTRATIONS)
-    links = spark.createDataFrame([("dispatch", "extra"), ("dispatch", "elsewhere")], schema.LINKS)
+    regs = spark.createDataFrame([("light", "spark", "fuel")], schema.REGISTRATIONS)
+    links = spark.createDataFrame([("begin", "spark"), ("ignite", "igniter_isr")], schema.LINKS)
     return build.Facts(files, d, o, regs, links, **more)
 
 
@@ -63,7 +79,7 @@ def flat(edges):
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return build.build(spark, facts(spark, rules=[("^LIB", "core")]))
+    return build.build(spark, facts(spark, rules=[("^HEAT/", "core")]))
 
 
 @pytest.fixture(scope="module")
@@ -76,7 +92,7 @@ def test_nodes_and_edges(graph):
     assert flat(graph.edges) == EDGES
     nodes = {(r.qname, r.kind): r for r in graph.nodes.collect()}
     assert len(nodes) == len(DEFS) + len(TREE) + 1
-    assert nodes["sum", "function"].module == "core" and nodes["main", "function"].module == "" and nodes["elsewhere", "function"].origin == "manual"
+    assert nodes["pump_set", "function"].module == "core" and nodes["begin", "function"].module == "" and nodes["igniter_isr", "function"].origin == "manual"
 
 
 def test_repeated_qnames_are_told(spark):
@@ -86,26 +102,35 @@ def test_repeated_qnames_are_told(spark):
 
 
 def test_incremental_equals_full(spark, graph):
-    tree = {**TREE, "lib.c": TREE["lib.c"] + "int fresh(void) { return sum(1, 2); }\n"}
-    del tree["two.c"]
-    defs = [d for d in DEFS if d[2] != "two.c"] + [("fresh", "function", "lib.c", 8, 8, False)]
-    occs = OCCS + [("call", "sum", "fresh", "lib.c", 8)]
+    """A file grows, one goes (and with it an ambiguity), one comes."""
+    tree = {**TREE, "boiler.c": TREE["boiler.c"] + "int drain(void) { return pump_set(-1); }\n", "hw/alarm.c": "int alarm(void) { return sense(); }\n"}
+    del tree["hw/fake.c"]
+    defs = [d for d in DEFS if d[2] != "hw/fake.c"] + [("drain", "function", "boiler.c", 12, 12, False), ("alarm", "function", "hw/alarm.c", 1, 1, False)]
+    occs = OCCS + [("call", "pump_set", "drain", "boiler.c", 12), ("call", "sense", "alarm", "hw/alarm.c", 1)]
     now = facts(spark, tree, defs, occs)
     part, full = build.rebuild(spark, now, graph), build.build(spark, now)
     assert flat(part.edges) == flat(full.edges)
-    assert ("go", "boot", "calls", "run.c", 2, *C, "{}") in flat(part.edges)
+    assert {("boiler_step", "sense", "calls", "boiler.c", 8, *C, "{}"), ("alarm", "sense", "calls", "hw/alarm.c", 1, *C, "{}")} <= flat(part.edges)
     assert build.rebuild(spark, facts(spark), graph) is graph
-    assert {(r.path, r.change) for r in build.changes(graph.files, now.files).collect()} == {("lib.c", "changed"), ("two.c", "deleted")}
+    assert {(r.path, r.change) for r in build.changes(graph.files, now.files).collect()} == {("boiler.c", "changed"), ("hw/fake.c", "deleted"), ("hw/alarm.c", "added")}
 
 
 def test_semantic_layer(spark, graph):
-    told = spark.createDataFrame([(1, "sum", "main", "app.c", 4), (4, "total", "main", "app.c", 4), (1, "sum", None, "x.c", 1), (0, "sum", "main", "app.c", 1)], schema.SEMANTIC)
-    defs = facts(spark).definitions
-    once = build.import_semantic(graph, told, defs)
-    rows = {(r.dst_qname, r.kind, r.origin): r for r in once.edges.where("src_qname = 'main'").collect()}
-    assert rows["sum", "calls", "cscope"].meta.semantic == "confirmed" and rows["sum", "calls", "cscope"].confidence == 0.9
-    assert rows["app.c::aid", "calls", "cscope"].meta.semantic == "absent" and rows["total", "writes", "clink"].confidence == 0.93
-    assert flat(build.import_semantic(once, told, defs).edges) == flat(once.edges)
+    """Calls of static functions too: what is defined, and who sees it, is what the graph's nodes say."""
+    told = spark.createDataFrame([(1, "pump_set", "boiler_step", "/w/boiler.c", 9), (1, "ceiling", "boiler_step", "boiler.c", 8), (4, "cycles", "boiler_step", "boiler.c", 7), (1, "pump_set", None, "x.c", 1), (1, "pump_set", "no_such", "x.c", 1), (0, "pump_set", "boiler_step", "boiler.c", 1)], schema.SEMANTIC)
+    once, counts = build.import_semantic(graph, told, root="/w")
+    rows = {(r.dst_qname, r.kind, r.origin, r.line): r for r in once.edges.where("src_qname = 'boiler_step'").collect()}
+    assert rows["boiler.c::ceiling", "calls", "clink", 8].confidence == 0.93 and rows["boiler.c::cycles", "writes", "clink", 7].file == "boiler.c"
+    for line in (9, 10):  # the pair is confirmed, at all its sites
+        assert rows["pump_set", "calls", "cscope", line].meta.semantic == "confirmed" and rows["pump_set", "calls", "cscope", line].confidence == 0.9
+    assert rows["boiler.c::ceiling", "calls", "cscope", 8].meta.semantic == "confirmed" and rows["hw/real.c::sense", "calls", "cscope", 8].meta.semantic == "absent"
+    assert counts == {"calls": 2, "writes": 1, "confirmed": 4, "absent": 6, "dropped": 1}
+    ends = {(r.dst_qname, r.dst_kind) for r in once.edges.collect()}
+    assert ends <= {(r.qname, r.kind) for r in once.nodes.collect()}
+    again, same = build.import_semantic(once, told, root="/w")
+    assert flat(again.edges) == flat(once.edges) and same == counts
+    real, _ = build.import_semantic(graph, told, real=True)
+    assert {r.confidence for r in real.edges.where("origin = 'clink'").collect()} == {0.95}
 
 
 def test_co_changes(spark):
@@ -117,42 +142,96 @@ def test_co_changes(spark):
 
 
 def test_verbs(tables):
-    doc = documents.sectioned(tables, "callers", "sum")
-    assert [(i["qname"], i["site"], i["origins"]) for i in doc["definitions"][0]["items"]] == [("main", "app.c:4", ["cscope"])]
-    assert {i["qname"] for i in documents.sectioned(tables, "callees", "main")["definitions"][0]["items"]} == {"sum", "app.c::aid"}
-    assert {i["qname"] for i in documents.sectioned(tables, "callees", "sum")["definitions"][0]["items"]} == {"BIG"}
+    doc = documents.sectioned(tables, "callers", "pump_set")
+    assert [(i["qname"], i["site"], i["sites"], i["origins"]) for i in doc["definitions"][0]["items"]] == [("boiler_step", "boiler.c:9", 2, ["cscope"])]
+    assert {i["qname"] for i in documents.sectioned(tables, "callees", "boiler_step")["definitions"][0]["items"]} == {"pump_set", "boiler.c::ceiling", "hw/real.c::sense", "hw/fake.c::sense"}
+    assert {i["qname"] for i in documents.sectioned(tables, "callees", "pump_set")["definitions"][0]["items"]} == {"CLAMP", "heat/pump.c::ceiling"}
+    both = documents.sectioned(tables, "callers", "ceiling")["definitions"]
+    assert {(d["qname"], tuple(i["qname"] for i in d["items"])) for d in both} == {("heat/pump.c::ceiling", ("pump_set",)), ("boiler.c::ceiling", ("boiler_step",))}
     assert documents.sectioned(tables, "callers", "nothing")["definitions"] == []
-    e = documents.explore(tables, "up")["definitions"][0]
-    assert {(x["access"], x["qname"]) for x in e["globals"]} == {("reads", "total"), ("writes", "total")} and e["callers_total"] == 0
-    assert documents.impact(tables, "sum", 3)["definitions"][0]["depths"] == {"1": ["main"]}
-    boot = documents.impact(tables, "boot", 1)["definitions"]
-    assert all(d["affects"] == 0 and d["hint"].startswith("1 ambiguous") for d in boot)
-    assert all(d["depths"] == {"1": ["go"]} for d in documents.impact(tables, "boot", 1, ambiguous=True)["definitions"])
-    assert documents.global_users(tables, "total")["definitions"] == [{"qname": "total", "writers": ["main", "up"], "readers": ["get"]}]
-    assert documents.variables_of(tables, "get")["items"] == [{"qname": "total", "access": "reads", "site": "lib.c:6"}]
-    assert documents.includers(tables, "lib.h")["files"] == ["app.c", "lib.c"] and documents.includers(tables, "nope.h")["files"] == []
+    cut = documents.sectioned(tables, "callees", "boiler_step", limit=1)["definitions"][0]
+    assert (len(cut["items"]), cut["total"], cut["truncated"]) == (1, 4, True)
+    e = documents.explore(tables, "boiler_step")["definitions"][0]
+    assert {(x["access"], x["qname"]) for x in e["globals"]} == {(k, g) for k in ("reads", "writes") for g in ("flow", "boiler.c::cycles")} and e["callers_total"] == 1
+    assert documents.impact(tables, "pump_set", 4)["definitions"][0]["depths"] == {"1": ["boiler_step"], "2": ["ticks.c::on_tick"], "3": ["begin"]}
+    assert documents.impact(tables, "pump_set", 1)["definitions"][0]["by_file"] == {"boiler.c": [{"name": "boiler_step", "line": 5}]}
+    sense = documents.impact(tables, "sense", 1)["definitions"]
+    assert len(sense) == 2 and all(d["affects"] == 0 and d["hint"].startswith("1 ambiguous") for d in sense)
+    assert all(d["depths"] == {"1": ["boiler_step"]} for d in documents.impact(tables, "sense", 1, ambiguous=True)["definitions"])
+    assert documents.global_users(tables, "flow")["definitions"] == [{"qname": "flow", "writers": ["boiler_step", "pump_set"], "readers": []}]
+    assert documents.variables_of(tables, "pump_set")["items"] == [{"qname": "flow", "access": "reads", "site": "heat/pump.c:10"}, {"qname": "flow", "access": "writes", "site": "heat/pump.c:9"}]
+    assert documents.includers(tables, "pump.h")["files"] == ["boiler.c", "heat/pump.c"] and documents.includers(tables, "nope.h")["files"] == []
+    assert documents.includers(tables, "config.h")["files"] == ["ticks.c"]
     for f in (documents.impact, documents.global_users):
         with pytest.raises(verbs.UnknownSymbol):
             f(tables, "nothing")
-    assert "main" in documents.text_of(doc) and "not found" in documents.text_of(documents.sectioned(tables, "callers", "nothing"))
+    assert "boiler_step" in documents.text_of(doc) and "not found" in documents.text_of(documents.sectioned(tables, "callers", "nothing"))
     assert documents.notice(40, 50).startswith("… +10 more") and documents.notice(40, 40) == ""
 
 
+def test_verbs_with_names_of_very_many_definitions(tables, monkeypatch):
+    """Joins in place of filters give the same."""
+    before = documents.sectioned(tables, "callers", "ceiling"), documents.impact(tables, "pump_set", 4), documents.global_users(tables, "flow")
+    monkeypatch.setattr(verbs, "FEW", 0)
+    monkeypatch.setattr("tracegraph.operators.traverse.FEW", 0)
+    assert (documents.sectioned(tables, "callers", "ceiling"), documents.impact(tables, "pump_set", 4), documents.global_users(tables, "flow")) == before
+
+
 def test_introspection(spark, graph, tables):
     doc = verbs.schema_document(tables)
     assert doc["nodes"]["macro"] == 3 and {"kind": "fnptr", "origin": "manual", "count": 3} in doc["edges"]
     assert [p["origin"] for p in doc["pending"]] == ["clangd", "clink"] and doc["warnings"] == []
     assert verbs.schema_document(tables, "new hash")["warnings"] == ["STALE: the manual table is new"]
     assert verbs.dump_document(tables, "p")["schema_version"] == "2"
-    drift = build.changes(graph.files, facts(spark, {**TREE, "new.c": ""}).files)
-    status = verbs.status_document(drift, {"schema_version": "2", "root": "/w"}, "/w")
-    assert status["health"] == "WARN" and status["drift"]["added"] == 1 and [i["code"] for i in status["issues"]] == ["STALE_GRAPH"]
-    assert verbs.status_document(None, None, "/w")["health"] == "ERROR" and verbs.status_document(None, {"schema_version": "2"}, "/w")["health"] == "OK"
-    view = verbs.view_document(tables, focus="sum", depth=1)
-    assert {n["id"] for n in view["nodes"]} == {"sum", "main"} and [n["id"] for n in view["nodes"] if n["focus"]] == ["sum"]
-    assert "main" in verbs.html_page(view)
     deps = {tuple(r) for r in tables["file_deps"].collect()}
-    assert ("app.c", "lib.c", "calls") in deps and ("(manual)", "op.c", "fnptr") in deps
+    assert ("boiler.c", "heat/pump.c", "calls") in deps and ("(manual)", "fuel.c", "fnptr") in deps
+
+
+GOOD = {"schema_version": "2", "root": "/w"}
+TOOLS = {"ctags": {"path": "ctags", "version": "Universal Ctags 6", "flavor": "universal"}, "cscope": {"path": "cscope", "version": "15.9", "flavor": None}, "clink": {"path": "clink", "version": None, "flavor": None}}
+
+
+@pytest.mark.parametrize(
+    ("meta", "more", "codes", "health"),
+    [
+        (None, {}, {"NO_GRAPH"}, "ERROR"),
+        (GOOD, {}, set(), "OK"),
+        (GOOD | {"root": "/other"}, {}, {"ROOT_MISMATCH"}, "ERROR"),
+        (GOOD | {"schema_version": "1"}, {}, {"SCHEMA_OLD"}, "WARN"),
+        (GOOD | {"git_head": "a"}, {"head": "b"}, {"GIT_MOVED"}, "OK"),
+        (GOOD | {"compile_db": "synthesized"}, {}, {"CLINK_SYNTHESIZED"}, "OK"),
+        (GOOD, {"env_unknown": ["X"]}, {"ENV_UNKNOWN_VARS"}, "WARN"),
+        (GOOD, {"tools": TOOLS}, {"CLINK_MISSING", "SKILL_MISSING"}, "OK"),
+        (GOOD, {"tools": TOOLS, "skill": "stale"}, {"CLINK_MISSING", "SKILL_STALE"}, "WARN"),
+        (GOOD, {"tools": {"ctags": TOOLS["ctags"] | {"flavor": "bsd"}}, "skill": "current"}, {"CTAGS_NOT_UNIVERSAL"}, "ERROR"),
+        (GOOD, {"tools": {"cscope": TOOLS["clink"], "ctags": TOOLS["clink"]}, "skill": "current"}, {"TOOL_MISSING_CSCOPE", "TOOL_MISSING_CTAGS"}, "ERROR"),
+    ],
+)
+def test_status_codes(meta, more, codes, health):
+    doc = verbs.status_document(None, meta, "/w", **more)
+    assert {i["code"] for i in doc["issues"]} == codes and doc["health"] == health
+    assert {i["severity"] for i in doc["issues"]} <= {"info", "warn", "error"}
+
+
+def test_status_of_drift(spark, graph):
+    drift = build.changes(graph.files, facts(spark, {**TREE, **{f"n{i}.c": "" for i in range(7)}}).files)
+    doc = verbs.status_document(drift, GOOD, "/w")
+    assert doc["health"] == "WARN" and [i["code"] for i in doc["issues"]] == ["STALE_GRAPH"]
+    assert doc["drift"] == {"changed": 0, "added": 7, "deleted": 0, "total": 7, "files": [f"n{i}.c" for i in range(5)], "truncated": True}
+    assert len(verbs.status_document(drift, GOOD, "/w", full=True)["drift"]["files"]) == 7
+
+
+def test_view_and_page(tables):
+    view = verbs.view_document(tables, focus="pump_set", depth=1)
+    assert {n["id"] for n in view["nodes"]} == {"pump_set", "boiler_step", "heat/pump.c::ceiling"} and [n["id"] for n in view["nodes"] if n["focus"]] == ["pump_set"]
+    assert {x["id"] for x in verbs.view_document(tables, focus="ceiling", depth=1)["nodes"]} == {"pump_set", "boiler_step", "heat/pump.c::ceiling", "boiler.c::ceiling"}
+    for solid in (True, False):
+        text = page.html_page(view, solid)
+        assert "boiler_step" in text and f"solid={str(solid).lower()}" in text and "http" not in text
+    assert "</script><script>" not in page.html_page({"nodes": [{"id": "</script><script>"}], "links": [], "focus": None}, True)
+    whole, few = verbs.view_document(tables), verbs.view_document(tables, most=2)
+    assert whole["total"] == few["total"] == len(whole["links"]) and len(few["links"]) == 2 and {x for e in few["links"] for x in (e["source"], e["target"])} == {n["id"] for n in few["nodes"]}
+    assert "2 of" in page.html_page(few)
 
 
 def test_publish_load_drop(spark, tables, tmp_path):
@@ -160,20 +239,74 @@ def test_publish_load_drop(spark, tables, tmp_path):
     with pytest.raises(FileNotFoundError):
         storage.load(spark, folder)
     first = storage.publish(spark, folder, tables)
-    assert storage.publish(spark, folder, tables) != first
+    second = storage.publish(spark, folder, tables)
+    assert second != first
     again = storage.load(spark, folder)
-    assert flat(again["edges"]) == EDGES and documents.sectioned(again, "callers", "sum")["definitions"][0]["total"] == 1
-    assert len(storage.drop(spark, folder)) == 3 and storage.drop(spark, folder) == []
+    assert flat(again["edges"]) == EDGES and documents.sectioned(again, "callers", "pump_set")["definitions"][0]["total"] == 1
+    assert documents.sectioned(again, "callees", "pump_set")["definitions"][0]["total"] == 2
+    # versions before the last one are removed
+    third = storage.publish(spark, folder, tables)
+    assert {p.name for p in (tmp_path / "g").iterdir() if p.is_dir()} == {second, third} and (tmp_path / "g/.gitignore").read_text() == "*\n"
+    assert {"_CURRENT", ".gitignore", second, third} <= set(storage.drop(spark, folder)) and storage.drop(spark, folder) == []
+
+
+def test_a_crash_while_publishing_leaves_the_old_graph(spark, tables, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/g"
+    old = storage.publish(spark, folder, tables)
+
+    def crash(*_):
+        raise OSError("the machine is gone")
+
+    for name in ("write_text", "_replace"):
+        with monkeypatch.context() as m:
+            m.setattr(storage, name, crash)
+            with pytest.raises(OSError, match="gone"):
+                storage.publish(spark, folder, tables)
+        assert storage.current(spark, folder) == old and flat(storage.load(spark, folder)["edges"]) == EDGES
+
+
+def test_a_few_names_are_filtered_for(spark, tables, tmp_path):
+    folder = f"file://{tmp_path}/g"
+    storage.publish(spark, folder, tables)
+    t = storage.load(spark, folder)
+    for end, name in (("dst", "pump_set"), ("src", "boiler_step")):
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = verbs.neighbours(verbs.pairs_of(t, end), t["nodes"], name, end)._jdf.queryExecution().explainString(formatted)
+        assert f"EqualTo({end}_qname,{name})" in plan or f"In({end}_qname, [{name}])" in plan
 
 
 def test_sql_gate(spark, tables):
-    sqlgate.register(tables)
-    rows, more = sqlgate.run(spark, "WITH x AS (SELECT kind, count(*) AS n FROM edges GROUP BY kind HAVING n > 0) SELECT * FROM x ORDER BY kind", 3)
-    assert len(rows) == 3 and more
-    assert sqlgate.run(spark, "SELECT 1", 1) == ([(1,)], False)
-    for bad in ("DROP TABLE edges", "INSERT INTO edges SELECT * FROM edges", "CREATE TABLE t AS SELECT 1", "SET a=b", "CACHE TABLE edges", "SELECT reflect('java.lang.System', 'exit', 1)"):
-        with pytest.raises(sqlgate.Refused):
-            sqlgate.run(spark, bad)
+    rows, more = sqlgate.run(spark, "WITH x AS (SELECT kind, count(*) AS n FROM edges GROUP BY kind HAVING n > 0) SELECT * FROM x ORDER BY kind", tables, 3)
+    assert len(list(rows)) == 3 and more
+    rows, more = sqlgate.run(spark, "SELECT 1", tables, 1)
+    assert (list(rows), more) == ([(1,)], False)
+    rows, more = sqlgate.run(spark, "SELECT qname FROM nodes", tables, 0)
+    assert len(list(rows)) == tables["nodes"].count() and not more
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT kind, upper(name), row_number() OVER (PARTITION BY kind ORDER BY qname) AS r FROM nodes WHERE name LIKE 'p%' ORDER BY 1, 3 LIMIT 5",
+        "SELECT * FROM nodes n JOIN edges e ON n.qname = e.src_qname AND e.kind IN (SELECT kind FROM edge_pairs WHERE site_count > 1)",
+        "SELECT e.meta.field, (SELECT max(line) FROM edges) AS top FROM edges e WHERE EXISTS (SELECT 1 FROM nodes WHERE qname = e.dst_qname)",
+        "SELECT o FROM edge_pairs LATERAL VIEW explode(split(origins, ',')) t AS o",
+        "WITH RECURSIVE t(n) AS (VALUES (1) UNION ALL SELECT n + 1 FROM t WHERE n < 4) SELECT sum(n) FROM t",
+        "SELECT * FROM range(3) UNION ALL SELECT count(*) FROM files",
+    ],
+)
+def test_sql_gate_lets_queries_through(spark, tables, text):
+    rows, _ = sqlgate.run(spark, text, tables)
+    assert list(rows)
+
+
+CALLS = ("reflect('java.lang.System', 'getProperty', 'user.dir')", "`reflect`('java.lang.System', 'getProperty', 'user.dir')", "reflect/**/('java.lang.System', 'getProperty', 'user.dir')", "java_method('java.lang.System', 'exit', 1)", "try_reflect('a', 'b')", "system.builtin.reflect('a', 'b')", "IDENTIFIER('reflect')('a', 'b')", "input_file_name()")
+
+
+@pytest.mark.parametrize("text", ["DROP TABLE edges", "INSERT INTO edges SELECT * FROM edges", "CREATE TABLE t AS SELECT 1", "SET a=b", "CACHE TABLE edges", "DESCRIBE edges", "SHOW TABLES", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/x`", "SELECT * FROM default.edges", "SELECT * FROM other", "SELECT 1 WHERE 1 IN (SELECT value FROM text.`/etc/hostname`)", "SELECT TRANSFORM (qname) USING 'cat' FROM nodes", "SELECT * FROM IDENTIFIER('edges')", "SELECT :x", *(f"SELECT {c}" for c in CALLS), *(f"SELECT 1 WHERE EXISTS (SELECT {c})" for c in CALLS), *(f"WITH x AS (SELECT {c} AS y) SELECT * FROM x" for c in CALLS[:3]), f"SELECT * FROM nodes, LATERAL (SELECT {CALLS[0]})", f"SELECT count(*) OVER (ORDER BY {CALLS[0]}) FROM nodes", f"SELECT filter(array(1), x -> {CALLS[0]} = 'a')", f"SELECT * FROM nodes ORDER BY {CALLS[0]}", "SELECT * FROM python_worker_logs()"])
+def test_sql_gate_refuses(spark, tables, text):
+    with pytest.raises(sqlgate.Refused):
+        sqlgate.run(spark, text, tables)
 
 
 def test_watch_rebuilds_for_landed_files(spark, tmp_path):

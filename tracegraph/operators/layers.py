@@ -49,16 +49,16 @@ def expands(occurrences: DataFrame, definitions: DataFrame) -> DataFrame:
 def accesses(occurrences: DataFrame, definitions: DataFrame) -> DataFrame:
     """Writes are the assignments; reads the references at sites that don't write the same name. A line that does both gives
     the other edge as well, marked rmw and inserted after it."""
-    variables = _of(definitions, "global")
-    wrote = occurrences.where("op = 'assign'")
-    read = occurrences.where("op = 'ref'").join(wrote.select("name", "file", "line").distinct(), ["name", "file", "line"], "left_anti")
-    both = wrote.withColumn("kind", F.lit("writes")).unionByName(read.withColumn("kind", F.lit("reads"))).where(~F.col("scope").isin(*NOWHERE))
-    found = resolve.choose_targets(resolve.attribute_sources(both, _of(definitions, "function")), variables)
-    plain = _edges(found, F.col("kind"), "cscope", schema.meta(**resolve.ambiguity(F.col("candidates"))), 2, F.when(F.col("kind") == "writes", 0).otherwise(2))
-    other = F.when(F.col("kind") == "writes", "reads").otherwise("writes")
-    again = found.where(X.is_changed_in_place(F.col("text"), F.col("name")))
-    paired = _edges(again, other, "cscope", schema.meta(**resolve.ambiguity(F.col("candidates")), rmw=F.lit(True)), 2, F.when(F.col("kind") == "writes", 1).otherwise(3))
-    return plain.unionByName(paired)
+    sites = occurrences.where("op in ('ref', 'assign')")
+    wrote = sites.where("op = 'assign'").select("name", "file", "line", F.lit(True).alias("__wrote")).distinct()
+    both = sites.join(wrote, ["name", "file", "line"], "left").where(((F.col("op") == "assign") | F.col("__wrote").isNull()) & ~F.col("scope").isin(*NOWHERE)).drop("__wrote")
+    found = resolve.choose_targets(resolve.attribute_sources(both, _of(definitions, "function")), _of(definitions, "global"))
+    writes = F.col("op") == "assign"
+    plain = F.struct(F.when(writes, "writes").otherwise("reads").alias("kind"), F.when(writes, 0).otherwise(2).alias("step"), F.lit(None).cast("boolean").alias("rmw"))
+    other = F.struct(F.when(writes, "reads").otherwise("writes").alias("kind"), F.when(writes, 1).otherwise(3).alias("step"), F.lit(True).alias("rmw"))
+    again = X.is_changed_in_place(F.col("text"), F.col("name"))
+    each = found.withColumn("e", F.explode(F.array_compact(F.array(plain, F.when(again, other)))))
+    return _edges(each, F.col("e.kind"), "cscope", schema.meta(**resolve.ambiguity(F.col("candidates")), rmw=F.col("e.rmw")), 2, F.col("e.step"))
 
 
 def includes(occurrences: DataFrame, files: DataFrame) -> DataFrame:
@@ -152,13 +152,22 @@ def co_changes(commits: DataFrame, files: DataFrame, window: int = 500) -> DataF
     return _edges(found, "co_changes", "git", schema.meta(count=F.col("count"), window=F.lit(window)), 9)
 
 
-def semantic(facts: DataFrame, definitions: DataFrame, real: bool = False) -> DataFrame:
-    """Calls (category 1) and writes (4) that a compiler front end attributed."""
-    sites = facts.where(F.col("category").isin(1, 4) & F.col("parent").isNotNull()).select(F.when(F.col("category") == 1, "calls").otherwise("writes").alias("kind"), "name", F.col("parent").alias("scope"), F.col("path").alias("file"), "line", F.lit(0).cast("long").alias("seq"))
-    found = resolve.attribute_sources(sites, _of(definitions, "function"))
-    each = [resolve.choose_targets(found.where(F.col("kind") == k), _of(definitions, d)).where(OTHER) for k, d in (("calls", "function"), ("writes", "global"))]
+def semantic_sites(facts: DataFrame, root: str = "") -> DataFrame:
+    """Sites of calls (category 1) and writes (4) that have a parent; their paths are relative to ``root``."""
+    path = F.col("path")
+    if root:
+        inside = F.startswith(path, F.lit(root.rstrip("/") + "/"))
+        path = F.when(inside, F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))).otherwise(path)
+    kept = facts.where(F.col("category").isin(1, 4) & F.col("parent").isNotNull())
+    return kept.select(F.when(F.col("category") == 1, "calls").otherwise("writes").alias("op"), "name", F.col("parent").alias("scope"), path.alias("file"), "line", F.lit(0).cast("long").alias("seq"))
+
+
+def semantic(facts: DataFrame, definitions: DataFrame, real: bool = False, root: str = "") -> DataFrame:
+    """Calls and writes that a compiler front end attributed."""
+    found = resolve.attribute_sources(semantic_sites(facts, root), _of(definitions, "function"))
+    each = [resolve.choose_targets(found.where(F.col("op") == k), _of(definitions, d)).where(OTHER) for k, d in (("calls", "function"), ("writes", "global"))]
     meta = schema.meta(**resolve.ambiguity(F.col("candidates")))
-    return _edges(reduce(DataFrame.unionByName, each), F.col("kind"), "clink", meta, 10, confidence=schema.CLINK_REAL if real else None)
+    return _edges(reduce(DataFrame.unionByName, each), F.col("op"), "clink", meta, 10, confidence=schema.CLINK_REAL if real else None)
 
 
 def confirm(edges: DataFrame, by: str = "clink") -> DataFrame:

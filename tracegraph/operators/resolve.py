@@ -50,19 +50,19 @@ def attribute_sources(occurrences: DataFrame, definitions: DataFrame, scope: str
 def choose_targets(occurrences: DataFrame, definitions: DataFrame, name: str = "name") -> DataFrame:
     """A row for each definition that the name may mean at its site, with dst_qname, dst_kind and candidates (their number).
 
-    Static definitions are seen from their own file only, but those in headers from everywhere. What everyone sees and what
-    one file sees are two joins, and both counts are known before them.
+    Static definitions are seen from their own file only, but those in headers from everywhere. A site asks for its name twice in one join, as
+    everyone sees it and as its file does; both counts are known before.
     """
     open_ = ~F.col("is_static") | X.is_header(F.col("file"))
-    everywhere = definitions.where(open_).select(F.col("name").alias(name), F.col("qname").alias("dst_qname"), F.col("kind").alias("dst_kind"))
-    inside = definitions.where(~open_).select(F.col("name").alias(name), "file", F.col("qname").alias("dst_qname"), F.col("kind").alias("dst_kind"))
-    n_open = everywhere.groupBy(name).agg(F.count("*").alias("__open"))
-    n_here = inside.groupBy(name, "file").agg(F.count("*").alias("__here"))
+    seen = definitions.select(F.col("name").alias(name), F.when(open_, "").otherwise(F.col("file")).alias("__from"), F.col("qname").alias("dst_qname"), F.col("kind").alias("dst_kind"))
+    counts = seen.groupBy(name, "__from").agg(F.count("*").cast("int").alias("__n"))
+    n_open = counts.where("__from = ''").select(name, F.col("__n").alias("__open"))
+    n_here = counts.where("__from != ''").select(name, F.col("__from").alias("file"), F.col("__n").alias("__here"))
     counted = occurrences.join(n_open, name, "left").join(n_here, [name, "file"], "left")
-    total = (F.coalesce("__open", F.lit(0)) + F.coalesce("__here", F.lit(0))).cast("int")
-    counted = counted.withColumn("candidates", total).drop("__open", "__here").where("candidates > 0")
-    columns = [*counted.columns, "dst_qname", "dst_kind"]
-    return counted.join(everywhere, name).select(*columns).unionByName(counted.join(inside, [name, "file"]).select(*columns))
+    counted = counted.withColumns({"__open": F.coalesce("__open", F.lit(0)), "__here": F.coalesce("__here", F.lit(0))})
+    asked = F.array_compact(F.array(F.when(F.col("__open") > 0, F.lit("")), F.when(F.col("__here") > 0, F.col("file"))))
+    columns = [*occurrences.columns, "candidates", "dst_qname", "dst_kind"]
+    return counted.withColumn("candidates", F.col("__open") + F.col("__here")).withColumn("__from", F.explode(asked)).join(seen, [name, "__from"]).select(*columns)
 
 
 def enclosing(sites: DataFrame, definitions: DataFrame) -> DataFrame:

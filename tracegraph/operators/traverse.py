@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEEPEST = 10
 
@@ -14,28 +16,40 @@ def clamp(depth: int) -> int:
     return max(1, min(DEEPEST, depth))
 
 
+#: Nodes of a frontier up to which the steps are filtered by them; beyond, they are joined.
+FEW = 1000
+
+
+def _from(steps: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The steps from a small frontier by a filter, which reaches the scan, so that most row groups aren't read."""
+    few = [r.id for r in frontier.select("id").distinct().limit(FEW + 1).collect()]
+    if len(few) > FEW:
+        return steps
+    if not isinstance(steps.schema["a"].dataType, T.StructType):
+        return steps.where(F.col("a").isin(*few))
+    return steps.where(F.col("a.qname").isin(*sorted({x.qname for x in few})))
+
+
 def reach(seeds: DataFrame, steps: DataFrame, depth: int, cut: Callable[[DataFrame], DataFrame], with_seeds: bool = False) -> DataFrame:
-    """(id, depth) of what ``steps`` (a, b) reach from ``seeds`` (id) in at most ``depth`` steps, at its least depth.
+    """(start, id, depth) of what ``steps`` (a, b) reach from ``seeds`` (start, id) in at most ``depth`` steps, for each start at its least depth.
+    Without a column start all seeds are one.
 
     Seeds count as reached only if a cycle leads back to them, unless ``with_seeds``. ``cut`` ends the lineage of each level.
     """
-    start = seeds.select("id").distinct()
+    key = ["start", "id"] if "start" in seeds.columns else ["id"]
+    start = frontier = cut(seeds.select(*key).distinct())
     seen = [start.withColumn("depth", F.lit(0))] if with_seeds else []
-    frontier = start
     for level in range(1, depth + 1):
-        found = frontier.join(steps, frontier.id == steps.a).select(F.col("b").alias("id")).distinct()
+        found = frontier.withColumnRenamed("id", "a").join(_from(steps, frontier), "a").select(*key[:-1], F.col("b").alias("id")).distinct()
         for before in seen:
-            found = found.join(before.select("id"), "id", "left_anti")
+            found = found.join(before.select(*key), key, "left_anti")
         frontier = cut(found)
         if frontier.isEmpty():
             break
         seen.append(frontier.withColumn("depth", F.lit(level)))
     if not seen:
         return start.where("false").withColumn("depth", F.lit(0))
-    out = seen[0]
-    for more in seen[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, seen)
 
 
 def impact_steps(pairs: DataFrame, least: float, ambiguous: bool, kinds: tuple[str, ...]) -> DataFrame:
@@ -44,7 +58,7 @@ def impact_steps(pairs: DataFrame, least: float, ambiguous: bool, kinds: tuple[s
     if not ambiguous:
         kept = kept.where(~F.coalesce(F.col("meta.ambiguous"), F.lit(False)))
     a, b = F.struct(F.col("dst_qname").alias("qname"), F.col("dst_kind").alias("kind")), F.struct(F.col("src_qname").alias("qname"), F.col("src_kind").alias("kind"))
-    return kept.select(a.alias("a"), b.alias("b")).distinct()
+    return kept.select(a.alias("a"), b.alias("b"))
 
 
 def both_ways(links: DataFrame) -> DataFrame:

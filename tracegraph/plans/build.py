@@ -30,6 +30,8 @@ class Facts:
     real_compile_database: bool = False
     rules: list[tuple[str, str]] = field(default_factory=list)
     manual_hash: str | None = None
+    #: The lines of ``files``, where they have been read.
+    lines: DataFrame | None = None
 
 
 @dataclass
@@ -43,7 +45,7 @@ def _text_layers(facts: Facts, definitions: DataFrame, spark: SparkSession) -> t
     """Layers that are always computed in full, and the names that the manual table uses, resolved."""
     registrations = facts.registrations if facts.registrations is not None else storage.empty(spark, schema.REGISTRATIONS)
     links = facts.links if facts.links is not None else storage.empty(spark, schema.LINKS)
-    lines = storage.checkpoint(S.source_lines(facts.files))
+    lines = facts.lines if facts.lines is not None else storage.checkpoint(S.source_lines(facts.files))
     names = registrations.select(F.col("handler").alias("symbol")).union(links.select("src")).union(links.select("dst"))
     resolved = layers.resolve_names(names, definitions)
     found = [layers.callbacks(lines, definitions), layers.dispatched(lines, definitions), layers.registered(lines, registrations, definitions, resolved), layers.linked(links, resolved)]
@@ -127,11 +129,18 @@ def rebuild(spark: SparkSession, facts: Facts, before: Graph, inputs_changed: bo
     return Graph(facts.files.select("path", F.lit("c").alias("lang"), "content_hash"), nodes, storage.checkpoint(assemble.first_wins(edges)))
 
 
-def import_semantic(graph: Graph, facts: DataFrame, definitions: DataFrame, real: bool = False) -> Graph:
-    """Replace the semantic layer and mark what it confirms. Running it again changes nothing."""
+def import_semantic(graph: Graph, facts: DataFrame, real: bool = False, root: str = "") -> tuple[Graph, dict[str, int]]:
+    """Replace the semantic layer and mark what it confirms; with the numbers of edges added (calls, writes), of sites without a source
+    (dropped) and of index edges confirmed and absent. Running it again changes nothing. Definitions are the graph's own nodes, so
+    that names and visibility are those of its edges."""
+    definitions = storage.checkpoint(graph.nodes.where((F.col("origin") == "ctags") & (F.col("kind") != "file")))
     own = graph.edges.where("origin != 'clink'").withColumn("meta", F.col("meta").withField("semantic", F.lit(None).cast("string")).withField("semantic_by", F.lit(None).cast("string")))
-    layer = assemble.first_wins(layers.semantic(facts, resolve.qualify(definitions), real))
-    return Graph(graph.files, graph.nodes, storage.checkpoint(layers.confirm(own.unionByName(layer))))
+    layer = assemble.first_wins(layers.semantic(facts, definitions, real, root))
+    edges = storage.checkpoint(layers.confirm(own.unionByName(layer)))
+    sites = layers.semantic_sites(facts, root)
+    told = edges.agg(*(F.count_if((F.col("origin") == "clink") & (F.col("kind") == k)).alias(k) for k in ("calls", "writes")), *(F.count_if(F.col("meta.semantic") == x).alias(x) for x in ("confirmed", "absent"))).first().asDict()
+    dropped = sites.count() - resolve.attribute_sources(sites, definitions.where("kind = 'function'")).count()
+    return Graph(graph.files, graph.nodes, edges), told | {"dropped": dropped}
 
 
 def history_row(spark: SparkSession, action: str, n_files: int, seconds: float, **more: str) -> DataFrame:

@@ -19,8 +19,8 @@ def _item(r) -> dict:
 
 def sectioned(tables: dict[str, DataFrame], verb: str, symbol: str, least: float = schema.MIN_CONFIDENCE, limit: int = schema.LIST_LIMIT) -> dict:
     """Of ``callers`` and ``callees``."""
-    found = _definitions(tables, symbol, "function", "macro")
-    rows = verbs.neighbours(tables["edge_pairs"], tables["nodes"], symbol, "dst" if verb == "callers" else "src", least, limit).orderBy("definition", "qname", "kind").collect() if found else []
+    found, end = _definitions(tables, symbol, "function", "macro"), "dst" if verb == "callers" else "src"
+    rows = verbs.neighbours(verbs.pairs_of(tables, end), tables["nodes"], symbol, end, least, limit).orderBy("definition", "qname", "kind").collect() if found else []
     for d in found:
         own = [r for r in rows if r.definition == d["qname"]]
         d |= {"items": [_item(r) for r in own], "total": own[0].total if own else 0, "truncated": bool(own and own[0].truncated)}

@@ -28,6 +28,7 @@ META_TYPE = T.StructType([T.StructField(a, T.IntegerType() if b == "int" else T.
 CONFIDENCE = {"manual": 1.00, "ctags": 0.95, "clangd": 0.95, "cscope": 0.90, "cindex": 0.90, "treesitter": 0.85, "fnptr": 0.80, "clink": 0.93, "clangd-nobuild": 0.75, "callback": 0.70, "git": 0.50}
 #: Confidence of semantic edges under a real compile database.
 CLINK_REAL = 0.95
+# The least confidence that is shown, and the limits of lists, of SQL rows and of handlers of a field.
 MIN_CONFIDENCE = 0.7
 LIST_LIMIT = 40
 SQL_LIMIT = 200
@@ -36,6 +37,7 @@ FANOUT_LIMIT = 16
 # What each layer that may be missing would add.
 LAYERS = {"fnptr": "dispatch through tables of functions, and the manual table", "callback": "functions passed as arguments", "clink": "calls and writes attributed by a compiler front end", "clangd": "calls, types and signatures from a language server"}
 
+# The kinds of edges that calls in the wide sense, questions and drawings take.
 CALL_KINDS = ("calls", "fnptr", "callback")
 QUERY_KINDS = ("calls", "fnptr", "callback", "expands")
 VIEW_KINDS = ("calls", "fnptr", "callback", "expands", "reads", "writes", "includes", "co_changes")
