@@ -38,3 +38,15 @@ def test_run_matrix(spark):
     assert tuple(R.moved_entries(entries, "/old", "/new").first()) == ("/new/w", "a.c", ["cc", "-I/new/i"], None)
     lines = spark.createDataFrame([("PASS: built",), ("FAIL x",), ("PASSED",), ("other",)], "value string")
     assert {tuple(r) for r in R.verdicts(lines).collect()} == {("PASS", "built"), ("FAIL", "x")}
+
+
+def test_embedding():
+    import pytest
+
+    text = "a\n<<<\nold\n>>>\nb"
+    assert R.embedded(text, "new\nlines", "<<<", ">>>") == "a\n<<<\nnew\nlines\n>>>\nb"
+    for bad in ("a\n<<<\nb", ">>>\n<<<", "<<<\n<<<\n>>>"):
+        with pytest.raises(ValueError):
+            R.embedded(bad, "x", "<<<", ">>>")
+    with pytest.raises(ValueError):
+        R.embedded(text, "x\n>>>", "<<<", ">>>")

@@ -98,3 +98,21 @@ def verdicts(lines: DataFrame) -> DataFrame:
     """(verdict, text) of lines that begin with PASS or FAIL."""
     found = F.regexp_extract("value", r"^(PASS|FAIL)\b", 1)
     return lines.where(found != "").select(found.alias("verdict"), F.trim(F.regexp_replace("value", r"^(PASS|FAIL)\b:?", "")).alias("text"))
+
+
+def dirty(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, change) of files (path, mtime, size) that aren't as they were."""
+    mark = F.struct("mtime", "size")
+    a, b = before.select("path", mark.alias("was")), now.select("path", mark.alias("is"))
+    state = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "deleted").when(~F.col("was").eqNullSafe(F.col("is")), "changed")
+    return a.join(b, "path", "full_outer").select("path", state.alias("change")).where("change is not null")
+
+
+def embedded(text: str, document: str, start: str, end: str) -> str:
+    """``text`` with ``document`` between its two guard lines, which must be there once each, in order."""
+    lines = text.split("\n")
+    if lines.count(start) != 1 or lines.count(end) != 1 or lines.index(start) > lines.index(end):
+        raise ValueError(f"the guards {start!r} and {end!r} must be there once each, in order")
+    if start in document.split("\n") or end in document.split("\n"):
+        raise ValueError("the document has a guard in it")
+    return "\n".join([*lines[: lines.index(start) + 1], document, *lines[lines.index(end) :]])

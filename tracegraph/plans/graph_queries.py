@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import schema
 from ..functions import text as X
 from ..operators import assemble, layers, reports, resolve, traverse
 from ..sources import config as C
+from ..sources import crossref
 from ..sources import files as S
 from . import build as B
 from . import projections as P
@@ -29,12 +32,17 @@ def query(sql: str | None = None):
 
 
 def _qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.qualify(P.definitions(spark, sf_dir))
+    """Definitions with their qnames, written once: layers use them many times."""
+    return storage.checkpoint(resolve.qualify(P.definitions(spark, sf_dir)))
 
 
 def _plain(edges: DataFrame) -> DataFrame:
     """Edges by key with the meta fields that these tables use."""
-    return assemble.first_wins(edges).select("src_qname", "dst_qname", "kind", "file", "line", "origin", "confidence", P.flag(F.col("meta")).alias("ambiguous"), F.coalesce("meta.candidates", F.lit(1)).alias("candidates"), F.coalesce("meta.rmw", F.lit(False)).alias("rmw"))
+    return _flat(assemble.first_wins(edges))
+
+
+def _flat(edges: DataFrame) -> DataFrame:
+    return edges.select("src_qname", "dst_qname", "kind", "file", "line", "origin", "confidence", P.flag(F.col("meta")).alias("ambiguous"), F.coalesce("meta.candidates", F.lit(1)).alias("candidates"), F.coalesce("meta.rmw", F.lit(False)).alias("rmw"))
 
 
 # --- views and neighbours
@@ -103,24 +111,24 @@ def file_deps(spark, sf_dir):
 # --- traversal
 
 
-def _impact_sql(where, depth, seed="s1"):
+def _impact_sql(where, depth, seed="p1"):
     return f"""WITH RECURSIVE {P.WALKS}, w AS (SELECT src AS id, 1 AS depth FROM b WHERE dst = '{seed}' AND {where} UNION SELECT b.src, w.depth + 1 FROM w JOIN b ON b.dst = w.id WHERE w.depth < {depth} AND {where}),
         {P.NODES}, r AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)"""
 
 
 @query(_impact_sql("NOT amb", 3) + " SELECT id AS qname, depth, file, line FROM r JOIN n ON n.qname = id")
 def impact_depth(spark, sf_dir):
-    return verbs.impact(P.walks(spark, sf_dir), P.nodes(spark, sf_dir), "s1", 3).select("qname", "depth", "file", "line")
+    return verbs.impact(P.walks(spark, sf_dir), P.nodes(spark, sf_dir), "p1", 3).select("qname", "depth", "file", "line")
 
 
-@query(_impact_sql("true", 2, "s2") + " SELECT id AS qname, depth, file, line FROM r JOIN n ON n.qname = id")
+@query(_impact_sql("true", 2, "p2") + " SELECT id AS qname, depth, file, line FROM r JOIN n ON n.qname = id")
 def impact_with_ambiguous(spark, sf_dir):
-    return verbs.impact(P.walks(spark, sf_dir), P.nodes(spark, sf_dir), "s2", 2, ambiguous=True).select("qname", "depth", "file", "line")
+    return verbs.impact(P.walks(spark, sf_dir), P.nodes(spark, sf_dir), "p2", 2, ambiguous=True).select("qname", "depth", "file", "line")
 
 
 @query(_impact_sql("NOT amb", 3) + " SELECT file, count(*) AS n, string_agg(id, ',' ORDER BY id) AS names FROM r JOIN n ON n.qname = id GROUP BY file")
 def impact_by_file(spark, sf_dir):
-    return verbs.impact(P.walks(spark, sf_dir), P.nodes(spark, sf_dir), "s1", 3).groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("qname")), ",").alias("names"))
+    return verbs.impact(P.walks(spark, sf_dir), P.nodes(spark, sf_dir), "p1", 3).groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("qname")), ",").alias("names"))
 
 
 @query(f"WITH {P.WALKS} SELECT dst AS qname, count(*) AS hint FROM b WHERE amb GROUP BY dst")
@@ -130,17 +138,17 @@ def impact_hints(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {P.WALKS}, l AS (SELECT DISTINCT src, dst FROM b), u AS (SELECT src AS a, dst AS b FROM l UNION SELECT dst, src FROM l),
-    w AS (SELECT 's1' AS id, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.id WHERE w.depth < 1), near AS (SELECT DISTINCT id FROM w)
+    w AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.id WHERE w.depth < 1), near AS (SELECT DISTINCT id FROM w)
     SELECT src AS a, dst AS b FROM l WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)""")
 def viz_neighbourhood(spark, sf_dir):
     links = P.walks(spark, sf_dir).select(F.col("src_qname").alias("a"), F.col("dst_qname").alias("b")).distinct()
     ids = P.nodes(spark, sf_dir).select(F.col("qname").alias("id"))
-    return traverse.neighbourhood(ids, links, "s1", 1, storage.checkpoint)[1]
+    return traverse.neighbourhood(ids, links, "p1", 1, storage.checkpoint)[1]
 
 
 @query(f"""WITH {P.EDGES}, {P.NODES}, l AS (SELECT DISTINCT src, dst, kind FROM e WHERE kind IN ('calls', 'fnptr', 'callback')), k AS (SELECT * FROM n WHERE qname IN (SELECT src FROM l UNION SELECT dst FROM l)),
     m AS (SELECT module, row_number() OVER (ORDER BY min(qname), module) - 1 AS i FROM k WHERE module <> '' GROUP BY module)
-    SELECT qname AS id, file, line, k.module, coalesce(list_extract(['#4fc3f7', '#ffb300', '#ab47bc', '#66bb6a', '#ef5350', '#8d6e63', '#26a69a', '#d4e157', '#5c6bc0', '#ff7043'], i % 10 + 1), '#4fc3f7') AS color FROM k LEFT JOIN m USING (module)""")
+    SELECT qname AS id, file, line, k.module, concat('hsl(', coalesce(i * 47 % 360, 200), ',60%,50%)') AS color FROM k LEFT JOIN m USING (module)""")
 def graph_export(spark, sf_dir):
     return verbs.view(P.edges(spark, sf_dir), P.nodes(spark, sf_dir))[0].select("id", "file", "line", "module", "color")
 
@@ -153,9 +161,10 @@ def qname_disambiguation(spark, sf_dir):
     return _qualified(spark, sf_dir).select("seq", "name", "kind", "qname")
 
 
-@query(f"WITH {P.QUALIFIED} SELECT qname, kind, count(*) AS n FROM q GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {P.DEFINITIONS} SELECT name AS qname, kind, count(*) AS n FROM d GROUP BY ALL HAVING count(*) > 1")
 def repeated_qnames(spark, sf_dir):
-    return resolve.repeated_qnames(_qualified(spark, sf_dir))
+    """What a graph would refuse if plain names were its keys."""
+    return resolve.repeated_qnames(P.definitions(spark, sf_dir).withColumn("qname", F.col("name")))
 
 
 @query(f"WITH {P.QUALIFIED}, {P.OCCURRENCES}, {P.source_of()} SELECT seq, name, file, line, src_qname FROM src")
@@ -204,14 +213,23 @@ def _ambiguity_sql(extra="false AS rmw"):
     return f"src_qname, dst_qname, kind, file, line, 'cscope' AS origin, CAST(0.9 AS DOUBLE) AS confidence, candidates > 1 AS ambiguous, candidates, {extra}"
 
 
-@query(f"""WITH {P.QUALIFIED}, {P.OCCURRENCES}, s AS (SELECT * FROM o WHERE op = 'call' AND scope NOT IN ('<global>', '<unknown>')), {P.source_of("s")}, {P.targets_of("src", "function")}
-    SELECT DISTINCT {_ambiguity_sql().replace("kind,", "'calls' AS kind,")} FROM dst WHERE src_qname <> dst_qname""")
+_CALLS_SQL = f"""s AS (SELECT * FROM o WHERE op = 'call' AND scope NOT IN ('<global>', '<unknown>')), {P.source_of("s")}, {P.targets_of("src", "function")}
+    SELECT DISTINCT {_ambiguity_sql().replace("kind,", "'calls' AS kind,")} FROM dst WHERE src_qname <> dst_qname"""
+_EXPANDS_SQL = f"""s AS (SELECT * FROM o WHERE op = 'call' AND scope NOT IN ('<global>', '<unknown>')), {P.source_of("s")}, {P.targets_of("src", "macro")}
+    SELECT DISTINCT {_ambiguity_sql().replace("kind,", "'expands' AS kind,")} FROM dst"""
+_ACCESSES_SQL = f"""a AS (SELECT seq, op, name, scope, file, line, text FROM o WHERE op = 'assign' UNION ALL SELECT seq, op, name, scope, file, line, text FROM o WHERE op = 'ref' AND NOT EXISTS (SELECT 1 FROM o w WHERE w.op = 'assign' AND w.name = o.name AND w.file = o.file AND w.line = o.line)),
+    s AS (SELECT * FROM a WHERE scope NOT IN ('<global>', '<unknown>')), {P.source_of("s")}, {P.targets_of("src", "global")},
+    two AS (SELECT *, CASE op WHEN 'assign' THEN 'writes' ELSE 'reads' END AS kind, CASE op WHEN 'assign' THEN 0 ELSE 2 END AS step, false AS rmw FROM dst
+        UNION ALL SELECT *, CASE op WHEN 'assign' THEN 'reads' ELSE 'writes' END, CASE op WHEN 'assign' THEN 1 ELSE 3 END, true FROM dst WHERE regexp_matches(text, '[+]=') OR len(string_split(text, name)) > 2)
+    SELECT {_ambiguity_sql("rmw")} FROM (SELECT *, row_number() OVER (PARTITION BY src_qname, dst_qname, kind, file, line ORDER BY step, seq) AS r FROM two) WHERE r = 1"""
+
+
+@query(f"WITH {P.QUALIFIED}, {P.OCCURRENCES}, {_CALLS_SQL}")
 def calls_edges(spark, sf_dir):
     return _plain(layers.calls(P.occurrences(spark, sf_dir), _qualified(spark, sf_dir)))
 
 
-@query(f"""WITH {P.QUALIFIED}, {P.OCCURRENCES}, s AS (SELECT * FROM o WHERE op = 'call' AND scope NOT IN ('<global>', '<unknown>')), {P.source_of("s")}, {P.targets_of("src", "macro")}
-    SELECT DISTINCT {_ambiguity_sql().replace("kind,", "'expands' AS kind,")} FROM dst""")
+@query(f"WITH {P.QUALIFIED}, {P.OCCURRENCES}, {_EXPANDS_SQL}")
 def expands_edges(spark, sf_dir):
     return _plain(layers.expands(P.occurrences(spark, sf_dir), _qualified(spark, sf_dir)))
 
@@ -223,11 +241,7 @@ def reads_minus_writes(spark, sf_dir):
     return o.where("op = 'ref'").join(wrote, ["name", "file", "line"], "left_anti").select("seq", "name", "file", "line")
 
 
-@query(f"""WITH {P.QUALIFIED}, {P.OCCURRENCES}, a AS (SELECT seq, op, name, scope, file, line, text FROM o WHERE op = 'assign' UNION ALL SELECT seq, op, name, scope, file, line, text FROM o WHERE op = 'ref' AND NOT EXISTS (SELECT 1 FROM o w WHERE w.op = 'assign' AND w.name = o.name AND w.file = o.file AND w.line = o.line)),
-    s AS (SELECT * FROM a WHERE scope NOT IN ('<global>', '<unknown>')), {P.source_of("s")}, {P.targets_of("src", "global")},
-    two AS (SELECT *, CASE op WHEN 'assign' THEN 'writes' ELSE 'reads' END AS kind, CASE op WHEN 'assign' THEN 0 ELSE 2 END AS step, false AS rmw FROM dst
-        UNION ALL SELECT *, CASE op WHEN 'assign' THEN 'reads' ELSE 'writes' END, CASE op WHEN 'assign' THEN 1 ELSE 3 END, true FROM dst WHERE regexp_matches(text, '[+]=') OR len(string_split(text, name)) > 2)
-    SELECT {_ambiguity_sql("rmw")} FROM (SELECT *, row_number() OVER (PARTITION BY src_qname, dst_qname, kind, file, line ORDER BY step, seq) AS r FROM two) WHERE r = 1""")
+@query(f"WITH {P.QUALIFIED}, {P.OCCURRENCES}, {_ACCESSES_SQL}")
 def rmw_compensation(spark, sf_dir):
     return _plain(layers.accesses(P.occurrences(spark, sf_dir), _qualified(spark, sf_dir)))
 
@@ -264,10 +278,10 @@ def includes_edges(spark, sf_dir):
     return flat.groupBy("src_qname", "dst_qname", "line").agg(F.bool_and("ambiguous").alias("ambiguous"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-@query("""WITH h AS (SELECT DISTINCT p_brand AS field, concat('p', p_partkey % 40) AS dst_qname FROM part WHERE p_size < 20), c AS (SELECT field, CAST(count(*) AS INTEGER) AS handlers FROM h GROUP BY field)
+@query("""WITH h AS (SELECT DISTINCT p_type AS field, concat('p', p_partkey) AS dst_qname FROM part), c AS (SELECT field, CAST(count(*) AS INTEGER) AS handlers FROM h GROUP BY field)
     SELECT field, dst_qname, handlers FROM h JOIN c USING (field) WHERE handlers BETWEEN 1 AND 16""")
 def fnptr_fanout_cap(spark, sf_dir):
-    handlers = P.table(spark, sf_dir, "part").where("p_size < 20").selectExpr("p_brand as field", "concat('p', p_partkey % 40) as dst_qname").distinct()
+    handlers = P.table(spark, sf_dir, "part").selectExpr("p_type as field", "concat('p', p_partkey) as dst_qname").distinct()
     return layers.fan_out(handlers)
 
 
@@ -313,7 +327,7 @@ def strip_comments_lines(spark, sf_dir):
     return S.source_lines(docs).select("file", "line", "clean")
 
 
-@query()
+@query(f"""WITH {P.CODE} SELECT 'call' AS op, name, file, line FROM (SELECT file, line, unnest(regexp_extract_all(clean, '([A-Za-z_][0-9A-Za-z_]*)\\s*\\(', 1)) AS name FROM cl) WHERE name NOT IN ('if', 'for', 'while', 'switch', 'return', 'sizeof', 'defined')""")
 def lexical_occurrences(spark, sf_dir):
     return S.lexical_occurrences(P.code_lines(spark, sf_dir)).select("op", "name", "file", "line")
 
@@ -341,15 +355,15 @@ def manual_placeholders(spark, sf_dir):
     return layers.placeholders(_resolved(spark, sf_dir)[0]).select("qname", "kind", "file", "origin")
 
 
-@query(f"""WITH {_NAMES}, g AS (SELECT DISTINCT concat('field', l_partkey % 60) AS field, concat('sym', l_partkey // 3) AS handler FROM lineitem WHERE l_linenumber = 1), site AS (SELECT concat('field', l_suppkey % 60) AS field, concat('doc', l_orderkey) AS file, l_linenumber AS line FROM lineitem WHERE l_quantity > 48)
-    SELECT DISTINCT field, file, line, r.qname AS dst_qname FROM site JOIN g USING (field) JOIN r ON r.symbol = g.handler""")
+@query(f"""WITH {_NAMES}, {P.CODE}, {P.AROUND}, g AS (SELECT DISTINCT concat('f', l_suppkey % 400) AS field, concat('sym', l_partkey // 3) AS handler FROM lineitem WHERE l_linenumber = 1),
+    site AS (SELECT file, line, unnest(regexp_extract_all(clean, '(?:->|\\.)\\s*([0-9A-Za-z_]+)\\s*\\(', 1)) AS field FROM cl)
+    SELECT DISTINCT src_qname, r.qname AS dst_qname, site.file, site.line, 'manual' AS origin, true AS manual FROM site JOIN ar USING (file, line) JOIN g USING (field) JOIN r ON r.symbol = g.handler WHERE NOT (src_qname = r.qname AND r.kind = 'function')""")
 def manual_registrations(spark, sf_dir):
-    resolved, _ = _resolved(spark, sf_dir)
-    l = P.table(spark, sf_dir, "lineitem")  # noqa: E741
-    table = l.where("l_linenumber = 1").selectExpr("concat('field', l_partkey % 60) as field", "concat('sym', l_partkey div 3) as handler").distinct()
-    sites = l.where("l_quantity > 48").selectExpr("concat('field', l_suppkey % 60) as field", "concat('doc', l_orderkey) as file", "l_linenumber as line")
-    by_hand = table.join(resolved.withColumnRenamed("symbol", "handler"), "handler").select("field", F.col("qname").alias("dst_qname"))
-    return sites.join(by_hand, "field").select("field", "file", "line", "dst_qname").distinct()
+    resolved, definitions = _resolved(spark, sf_dir)
+    l = P.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")  # noqa: E741
+    by_hand = l.selectExpr("concat('f', l_suppkey % 400) as field", "concat('sym', l_partkey div 3) as handler", "cast(null as string) as struct").distinct()
+    edges = assemble.first_wins(layers.registered(P.code_lines(spark, sf_dir), by_hand, definitions, resolved))
+    return edges.select("src_qname", "dst_qname", "file", "line", "origin", F.col("meta.manual").alias("manual")).distinct()
 
 
 _PAIRS = """g AS (SELECT DISTINCT l_orderkey AS c, concat('p', l_partkey) AS path FROM lineitem), s AS (SELECT c FROM g GROUP BY c HAVING count(*) BETWEEN 2 AND 20),
@@ -433,21 +447,58 @@ def _facts(spark, sf_dir, touched: bool) -> B.Facts:
         d = d.where("file not like 'src3/%'").withColumn("line_end", F.when(F.col("file").like("src5/%"), F.col("line_end") + 3).otherwise(F.col("line_end")))
         o = o.where("file not like 'src3/%' and not (file like 'src5/%' and seq % 4 = 0)")
     # one definition for each qname that would repeat
-    d = d.dropDuplicates(["file", "kind", "name"])
+    d = d.withColumn("__r", F.expr("row_number() over (partition by file, kind, name order by seq)")).where("__r = 1").drop("__r")
     words = d.select("file", F.concat_ws(" ", "name", "line_end").alias("w")).union(o.select("file", F.concat_ws(" ", "text", "line", "scope").alias("w")))
     text = words.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("w")), "\n").alias("t"))
     files = text.select(F.col("file").alias("path"), F.col("t").cast("binary").alias("content"), F.sha2("t", 256).alias("content_hash"))
-    return B.Facts(files, storage.checkpoint(d), o)
+    return B.Facts(files, storage.checkpoint(d), storage.checkpoint(o))
+
 
+_TOUCHED = f"""{P.QUALIFIED.replace(P.DEFINITIONS, P.DEFINITIONS.replace("d AS (", "d0 AS (", 1) + """,
+    d AS (SELECT * EXCLUDE (r) FROM (SELECT * EXCLUDE (line_end), CASE WHEN file LIKE 'src5/%' THEN line_end + 3 ELSE line_end END AS line_end, row_number() OVER (PARTITION BY file, kind, name ORDER BY seq) AS r FROM d0 WHERE file NOT LIKE 'src3/%') WHERE r = 1)""")},
+    {P.OCCURRENCES.replace("o AS (", "o0 AS (", 1)}, o AS (SELECT * FROM o0 WHERE file NOT LIKE 'src3/%' AND NOT (file LIKE 'src5/%' AND seq % 4 = 0))"""
 
-@query("SELECT CAST(NULL AS VARCHAR) AS src_qname, CAST(NULL AS VARCHAR) AS dst_qname, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INTEGER) AS line WHERE false")
+
+@query(f"""WITH {_TOUCHED} SELECT * FROM (WITH {_CALLS_SQL}) UNION ALL SELECT * FROM (WITH {_EXPANDS_SQL}) UNION ALL SELECT * FROM (WITH {_ACCESSES_SQL})""")
 def incremental_equals_full(spark, sf_dir):
-    """Edges that only one of a full build and a rebuild from the state before has: none."""
+    """Calls, expansions and accesses of a rebuild after files changed and went; the SQL builds them from nothing."""
     before = B.build(spark, _facts(spark, sf_dir, False))
-    now = _facts(spark, sf_dir, True)
-    full, part = B.build(spark, now).edges, B.rebuild(spark, now, before).edges
-    flat = [x.select("src_qname", "dst_qname", "kind", "file", "line", "src_kind", "dst_kind", "origin", schema.meta_json(F.col("meta")).alias("m")) for x in (full, part)]
-    return flat[0].exceptAll(flat[1]).union(flat[1].exceptAll(flat[0])).select("src_qname", "dst_qname", "kind", "file", "line")
+    edges = B.rebuild(spark, _facts(spark, sf_dir, True), before).edges
+    return _flat(edges.where("origin = 'cscope' and kind in ('calls', 'expands', 'reads', 'writes')"))
+
+
+@query(f"WITH {P.PAIRS} SELECT src, dst, kind, site_count, origins FROM pairs")
+def published_pairs(spark, sf_dir):
+    """Pairs as a reader of the published graph finds them, by source."""
+    folder = f"{storage.shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    storage.publish(spark, folder, {"edge_pairs": assemble.edge_pairs(P.edges(spark, sf_dir))})
+    found = storage.load(spark, folder)["edge_pairs_by_src"]
+    return found.select(F.col("src_qname").alias("src"), F.col("dst_qname").alias("dst"), "kind", "site_count", "origins")
+
+
+# --- sources
+
+
+@query(f"WITH {P.DEFINITIONS} SELECT name, kind, file, line_start, line_end, signature FROM d")
+def tags_read(spark, sf_dir):
+    """Tags as an extractor writes them, with lines of other kinds and of no kind between."""
+    folder = f"{storage.shared_dir(spark)}/tags-{uuid.uuid4().hex}"
+    kind = F.when(F.col("kind") == "global", "variable").otherwise(F.col("kind"))
+    tag = F.to_json(F.struct(F.lit("tag").alias("_type"), "name", F.concat(F.lit("./"), "file").alias("path"), F.col("line_start").alias("line"), F.col("line_end").alias("end"), kind.alias("kind"), "signature"))
+    other = F.to_json(F.struct(F.lit("tag").alias("_type"), "name", F.col("file").alias("path"), F.col("line_start").alias("line"), F.lit("typedef").alias("kind")))
+    P.definitions(spark, sf_dir).select(F.explode(F.array(tag, other, F.lit("not json"), F.lit('{"_type": "ptag", "name": "x"}')))).write.text(folder)
+    return C.read_tags(spark, folder).select("name", "kind", "file", "line_start", "line_end", "signature")
+
+
+@query(f"WITH {P.OCCURRENCES} SELECT name, concat('fn', seq % 97) AS scope, file, line, concat('y = ', name, '(1);') AS text FROM o")
+def crossref_read(spark, sf_dir):
+    """Calls from a cross-reference with a section for each file."""
+    folder = f"{storage.shared_dir(spark)}/crossref-{uuid.uuid4().hex}"
+    record = F.format_string("\t$fn%d\n%d y = \n\t`%s\n(1);\n\n\t}\n", F.col("seq") % 97, "line", "name")
+    sections = P.occurrences(spark, sf_dir).groupBy("file").agg(F.array_join(F.collect_list(record), "").alias("body")).select(F.lit(1).alias("at"), F.concat("file", F.lit("\n\n"), "body").alias("value"))
+    ends = spark.createDataFrame([(0, "cscope 15 /w -c               0000000001"), (2, "\n0\n")], "at int, value string")
+    ends.unionByName(sections).repartition(1).sortWithinPartitions("at").select("value").write.option("lineSep", "\n\t@").text(folder)
+    return crossref.read_crossref(spark, folder).where("op = 'call'").select("name", "scope", "file", "line", "text")
 
 
 # --- other verbs
@@ -497,7 +548,7 @@ def pending_layers(spark, sf_dir):
 @query("""WITH i AS (SELECT event_type, CASE WHEN value > 95 THEN 2 WHEN value > 50 THEN 1 ELSE 0 END AS s FROM events) SELECT event_type, CASE max(s) WHEN 2 THEN 'ERROR' WHEN 1 THEN 'WARN' ELSE 'OK' END AS health, count(*) FILTER (s > 0) AS issues FROM i GROUP BY event_type""")
 def status_health(spark, sf_dir):
     rank = F.when(F.col("value") > 95, 2).when(F.col("value") > 50, 1).otherwise(0)
-    names = F.array(*(F.lit(k) for k, _ in sorted(verbs.SEVERITY.items(), key=lambda kv: kv[1])))
+    names = F.array(*(F.lit(verbs.health_of({x})) for x in verbs.SEVERITY))
     return P.table(spark, sf_dir, "events").groupBy("event_type").agg(F.get(names, F.max(rank)).alias("health"), F.count_if(rank > 0).alias("issues"))
 
 
@@ -514,23 +565,78 @@ def meta_rendering(spark, sf_dir):
     return e.select(F.col("src_qname").alias("src"), F.col("dst_qname").alias("dst"), "kind", "file", "line", "origin", F.col("json").alias("meta"), X.tags(F.col("origin"), schema.meta_of_json(F.col("json"))).alias("tags"))
 
 
-@query("SELECT l_shipdate::DATE::VARCHAR AS d, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY d LIMIT 201")
+@query("""SELECT d, n, (SELECT count(DISTINCT l_shipdate::DATE) FROM lineitem) > 200 AS more FROM (SELECT l_shipdate::DATE::VARCHAR AS d, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY d LIMIT 200)""")
 def sql_gate_capped(spark, sf_dir):
-    sqlgate.register({"gate_lines": P.table(spark, sf_dir, "lineitem")})
-    rows, more = sqlgate.run(spark, "SELECT cast(to_date(l_shipdate) AS string) AS d, count(*) AS n FROM gate_lines GROUP BY 1 ORDER BY 1", 201)
-    return spark.createDataFrame(rows, "d string, n long")
+    """A query of more rows than are shown, and that there are more."""
+    rows, more = sqlgate.run(spark, "SELECT cast(to_date(l_shipdate) AS string) AS d, count(*) AS n FROM gate_lines GROUP BY 1 ORDER BY 1", {"gate_lines": P.table(spark, sf_dir, "lineitem")})
+    return spark.createDataFrame([(*r, more) for r in rows], "d string, n long, more boolean")
 
 
 # --- reports over runs
 
 
-@query("""WITH m AS (SELECT l_returnflag AS arm, l_linenumber AS q, median(l_extendedprice) AS med, max(l_quantity) - min(l_quantity) >= 2 AS wide FROM lineitem GROUP BY ALL)
-    SELECT q, round(max(med) FILTER (arm = 'A'), 4) AS a, round(max(med) FILTER (arm = 'N'), 4) AS n, round(max(med) FILTER (arm = 'R'), 4) AS r, bool_or(wide) AS wide FROM m GROUP BY q""")
+_MEDIANS = "m AS (SELECT CAST(l_orderkey AS VARCHAR) AS question, l_returnflag AS arm, CAST(floor(median(l_quantity)) AS BIGINT) AS score, max(l_quantity) - min(l_quantity) >= 2 AS wide FROM lineitem GROUP BY ALL HAVING count(*) = 3)"
+
+
+def _medians(spark, sf_dir):
+    scores = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("question"), F.col("l_returnflag").alias("arm"), F.col("l_quantity").alias("score"))
+    return reports.medians(scores)
+
+
+@query(f"WITH {_MEDIANS} SELECT * FROM m")
+def repetition_medians(spark, sf_dir):
+    return _medians(spark, sf_dir)
+
+
+@query(f"WITH {_MEDIANS} SELECT question, max(score) FILTER (arm = 'A') AS a, max(score) FILTER (arm = 'N') AS n, max(score) FILTER (arm = 'R') AS r FROM m GROUP BY question")
 def arm_pivot_median(spark, sf_dir):
-    m = P.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), F.col("l_linenumber").alias("q")).agg(F.median("l_extendedprice").alias("med"), (F.max("l_quantity") - F.min("l_quantity") >= 2).alias("wide"))
-    wide = m.groupBy("q").agg(F.bool_or("wide").alias("wide"))
-    p = m.groupBy("q").pivot("arm", ["A", "N", "R"]).agg(F.round(F.max("med"), 4))
-    return p.select("q", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r")).join(wide, "q")
+    wide = reports.by_question(_medians(spark, sf_dir), "question", "arm", ["A", "N", "R"], F.col("score"))
+    return wide.select("question", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
+
+
+@query(f"WITH {_MEDIANS}, c AS (SELECT l_returnflag AS arm, sum(l_extendedprice) AS cost FROM lineitem GROUP BY 1), t AS (SELECT arm, CAST(sum(score) AS BIGINT) AS points FROM m GROUP BY arm) SELECT arm, points, round(cost, 2) AS cost, round(cost / points, 4) AS cost_per_point FROM t JOIN c USING (arm)")
+def points_by_cost(spark, sf_dir):
+    costs = P.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_extendedprice").alias("cost"))
+    return reports.points(_medians(spark, sf_dir), costs).select("arm", "points", F.round("cost", 2).alias("cost"), F.round("cost_per_point", 4).alias("cost_per_point"))
+
+
+@query("""WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS session, CAST(turn AS VARCHAR) AS id, text, regexp_extract(ltrim(text), '^\\S*') AS word FROM conversations WHERE role = 'assistant'), r AS (SELECT CAST(conv_id AS VARCHAR) AS session, CAST(turn - 1 AS VARCHAR) AS id, max(length(text)) AS bytes FROM conversations WHERE role <> 'assistant' GROUP BY ALL)
+    SELECT session, id, CASE WHEN trim(text) = '' THEN '(empty)' ELSE concat('other:', regexp_extract(word, '[^/]*$')) END AS sig, CAST(coalesce(r.bytes, 0) AS INTEGER) AS bytes FROM u LEFT JOIN r USING (session, id)""")
+def transcript_calls(spark, sf_dir):
+    """Conversations as transcripts: what an assistant says is a command, what follows is its result."""
+    c = P.table(spark, sf_dir, "conversations")
+    said = F.struct(F.lit("tool_use").alias("type"), F.col("turn").cast("string").alias("id"), F.lit("Bash").alias("name"), F.struct(F.col("text").alias("command")).alias("input"))
+    told = F.struct(F.lit("tool_result").alias("type"), (F.col("turn") - 1).cast("string").alias("tool_use_id"), F.col("text").alias("content"))
+    message = lambda block: F.to_json(F.struct(F.struct(F.array(block).alias("content")).alias("message")))
+    lines = c.select(F.col("conv_id").cast("string").alias("session"), F.when(F.col("role") == "assistant", message(said)).otherwise(message(told)).alias("value"))
+    return reports.transcript_calls(lines).select("session", "id", "sig", "bytes")
+
+
+@query("SELECT replace(concat('/old/w', s_nationkey), '/old', '/new') AS directory, concat('f', s_suppkey, '.c') AS file, concat('cc -I/new/i', s_suppkey) AS command, concat('cc /new/', s_name) AS arguments FROM supplier")
+def moved_compile_entries(spark, sf_dir):
+    entries = P.table(spark, sf_dir, "supplier").selectExpr("concat('/old/w', s_nationkey) as directory", "concat('f', s_suppkey, '.c') as file", "concat('cc -I/old/i', s_suppkey) as command", "array('cc', concat('/old/', s_name)) as arguments")
+    return reports.moved_entries(entries, "/old", "/new").select("directory", "file", "command", F.array_join("arguments", " ").alias("arguments"))
+
+
+@query("SELECT CASE l_returnflag WHEN 'A' THEN 'PASS' ELSE 'FAIL' END AS verdict, concat('line ', l_orderkey, '/', l_linenumber) AS text FROM lineitem WHERE l_returnflag <> 'R'")
+def verdict_lines(spark, sf_dir):
+    lines = P.table(spark, sf_dir, "lineitem").selectExpr("concat(CASE l_returnflag WHEN 'A' THEN 'PASS: ' WHEN 'N' THEN 'FAIL ' ELSE 'PASSED ' END, 'line ', l_orderkey, '/', l_linenumber) as value")
+    return reports.verdicts(lines)
+
+
+@query("SELECT DISTINCT p_brand AS question, p_size AS arm FROM part EXCEPT SELECT p_brand, p_size FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 50")
+def waiting_cells(spark, sf_dir):
+    part = P.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("question"), F.col("p_size").alias("arm"))
+    done = P.table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    return reports.waiting(part.select("question", "arm").distinct(), done, ["question", "arm"])
+
+
+@query("WITH a AS (SELECT o_orderkey, o_totalprice AS s FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey, CASE WHEN o_custkey % 9 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS s FROM orders WHERE o_orderstatus <> 'F') SELECT concat('o', coalesce(a.o_orderkey, b.o_orderkey)) AS path, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b USING (o_orderkey) WHERE a.s IS DISTINCT FROM b.s")
+def dirty_sentinels(spark, sf_dir):
+    """Two looks at sizes and times of files, made from orders."""
+    o = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"), F.col("o_totalprice").alias("size"), "o_custkey", "o_orderstatus")
+    now = o.where("o_orderstatus != 'F'").withColumn("size", F.when(F.col("o_custkey") % 9 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return reports.dirty(o.where("o_orderstatus != 'P'"), now)
 
 
 @query("""WITH s AS (SELECT role, regexp_extract(text, '^\\S+') AS sig, count(*) AS n, sum(strlen(text)) AS bytes FROM conversations GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY bytes DESC, sig) AS k FROM s)
@@ -553,7 +659,7 @@ def latest_run_upsert(spark, sf_dir):
     return reports.latest(rows, ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", F.col("event_id").alias("last_id"))
 
 
-@query("SELECT DISTINCT c_custkey AS run FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+@query("SELECT c_custkey AS run FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def runs_without_use(spark, sf_dir):
-    used = P.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return P.table(spark, sf_dir, "customer").join(used, "c_custkey", "left_anti").select(F.col("c_custkey").alias("run")).distinct()
+    calls = P.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderstatus").alias("name"))
+    return reports.unused(P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session")), calls, "F").select(F.col("session").alias("run"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from . import storage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,15 +107,16 @@ NODES = """n AS (SELECT concat('s', s_suppkey) AS qname, concat('dir', s_nationk
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph: from a supplier to that of the next line of its order."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_discount", "l_linestatus")  # noqa: E741
-    nxt = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("to"))
-    found = l.where("l_returnflag = 'A' and l_suppkey % 20 < 4").join(nxt, ["l_orderkey", "l_linenumber"])
-    return found.select(F.concat(F.lit("s"), "l_suppkey").alias("src_qname"), F.lit("function").alias("src_kind"), F.concat(F.lit("s"), "to").alias("dst_qname"), F.lit("function").alias("dst_kind"), F.when(F.col("l_linestatus") == "O", "fnptr").otherwise("calls").alias("kind"), F.lit("x.c").alias("file"), F.col("l_linenumber").alias("line"), F.lit("cscope").alias("origin"), F.lit(0.9).alias("confidence"), schema.meta(ambiguous=F.when(F.col("l_discount") >= 0.08, True)).alias("meta"))
+    """A cyclic graph of all line items: from a part to that of the next line of its order."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_linestatus")  # noqa: E741
+    nxt = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to"))
+    found = l.join(nxt, ["l_orderkey", "l_linenumber"])
+    edges = found.select(F.concat(F.lit("p"), "l_partkey").alias("src_qname"), F.lit("function").alias("src_kind"), F.concat(F.lit("p"), "to").alias("dst_qname"), F.lit("function").alias("dst_kind"), F.when(F.col("l_linestatus") == "O", "fnptr").otherwise("calls").alias("kind"), F.lit("x.c").alias("file"), F.col("l_linenumber").alias("line"), F.lit("cscope").alias("origin"), F.lit(0.9).alias("confidence"), schema.meta(ambiguous=F.when(F.col("l_discount") >= 0.08, True)).alias("meta"))
+    return storage.checkpoint(edges)
 
 
-WALKS = """b AS (SELECT DISTINCT concat('s', a.l_suppkey) AS src, concat('s', c.l_suppkey) AS dst, a.l_discount >= 0.08 AS amb FROM lineitem a
-    JOIN lineitem c ON a.l_orderkey = c.l_orderkey AND c.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = 'A' AND a.l_suppkey % 20 < 4)"""
+WALKS = """b AS (SELECT DISTINCT concat('p', a.l_partkey) AS src, concat('p', c.l_partkey) AS dst, a.l_discount >= 0.08 AS amb FROM lineitem a
+    JOIN lineitem c ON a.l_orderkey = c.l_orderkey AND c.l_linenumber = a.l_linenumber + 1)"""
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def read_lines(spark: SparkSession, path: str) -> Iterator[str]:
+    """The lines of a file, read as far as they are asked for; none where there is no file."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return
+    java = spark.sparkContext._jvm.java.io
+    reader = java.BufferedReader(java.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        while (line := reader.readLine()) is not None:
+            yield line
+    finally:
+        reader.close()
+
+
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
     """Write all tables of a new version, then point ``_CURRENT`` at it: readers see the old graph or the new one, whole.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as X
-from ..plans.storage import read_text
+from ..plans.storage import read_lines, read_text
 
 # Kinds of tags that are definitions.
 TAG_KINDS = {"function": "function", "variable": "global", "macro": "macro", "f": "function", "v": "global", "d": "macro"}
@@ -128,10 +128,10 @@ def synthesize_compile_entries(files: DataFrame, root: str) -> DataFrame:
 
 
 def read_commit_log(spark: SparkSession, path: str, window: int = 500) -> DataFrame:
-    """(commit_id, path) of the newest ``window`` commits of a name-only log: a line with a hash, then its paths."""
-    text = read_text(spark, path) or ""
+    """(commit_id, path) of the newest ``window`` commits of a name-only log: a line with a hash, then its paths. The log is read up to there,
+    however long it is."""
     rows, commit, seen = [], None, 0
-    for line in text.splitlines():
+    for line in read_lines(spark, path):
         line = line.strip()
         if re.fullmatch(r"[0-9a-f]{40}", line):
             seen += 1
