@@ -8,7 +8,9 @@ score is the posterior of the best language under equal priors.
 The probabilities are fitted by expectation-maximisation on the word counts of a sample of rows outside fold 0 with a
 language: up to about ``SAMPLE_ROWS`` whole texts of each language, chosen by a hash of doc_id. Only the fit uses a
 sample; every text is scored whole. A text that is null or has no letter, or a table without any learned language,
-gives ``und`` and score 0. Ties go to the first language by name. Repeated rows give a row each.
+gives ``und`` and score 0. Ties go to the first language by name. Repeated rows give a row each; an empty table gives an empty result. Rows with a
+null doc_id are scored and never learned from. Whole texts are scored; a very long one takes a few times its size in one worker. Words longer than
+``LONGEST`` letters are scored in parts of that length.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ UNKNOWN = -16.0
 #: Words that a task keeps the sums of; beyond, it starts anew (which changes no result).
 KEPT_WORDS = 200_000
 
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Letters of a word whose lattice is built at once.
+LONGEST = 1000
+_WORDS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def words_of(text: str | None) -> list[str]:
