@@ -34,6 +34,34 @@ def all_segmentations(word):
     return {k: p / total for k, p in out.items()}
 
 
+@pytest.mark.parametrize(("text", "words"), [("a b", ["a", "b"]), ("a  b", ["a", " b"]), (" a", [" a"]), ("a ", ["a", ""]), ("a   ", ["a", "  "]), ("  ", ["  "]), ("", [])])
+def test_cuts(text, words):
+    assert S.words_of(text) == words
+
+
+def test_pieces_of_several_spaces_are_drawn(lattices):
+    """A run of spaces and the word after it are one lattice, whose segmentations have their distribution."""
+    v, text = vocabulary(MODEL), "▁▁▁b"
+    p = {}
+    for cuts in itertools.product((0, 1), repeat=3):
+        parts, at = [], 0
+        for i, c in enumerate([*cuts, 1], 1):
+            if c:
+                parts.append(text[at:i])
+                at = i
+        if all(x in v.normal for x in parts):
+            ids = tuple(v.normal[x] for x in parts)
+            p[ids] = math.exp(sum(v.log[i] for i in ids))
+    p = {k: x / sum(p.values()) for k, x in p.items()}
+    assert any(v.normal["▁▁"] in k for k in p) or any(v.normal["▁▁▁"] in k for k in p)
+    n = 3000
+    drawn = S.sample(lattices, list(range(n)), ["  b"] * n, 1, 5)
+    found = Counter(tuple(S.ids_of(lattices, d[0][0]).tolist()) for d in drawn)
+    assert set(found) <= set(p)
+    for k, q in p.items():
+        assert abs(found[k] / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 2 / n
+
+
 def test_first_and_second_draws_have_their_distribution(lattices):
     word = "then"
     p = all_segmentations(word)
@@ -66,7 +94,7 @@ def test_scores_are_gumbel(lattices):
 
 
 def test_distinct_round_trips(lattices):
-    texts = [t or "" for t in ODD] + ["ab cd" * 3, "日 ▁ x"]
+    texts = [t or "" for t in ODD] + ["ab cd" * 3, "日 ▁ x", "a  b   c", "   ", " x ", "\n  \n    if x:  # two  ", " ▁ "]
     for key, (text, drawn) in enumerate(zip(texts, S.sample(lattices, list(range(len(texts))), texts, 4, 1), strict=True)):
         ids = [S.ids_of(lattices, p).tobytes() for p, _ in drawn]
         assert len(set(ids)) == len(ids) and all(S.decode_ids(x, MODEL) == text for x in ids), key

@@ -1,6 +1,6 @@
 """Sampled SentencePiece segmentations: Gumbel top-k without replacement by perturbed best-first search.
 
-A text becomes a lattice of pieces, cut before every space as SentencePiece cuts it. Its segmentations have a
+A text becomes a lattice of pieces, cut before every space that follows another character, since pieces have spaces at their start only. Its segmentations have a
 distribution: products of piece probabilities, normalised over the lattice by backward sums. Each segmentation's log
 probability is perturbed by Gumbel noise and the k largest are wanted. The search keeps a heap of disjoint regions of
 the lattice: "agrees with a known segmentation before piece t and takes none of these edges there". The bound of a
@@ -16,13 +16,15 @@ All noise is a hash of the seed, the row's key, the sample and the position: row
 with equal key and text give equal samples.
 
 Null counts as empty; an empty text has one segmentation, without pieces. Characters without a piece are byte
-pieces, so decoding gives every text back.
+pieces, so decoding gives every text back. Whole texts are encoded; a very long one takes about 100 bytes a character in one worker. Repeated rows give
+their samples each; an empty table gives an empty result. ``doc_id``, or another key, is a long.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections import defaultdict
 from functools import lru_cache
 from itertools import islice
@@ -38,6 +40,7 @@ SAMPLES, SEED = 2, 17
 #: Edges that a task keeps for words that it has seen; beyond, it starts anew (which changes no result).
 KEPT_EDGES = 300_000
 
+_CUT = re.compile(r"(?<=[^ ]) ")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _M = (1 << 64) - 1
 
@@ -63,6 +66,13 @@ def _uniform1(seed: int, counter: int) -> float:
     return ((_mix1((seed + counter * int(_A)) & _M) >> 11) + 0.5) * 2.0**-53
 
 
+def words_of(text: str) -> list[str]:
+    """What stands between the cuts; a run of spaces is one cut and belongs to the word after it."""
+    if not text:
+        return []
+    return _CUT.split(text) if "  " in text or text[0] == " " else text.split(" ")
+
+
 @lru_cache(1)
 def _trie(model: str) -> Trie:
     return Trie(vocabulary(model).normal)
@@ -92,6 +102,7 @@ class Lattices:
         literal = chars == ord(SPACE)
         literal[start] = False
         chars[literal] = LITERAL
+        chars[chars == 32] = ord(SPACE)
         end = np.repeat(start + size, size)
         a, b, v = self.trie.edges(chars, end)
         log = self.vocabulary.log[np.maximum(v, 0)]
@@ -129,7 +140,7 @@ class Lattices:
         if len(self.within) > KEPT_EDGES:
             self.clear()
         known, had = self.word, len(self.word)
-        numbers = [np.fromiter(map(known.__getitem__, t.split(" ")), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        numbers = [np.fromiter(map(known.__getitem__, words_of(t)), np.int64) for t in texts]
         self.add(list(islice(known, had, None)))
         return numbers
 
@@ -223,7 +234,8 @@ class _Search:
 def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int, seed: int) -> list[list[tuple[_Path, float]]]:
     """For each text, up to k (segmentation, inclusion), by falling score."""
     numbers = lattices.numbers(texts)
-    places = [np.arange(len(x)) << 20 for x in numbers]  # a word has its own range of counters
+    states = np.diff(np.append(lattices.start, len(lattices.first) - 1))
+    places = [np.cumsum(states[x]) - states[x] for x in numbers]  # a word has its own range of counters
     searches = [_Search(key, seed) for key in keys]
     log = lattices.log
 
