@@ -13,7 +13,6 @@ def plain(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(T.default_tokenizer())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -54,6 +53,23 @@ def test_sequences_are_views_with_masks(spark, odd_docs, tmp_path):
         assert total == sum(f.index.get_batch(i).column("n_tokens").to_numpy().sum() for i in range(f.index.num_record_batches))
 
 
+def test_added_tokens_as_the_library_encodes_them():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "a <|endoftext b", "plain"]
+    ids, sizes = T.Encoder(T.default_tokenizer()).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == plain(texts)
+    assert any(50256 in x for x in plain(texts))
+
+
+def test_files_of_lost_tasks_are_removed(spark, odd_docs, tmp_path):
+    folder = tmp_path / "tokens"
+    folder.mkdir()
+    (folder / "part-000000-lost.arrow").write_text("")
+    (folder / "other").write_text("")
+    T.write_tokens(odd_docs, str(folder), length=64)
+    assert not (folder / "part-000000-lost.arrow").exists() and (folder / "other").exists()
+    assert T.read_tokens(spark, str(folder)).count() == odd_docs.count()
+
+
 def test_empty_table(spark, no_docs, tmp_path):
     T.write_tokens(no_docs, str(tmp_path / "none"))
     assert T.read_tokens(spark, str(tmp_path / "none")).count() == 0

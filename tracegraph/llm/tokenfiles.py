@@ -12,7 +12,9 @@ writes under a name of its own and the manifest only has those of tasks that suc
 what is read. Files are reached by Arrow's file systems, local paths and URIs alike.
 
 Null texts count as empty; an empty document has the end id alone. Documents with a null doc_id come first, rows with
-equal doc_ids by text. An empty table gives a manifest without files. Nothing is truncated.
+equal doc_ids by text; repeated rows are written each. An empty table gives a manifest without files. Nothing is truncated; a very long text is encoded in one
+worker. Texts with one of the tokenizer's added tokens are encoded as the library does it. Only doc_id (a long) and text are read, so other columns may have any name.
+The files of a run are the caller's to remove, with their folder; what lost tasks left is removed once the manifest is there.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.clear()
 
@@ -82,9 +84,20 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of each. Nulls count as empty."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.added) if self.added else None
+        if whole is None or not pc.any(whole).as_py():
+            return self._encode(texts)
+        # an added token may be cut; such texts are left to the library
+        ids, sizes = self._encode(pc.if_else(whole, "", texts))
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.flat.dtype)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > KEPT_STRINGS:
             self.clear()
-        texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD)
         if pc.any(odd).as_py():
             cut = pa.array([_CUT.split(t) if o else [t if i == 0 else f" {t}" for i, t in enumerate(t.split(" "))] for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.string()))
@@ -197,6 +210,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, len
     done = sorted(tuple(r) for r in ordered.mapInArrow(write, "part int, name string, docs long, ids long").collect())  # a row for each file
     with fs.open_output_stream(f"{root}/_manifest.json") as f:
         f.write(json.dumps({"length": length, "end": end, "files": [{"name": n, "docs": d, "ids": i} for _, n, d, i in done]}).encode())
+    kept = {f"{n}{end}" for _, n, *_ in done for end in (".arrow", ".index.arrow")}
+    for found in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+        if found.base_name.startswith("part-") and found.base_name not in kept:
+            fs.delete_file(found.path)
 
 
 class TokenFile:
