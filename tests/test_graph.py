@@ -321,3 +321,18 @@ def test_watch_rebuilds_for_landed_files(spark, tmp_path):
 def test_history_rows(spark):
     row = build.history_row(spark, "build-full", 3, 1.26, git="abc").first()
     assert (row.files, row.seconds, row.details) == (3, 1.3, '{"git": "abc"}') and datetime.datetime.fromisoformat(row.ts)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Nothing:
+        master = "spark://somewhere:7077"
+
+        def get(self, *_):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    session = type("Session", (), {"conf": Nothing(), "sparkContext": Nothing()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(session)
