@@ -36,15 +36,17 @@ def attribute_sources(occurrences: DataFrame, definitions: DataFrame, scope: str
     The ladder: the only one around its line in its file, else the only one in its file, else the only one at all.
     Adds src_qname, src_kind and src_name.
     """
-    d = F.struct("qname", "kind", "name", "line_start", "line_end").alias("d")
-    keyed = definitions.select(F.col("name").alias(scope), "file", d)
-    by_file = keyed.groupBy(scope, "file").agg(F.collect_list("d").alias("__here"))
+    keyed = definitions.select(F.col("name").alias(scope), "file", "line_start", "line_end", F.struct("qname", "kind", "name").alias("d"))
+    by_file = keyed.groupBy(scope, "file").agg(F.count("*").alias("__m"), F.min("d").alias("__one"))
     by_name = keyed.groupBy(scope).agg(F.count("*").alias("__n"), F.min("d").alias("__only"))
-    around = F.filter("__here", lambda x: (x.line_start <= F.col("line")) & (F.col("line") <= x.line_end))
-    found = F.when(F.size(around) == 1, around[0]).when(F.size("__here") == 1, F.col("__here")[0]).when(F.col("__n") == 1, F.col("__only"))
-    # without an index on files of a name, sizes are null and the ladder goes on
-    joined = occurrences.join(by_name, scope).join(by_file, [scope, "file"], "left").withColumn("__src", found).where("__src is not null")
-    return joined.withColumns({"src_qname": F.col("__src.qname"), "src_kind": F.col("__src.kind"), "src_name": F.col("__src.name")}).drop("__here", "__n", "__only", "__src")
+    # lines only decide between several of one name in one file, so only their sites are compared with them
+    several = by_file.where("__m > 1").select(scope, "file")
+    sites = occurrences.select(scope, "file", "line").join(several, [scope, "file"], "left_semi").distinct()
+    hits = sites.join(keyed.join(several, [scope, "file"], "left_semi"), [scope, "file"]).where("line between line_start and line_end")
+    around = hits.groupBy(scope, "file", "line").agg(F.count("*").alias("c"), F.min("d").alias("__hit")).where("c = 1").drop("c")
+    found = F.coalesce("__hit", F.when(F.col("__m") == 1, F.col("__one")), F.when(F.col("__n") == 1, F.col("__only")))
+    joined = occurrences.join(by_name, scope).join(by_file, [scope, "file"], "left").join(around, [scope, "file", "line"], "left").withColumn("__src", found).where("__src is not null")
+    return joined.withColumns({"src_qname": F.col("__src.qname"), "src_kind": F.col("__src.kind"), "src_name": F.col("__src.name")}).drop("__m", "__one", "__hit", "__n", "__only", "__src")
 
 
 def choose_targets(occurrences: DataFrame, definitions: DataFrame, name: str = "name") -> DataFrame:
