@@ -30,6 +30,60 @@ def test_scores_equal_densities():
     assert np.allclose(m.score(np.ones((1, 3))), 1 / (1 + np.exp(log[0] - log[1])))
 
 
+def plain_statistics(text):
+    """The statistics by plain rules over characters and words."""
+    raw = (text or "").encode()
+    space = b" \t\n\x0b\x0c\r"
+    solid = [c for c in raw if bytes([c]) not in [bytes([x]) for x in space]]
+    words = raw.split()
+    runs, word = [], b""
+    for c in [*raw, 32]:
+        if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128:
+            word += bytes([c])
+        elif word:
+            runs, word = [*runs, word], b""
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+
+    def share(name, x, n, mixed):
+        p = Q.STATISTICS[name]
+        return np.log((x + mixed * p) / (n - x + mixed * (1 - p)))
+
+    top = max([words.count(w) for w in set(words)], default=0)
+    ends = sum(not (w[-1:].isalnum() or w[-1] >= 128 or w[-1:] in (b".", b",")) for w in words)
+    return [
+        np.log((len(solid) + 25 * 5.5) / (len(words) + 25)),
+        share("upper", sum(65 <= c <= 90 for c in solid), len(solid), 120),
+        share("digits", sum(48 <= c <= 57 for c in solid), len(solid), 120),
+        share("stops", sum(c in b".," for c in solid), len(solid), 120),
+        share("other", sum(c < 128 and not chr(c).isalnum() and c not in b".," for c in solid), len(solid), 120),
+        share("symbol words", ends, len(words), 25),
+        share("repeated words", len(words) - len(set(words)), len(words), 25),
+        share("top word", top, len(words), 25),
+        share("runs", sum(a == b for a, b in zip(words, words[1:], strict=False)), len(words), 25),
+        share("repeated lines", len(lines) - len(set(lines)), len(lines), 6),
+        share("upper words", sum(w.isupper() for w in runs), len(runs), 25),
+        share("short words", sum(len(w) < 4 for w in runs), len(runs), 25),
+    ]
+
+
+def test_statistics_against_plain_rules():
+    from .conftest import ODD
+
+    for text in [*ODD[:9], *ODD[11:], "THE End. the end, the the\nthe end\nthe end\n$$$ 12% x", "É é !!\n\n!!"]:
+        assert np.allclose(Q.statistics(text), plain_statistics(text)), text
+
+
+def test_fit_equals_moments_of_the_labelled_rows(spark):
+    import zlib
+
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(quality[r.doc_id], Q.statistics(r.text)) for r in docs.collect() if quality.get(r.doc_id) in (0, 1) and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    x = [np.array([s for y, s in rows if y == k]) for k in (0, 1)]
+    want, got = Q.model_of([len(a) for a in x], [a.sum(0) for a in x], [a.T @ a for a in x]), Q.fit(docs, labels)
+    assert got.prior == want.prior and np.allclose(got.mean, want.mean) and np.allclose(got.inverse, want.inverse) and np.allclose(got.constant, want.constant)
+
+
 def test_labels_outside_fold_0_only(spark):
     docs = table(spark, DATA, "documents")
     labels = table(spark, DATA, "labels")
@@ -44,4 +98,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
         out = Q.score(odd_docs, model, ["doc_id", "score"]).collect()
         assert len(out) == odd_docs.count() and all(0 <= r["__score"] <= 1 for r in out) and {r.score for r in out} == {1}
         assert Q.score(no_docs, model, ["doc_id"]).count() == 0
+        clash = Q.score(odd_docs.withColumn("__score", F.lit("x")), model, ["doc_id", "__score"])
+        assert dict(clash.dtypes)["__score"] == "double" and clash.count() == len(out)
     assert Q.fit(no_docs, labels).prior == 0.5 and Q.fit(odd_docs, labels.where("quality = 1")).prior == 1.0
