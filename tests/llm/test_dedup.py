@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracegraph.llm import bitmap, exact_dedup, simhash
-from tracegraph.llm.components import connected_components
+from tracegraph.llm.components import connected_components, merged
 
 from .conftest import SCHEMA
 
@@ -177,7 +177,7 @@ def edited(rng, chains=12, length=8):
     return texts
 
 
-@pytest.mark.parametrize("crowd", [100, 0])
+@pytest.mark.parametrize("crowd", [100, 12, 0])
 def test_near_copies_against_all_pairs(spark, monkeypatch, crowd):
     """Edited copies of one another, in chains; without and with the join of crowded bands."""
     monkeypatch.setattr(simhash, "CROWD", crowd)
@@ -226,3 +226,33 @@ def test_recall_of_bands():
         x, y = (simhash.bands(simhash.np.array(s, simhash.np.uint64)) for s in (a, b))
         n, met = n + len(x), met + int((x == y).sum())
     assert abs(met / n - 0.8**4) < 0.06
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tracegraph.llm import common
+
+    class Nothing:
+        master = "yarn"
+
+        def get(self, *_):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    session = type("Session", (), {"conf": Nothing(), "sparkContext": Nothing()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+
+
+def test_labels_take_up_links(spark):
+    """Components by parts are those of all links at once."""
+    rng = random.Random(12)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
+    frames = [spark.createDataFrame([e for e in part if e[0] != e[1]], "a long, b long") for part in (edges[:20], edges[20:40], edges[40:])]
+    labels = connected_components(frames[0])
+    for more in frames[1:]:
+        labels = merged(labels, more)
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert {r.node: r.root for r in labels.collect()} == components(linked, [e for e in edges if e[0] != e[1]])
+    assert labels.count() == len(linked)

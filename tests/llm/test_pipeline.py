@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import corpus_pipeline as C
 from tracegraph.llm import queries
@@ -36,5 +37,32 @@ def test_run_equals_stages_by_hand(spark):
     assert sorted((r.doc_id, r.sample, bytes(r.ids)) for r in C.run(spark, sf).collect()) == want and want
 
 
+def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    sf = "/root/testdata/sf0.001"
+    docs = odd_docs.selectExpr("*", "2 as `row`", "3 as `__score`", "4 as hits", "5 as `a.b`")
+    texts = {r.text or "" for r in docs.collect()}
+    for name, stage in C.STAGES[1:4]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns[-4:] == ["row", "__score", "hits", "a.b"], name
+        rows = docs.collect()
+        assert {tuple(r)[-4:] for r in rows} == {(2, 3, 4, 5)} and {r.text or "" for r in rows} <= texts
+        if name == "exact dedup":
+            assert len(rows) == len(texts)
+    kept = C.STAGES[0][1](spark, odd_docs.selectExpr("*", "3 as `__score`"), sf)
+    assert kept.columns[-1] == "__score" and kept.where("`__score` != 3").isEmpty()
+    out = C.STAGES[4][1](spark, odd_docs, sf).collect()
+    assert all(r.exact for r in out) and {r.doc_id for r in out} == {r.doc_id for r in odd_docs.collect()}
+    for _, stage in C.STAGES:
+        assert stage(spark, no_docs, sf).count() == 0
+
+
+def test_run_removes_all_but_the_last_stage(spark):
+    from tracegraph.llm.common import shared_dir
+
+    C.run(spark, "/root/testdata/sf0.001")
+    folders = [p for p in Path(shared_dir(spark).removeprefix("file://")).glob("corpus-pipeline-*")]
+    assert folders and all([x.name for x in p.iterdir()] == [str(len(C.STAGES) - 1)] for p in folders)
+
+
 def test_every_operator_is_registered():
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 11))

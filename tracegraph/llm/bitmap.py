@@ -62,16 +62,16 @@ def keep_rows(df: DataFrame, decided: DataFrame) -> DataFrame:
     goes, or is there twice, stay where they are. Rows in it go at once, unless they are in a second bitmap, of all that stay although the
     first has them: only these few are shuffled, for an exact decision.
     """
-    names = df.columns
-    cheap, full = identity(F.col("text"), F.col("doc_id"))
+    cheap, _ = identity(F.col("text"), F.col("doc_id"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")  # apart from our own columns
     once = decided.groupBy("__cheap").agg(F.min("__keep").alias("__keep"), F.count("*").alias("__n"))
     apart = checkpoint(once.where("not __keep or __n > 1").select("__cheap"))
     gone = build(apart, "__cheap", apart.count())
     again = F.xxhash64(F.lit(1), "__cheap").alias("__again")
     unsure = checkpoint(maybe_in(decided.where("__keep"), gone, "__cheap", "__maybe").where("__maybe").select("__full", again).distinct())
     spared = build(unsure, "__again", unsure.count())
-    seen = maybe_in(df.withColumn("__cheap", cheap), gone, "__cheap", "__maybe")
-    clear = seen.where("not __maybe").select(*names)
+    seen = maybe_in(df.select(whole, cheap.alias("__cheap")), gone, "__cheap", "__maybe")
+    clear = seen.where("not __maybe").select("__row")
     few = maybe_in(seen.where("__maybe").withColumn("__again", again), spared, "__again", "__spared").where("__spared")
-    few = few.withColumn("__full", full).dropDuplicates(["__full"]).join(unsure.select("__full"), "__full", "left_semi")
-    return clear.unionByName(few.select(*names))
+    few = few.withColumn("__full", identity(F.col("__row.text"), F.col("__row.doc_id"))[1]).dropDuplicates(["__full"]).join(unsure.select("__full"), "__full", "left_semi")
+    return clear.union(few.select("__row")).select("__row.*")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,21 +23,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset and the master is local, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         found = "file://" + tempfile.mkdtemp(prefix="tracegraph-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage, so that a lost executor costs no recomputation."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file in any file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of a small table for each file that it is written to.
+SMALL = 2000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage, so that a lost executor costs no recomputation. ``rows`` is about how many
+    there are, if few: they go to fewer files."""
     spark = df.sparkSession
     folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // SMALL + 1)).checkpoint(eager=True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files and checkpoints of tables that nothing refers to any more; else they stay until the driver's heap is full."""
+    gc.collect()
+    time.sleep(0.3)  # what Python let go of is told to the JVM by another thread
+    spark.sparkContext._jvm.System.gc()
 
 
 #: A key is hot if it has more than 1 / HEAVY of all rows, and more than LEAST.

@@ -8,14 +8,16 @@ of it, so components need no other pairs.
 
 Null and empty texts have fingerprint zero, which is linked like any other. Texts of fewer than three words are one
 shingle. Repeated rows give a row each. An empty table gives an empty result. Rows with a null doc_id are kept out
-of links and get their own null component.
+of links and get their own null component. ``doc_id`` is a long; ``near_duplicates`` reads it and text only, ``keep_one`` carries other columns, whatever their
+names. Texts are read whole; a very long one takes about 100 bytes a word in one worker.
 
 The pipeline's stage (``keep_one``) has another rule: texts are near copies if their sets of five-word shingles have Jaccard
 0.8 or more. At 0.8 two fingerprints differ by about ten of 64 bits, which no ball reaches, so fingerprints (of five words)
 only propose pairs, as do 32 bands of four min-hashes; a pair of Jaccard 0.8 meets in no band with a chance of 5e-8. Every
-proposed pair is decided by its exact Jaccard. The texts of a band first meet one of them, another for each third of the bands; what a band
-then has of different components meets too, up to ``CROWD`` pairs. The texts of bands with more go through an exact set-similarity join,
-so that neither a large group of copies nor a passage that many texts share makes a square of pairs.
+proposed pair is decided by its exact Jaccard. Each text first meets one other: of its ball, or the one that it shares most bands with. Bands that then
+have texts of different components go on: up to ``CROWD`` pairs meet, of larger bands each text meets one of the largest component, in two rounds, and
+what is still apart goes through an exact set-similarity join. So neither a large group of copies nor a passage that many texts share makes a
+square of pairs.
 
 Rows of one text are one node. One row of each component stays: of the least doc_id, null last, then of the least text hash. Texts without words
 are near copies of one another. Rows that repeat a doc_id with other texts are decided each by its text.
@@ -32,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import checkpoint, map_texts
-from .components import connected_components
+from .common import checkpoint, forget, map_texts
+from .components import connected_components, merged
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: The stage's shingles, and its bands of min-hashes.
 WIDE, BANDS, ROWS = 5, 32, 4
 #: A band in which more pairs of different components would meet is crowded: its texts are joined by ``joined``.
-CROWD = 100
+CROWD = 12
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -47,8 +49,8 @@ _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 _rng = np.random.default_rng(SEED)
 _FLIP, _TIMES = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32), _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-#: Orders of the nodes, so that bands differ in which of their nodes all others meet first.
-_ORDERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+#: Orders of the nodes: in each round, crowded bands choose another of their nodes for the others to meet.
+_ORDERS = (0, 0x2545F4914F6CDD1D)
 
 
 def hashes(text: str | None, size: int) -> np.ndarray:
@@ -95,18 +97,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Verified links (a, b) between representatives, of the distinct fingerprints ``fps`` (fp, rep)."""
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)))
-    balls = fps.select("fp", "rep", F.explode(flips).alias("v"))
-    least = F.expr("min(struct(rep, fp)) over (partition by v)")
-    met = balls.withColumn("m", least).where("m.rep != rep")
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= RADIUS).select(F.col("rep").alias("a"), F.col("m.rep").alias("b")).distinct()
+    bits = F.array(*(F.lit(0 if i < 0 else 1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(-1, 64)))
+    # a variant tells its fingerprint by the bit that differs
+    balls = fps.select("fp", "rep", F.posexplode(bits).alias("bit", "flip")).select("rep", "bit", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"))
+    met = balls.withColumn("m", F.expr("min(struct(rep, bit)) over (partition by v)")).where("m.rep != rep")
+    fp = lambda bit: F.col("v").bitwiseXOR(F.element_at(bits, bit + 1))
+    near = F.bit_count(fp(F.col("bit")).bitwiseXOR(fp(F.col("m.bit")))) <= RADIUS
+    return met.where(near).select(F.col("rep").alias("a"), F.col("m.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach, for every row."""
     rows = checkpoint(fingerprints(docs))
     reps = checkpoint(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(reps))
+    roots = connected_components(checkpoint(links(reps)))
     named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = rows.join(named, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
@@ -132,7 +136,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles): the five-word shingles of ``nodes`` (node, cheap, full), sorted. Only their texts are read as words."""
+    """(full, shingles): the five-word shingles of the texts of ``nodes`` (cheap, full), and of few others. Other texts aren't read as words. Rows
+    that repeat an identity repeat its set."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(hashes(t, WIDE).view(np.int64)) for t in batch.column("text").to_pylist()]
@@ -141,20 +146,25 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     marks = bitmap.build(nodes, "cheap", nodes.count())
     cheap, full = bitmap.identity(F.col("text"), F.col("doc_id"))
     asked = bitmap.maybe_in(docs.select("text", full.alias("full"), cheap.alias("cheap")), marks, "cheap", "__maybe").where("__maybe")
-    sets = map_texts(asked.select("full", "text"), lambda: work, "full string, shingles array<long>")
-    # rows that repeat an identity give the same set
-    return sets.join(nodes.select("full", "node"), "full").dropDuplicates(["node"]).select("node", "shingles")
+    return map_texts(asked.select("full", "text"), lambda: work, "full string, shingles array<long>")
 
 
 _ALIKE = "9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))"
 
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets of five-word shingles have Jaccard 0.8 or more. Two empty sets are alike."""
-    asked = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    sets = checkpoint(_sets(docs, checkpoint(asked)))
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return met.where(_ALIKE).select("a", "b").distinct()
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets of five-word shingles have Jaccard 0.8 or more. Two empty sets are alike. ``repeats`` says
+    that rows of ``docs`` may repeat an identity."""
+    n = pairs.count()
+    asked = checkpoint(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi").select("node", "cheap", "full"), 2 * n)
+    sets = _sets(docs, asked)
+    sets = sets.dropDuplicates(["full"]) if repeats else sets
+    names = asked.select("node", "full")
+    named = pairs.join(names.toDF("a", "fa"), "a").join(names.toDF("b", "fb"), "b")
+    met = named.join(sets.toDF("fa", "x"), "fa").join(sets.toDF("fb", "y"), "fb")
+    found = checkpoint(met.where(_ALIKE).select("a", "b"), n)
+    forget(docs.sparkSession)
+    return found
 
 
 def joined(sets: DataFrame) -> DataFrame:
@@ -182,48 +192,81 @@ def joined(sets: DataFrame) -> DataFrame:
     return pairs.join(plain.toDF("a", "x"), "a").join(plain.toDF("b", "y"), "b").where(_ALIKE).select("a", "b")
 
 
-def near_copies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, cheap, full, fp, n, keys) of Jaccard 0.8 or more, whose components are those of all such pairs."""
+def _rooted(frame: DataFrame, labels: DataFrame) -> DataFrame:
+    """``frame`` with the root of each node's component, itself where nothing links it."""
+    return frame.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _parted(placed: DataFrame, order: int, rows: int) -> DataFrame:
+    """Of ``placed`` (key, node, n, root) the keys with several components, with the largest (big), one of its nodes (first), the rows (c) and
+    those of others."""
+    mine = F.col("node").bitwiseXOR(F.lit(order))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(mine).alias("first"))
+    several = parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    sized = parts.join(several, "key", "left_semi").groupBy("key").agg(F.max(F.struct("c", "root", "first")).alias("big"), F.sum("c").alias("c"))
+    first = F.col("big.first").bitwiseXOR(F.lit(order)).alias("first")
+    return checkpoint(placed.join(sized.select("key", F.col("big.root").alias("big"), first, "c", (F.col("c") - F.col("big.c")).alias("others")), "key"), rows)
+
+
+def near_copies(docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
+    """(node, root): the components of ``nodes`` (node, cheap, full, fp, n, keys) by pairs of Jaccard 0.8 or more, of nodes that have any."""
+    # 1: each node meets one other, of its ball or else the one that it shares most bands with, of those that are most central in them
     reps = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
-    alike = nodes.join(reps, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")).union(links(reps))
-    order = F.element_at(F.array(*map(F.lit, _ORDERS)), F.col("band") % len(_ORDERS) + 1)
-    keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key")).select("node", "n", "key", order.alias("o"))
-    groups = keyed.groupBy("key", "o").agg(F.min(F.col("node").bitwiseXOR(F.col("o"))).alias("m"), F.count("*").alias("c")).where("c > 1")
-    shared = checkpoint(keyed.join(groups.select("key", F.col("m").bitwiseXOR(F.col("o")).alias("m")), "key").select("key", "node", "n", "m"))
-    size = nodes.select(F.col("node").alias("m"), F.col("n").alias("k"))
-    stars = shared.select("node", "n", "m").where("node != m").distinct().join(size, "m").where("5 * least(n, k) >= 4 * greatest(n, k)").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    first = checkpoint(alike.union(stars).where("a != b").distinct())
-    linked = checkpoint(similar(docs, nodes, first))
-
-    # what a band holds that isn't in one component yet
-    roots = connected_components(linked)
-    placed = shared.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.count("*").alias("parts"), F.sum("c").alias("c")).where("parts > 1")
-    apart = checkpoint(placed.join(parts.select("key", F.col("big.root").alias("big"), (F.col("c") - F.col("big.c")).alias("others"), "c"), "key"))
-    x, y = apart.where(f"others * c <= {CROWD}").alias("x"), apart.alias("y")
-    met = x.where("root != big").join(y, "key").where("x.root != y.root and (y.root = y.big or x.node < y.node) and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
-    rest = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    more = checkpoint(rest.join(first, ["a", "b"], "left_anti"))
-    out = linked if more.isEmpty() else linked.union(similar(docs, nodes, more))
-    crowded = checkpoint(apart.where(f"others * c > {CROWD}").select("node", F.col("root").alias("group")).distinct())
-    if crowded.isEmpty():
-        return out
-    sets = _sets(docs, checkpoint(nodes.join(crowded, "node", "left_semi")))
-    return out.union(joined(checkpoint(sets.join(crowded, "node"))))
+    ball = nodes.join(reps, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a != b").union(links(reps)).withColumn("c", F.lit(BANDS + 1).cast("long"))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    groups = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    some = bitmap.maybe_in(keyed, bitmap.build(groups, "key", groups.count()), "key", "__maybe").where("__maybe").drop("__maybe")
+    shared = checkpoint(some.join(groups, "key"))
+    central = shared.groupBy("node").agg(F.sum("c").alias("s"))  # an original is in the large bands of all its copies
+    pivots = shared.join(central, "node").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("m"), F.col("n").alias("k")), "s").alias("p")).select("key", "p.*")
+    stars = shared.join(pivots, "key").where("node != m and 5 * least(n, k) >= 4 * greatest(n, k)").groupBy("node", "m").agg(F.count("*").alias("c"))
+    met = ball.unionByName(stars.select(F.col("node").alias("a"), F.col("m").alias("b"), "c"))
+    labels = connected_components(similar(docs, nodes, checkpoint(met.groupBy("a").agg(F.max_by("b", "c").alias("b"))), repeats))
+
+    # 2: of bands with several components, all pairs of different ones where they are few, else each node and one of the largest component, in rounds
+    left = shared.select("key", "node", "n")
+    for order in _ORDERS:
+        n = left.count()
+        left = _parted(_rooted(left.select("key", "node", "n"), labels), order, n)
+        crowded = left.where(f"others * c > {CROWD}")
+        wide = crowded.where("root != big").groupBy("node", "first").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("first", "c").alias("b"))
+        x, y = left.where(f"others * c <= {CROWD} and root != big").alias("x"), left.alias("y")
+        small = x.join(y, "key").where("x.root != y.root and (y.root = y.big or x.node < y.node) and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+        met = wide.select(F.col("node").alias("a"), "b").union(small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        pairs = checkpoint(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n)
+        if pairs.isEmpty() or (found := similar(docs, nodes, pairs, repeats)).isEmpty():
+            break
+        labels = merged(labels, found)
+        left = crowded
+
+    # 3: what crowded bands still have of different components, by an exact join
+    n = crowded.count()
+    left = _parted(_rooted(crowded.select("key", "node", "n"), labels), 0, n)
+    asked = left.select("node", F.col("root").alias("group")).distinct()
+    asked = checkpoint(nodes.join(asked, "node").select("node", "group", "cheap", "full"), n)
+    if asked.isEmpty():
+        return labels
+    sets = _sets(docs, asked)
+    sets = sets.dropDuplicates(["full"]) if repeats else sets
+    return merged(labels, checkpoint(joined(checkpoint(sets.join(asked, "full").select("node", "group", "shingles")))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component of near copies: of the least doc_id, null last. Of rows that share that doc_id one stays."""
     rows = checkpoint(_sketches(docs).withColumn("row", F.monotonically_increasing_id()))
     text = F.substring("full", 1, 64)
-    texts = checkpoint(rows.groupBy(text.alias("text")).agg(F.min("row").alias("row"), F.count("*").alias("copies")))
+    texts = checkpoint(rows.groupBy(text.alias("text")).agg(F.min("row").alias("row"), F.count("*").alias("copies")), rows.count())
     # the rows of one text are one node
-    nodes = rows if texts.where("copies > 1").isEmpty() else checkpoint(rows.join(texts.select("row"), "row", "left_semi"))
+    repeats = not texts.where("copies > 1").isEmpty()
+    nodes = checkpoint(rows.join(texts.select("row"), "row", "left_semi")) if repeats else rows
     nodes = nodes.withColumnRenamed("row", "node")
-    roots = connected_components(near_copies(docs, nodes))
+    roots = near_copies(docs, nodes, repeats)
     named = texts.select("text", F.col("row").alias("node"), "copies").join(roots, "node", "left").where("copies > 1 or root is not null")
     some = rows.select("doc_id", "cheap", "full", text.alias("text")).join(named.select("text", F.coalesce("root", "node").alias("root")), "text", "left")
-    best = some.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "full")).alias("best"))
+    linked = some.where("root is not null")
+    best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "full")).alias("best"))
     # all rows of the best identity are kept here, and one of them by keep_rows
-    decided = some.join(best, "root", "left").select(F.col("cheap").alias("__cheap"), F.col("full").alias("__full"), F.coalesce(F.col("best.full") == F.col("full"), F.lit(True)).alias("__keep"))
-    return bitmap.keep_rows(docs, checkpoint(decided))
+    identity = [F.col("cheap").alias("__cheap"), F.col("full").alias("__full")]
+    decided = linked.join(best, "root").select(*identity, (F.col("best.full") == F.col("full")).alias("__keep"))
+    alone = some.where("root is null").select(*identity, F.lit(True).alias("__keep"))  # they have no key to be dealt by
+    return bitmap.keep_rows(docs, checkpoint(decided.union(alone)))
