@@ -56,3 +56,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
     clean = L.remove_lines(odd_docs)
     assert clean.columns == odd_docs.columns and clean.count() == len(rows)
     assert {r.doc_id: r.text for r in clean.collect()}[8] == ""
+
+
+def test_columns_of_clashing_names_are_carried(spark):
+    rows = [(1, "a b c d e f\nown line of one", 7, 8), (2, "a b c d e f\nand another of two", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__doc` int, at int").selectExpr("*", "9 as `x.y`")
+    out = {r.doc_id: r for r in L.remove_lines(df).collect()}
+    assert out[2].text == "and another of two" and out[1].text == rows[0][1]
+    assert L.remove_lines(df).columns == df.columns and all(tuple(r)[2:] == (7, 8, 9) for r in out.values())
+
+
+def test_matches_that_share_their_first_tokens(spark):
+    """Lines whose rarest tokens are the same, in runs with a difference at each place."""
+    base = [f"r{i}" for i in range(30)]
+    rows = [(0, " ".join(base))]
+    for i in range(30):
+        for k in (1, 2, 3, 4):
+            words = list(base)
+            words[i : i + k] = [f"n{i}x{k}x{j}" for j in range(len(words[i : i + k]))]
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(base[: 24 + i])) for i in range(6)]
+    assert {tuple(r) for r in L.removed_lines(docs_of(spark, rows)).collect()} == brute(rows)

@@ -7,9 +7,10 @@ so what stays doesn't depend on the order of work. Of lines with one text only t
 1. Tokens are ordered by rarity (counts of 2^14 hash buckets, a table of fixed size), then by hash. A match of two lines
    shows in their prefixes: the n - ceil(0.8 n) + 1 rarest tokens of each.
 2. A semi-join of prefix tokens finds, for each line and token, whether any partner is likely. Its condition has the length filter, the
-   positional filter (exact at the first common token) and a bound of the overlap from 128-bit signatures. It yields no pairs.
-3. Only those lines carry their tokens into a second semi-join on those tokens, whose condition verifies the Jaccard similarity and the
-   order. It stops at the first earlier match.
+   positional filter (exact at the first common token), a bound of the overlap from 128-bit signatures, and that the tokens before differ (if they
+   are the same, the pair has met there). It yields no pairs.
+3. Only those lines, and of each text the first, carry their tokens into a second semi-join on those tokens, whose condition verifies the Jaccard
+   similarity and the order. It stops at the first earlier match.
 
 Texts with many copies would fill one task with rows of one token; of them only the first line goes into the joins. They are told
 by a table of at most ``HEAVY`` rows: texts with more than 1 / ``HEAVY`` of all lines. What tells other lines apart before a join is a bitmap
@@ -17,7 +18,8 @@ of fixed size.
 
 Tokens are compared as 56-bit hashes within a pair of lines, texts as 128-bit hashes. Lines without words are never
 removed. Null texts have no lines, empty texts one. Rows that repeat a doc_id are one document whose lines count together; lines
-at equal places are both first. An empty table gives an empty result.
+at equal places are both first. An empty table gives an empty result. ``doc_id`` is a long; other columns are carried, whatever their names. Texts
+are read whole; a very long line takes about 30 bytes a word in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import checkpoint
+from .common import checkpoint, forget
 
 BUCKETS = 1 << 14
 #: A text is hot if it is more than 1 / HEAVY of all lines, and more than LEAST.
@@ -79,6 +81,8 @@ _LENGTH = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
 _PLACE = "9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
 # bits of one line that the other hasn't are tokens that it hasn't
 _SIGN = "9 * least(x.n - bit_count(x.s1 & ~y.s1) - bit_count(x.s2 & ~y.s2), y.n - bit_count(y.s1 & ~x.s1) - bit_count(y.s2 & ~x.s2)) >= 4 * (x.n + y.n)"
+# where the tokens before are the same, the pair has met there already
+_FIRST = "not (x.p <=> y.p and x.p is not null)"
 _EARLIER = "(y.doc, y.at, y.h1) < (x.doc, x.at, x.h1)"
 _VERIFIED = "9 * size(array_intersect(x.t, y.t)) >= 4 * (x.n + y.n)"
 
@@ -87,16 +91,17 @@ def _likely(lines: DataFrame, tokens: Column) -> DataFrame:
     """(h1, tokens): the prefix tokens of a line at which some other line may match."""
     sets = lines.select("h1", tokens.alias("t")).withColumn("n", F.size("t"))
     marked = sets.select("h1", "n", *(_signature(k).alias(f"s{k + 1}") for k in range(2)), _prefix().alias("p"))
-    posts = marked.select("h1", "n", "s1", "s2", F.posexplode("p").alias("i", "token"))
+    posts = marked.select("h1", "n", "s1", "s2", F.posexplode(F.arrays_zip(F.col("p").alias("t"), F.concat(F.array(F.lit(None).cast("long")), F.expr("slice(p, 1, size(p) - 1)")).alias("p"))).alias("i", "e"))
+    posts = posts.select("h1", "n", "s1", "s2", "i", F.col("e.t").alias("token"), F.col("e.p").alias("p"))
     x, y = posts.alias("x"), posts.alias("y")
-    found = x.join(y, F.expr(f"x.token = y.token and x.h1 != y.h1 and {_LENGTH} and {_PLACE} and {_SIGN}"), "left_semi")
+    found = x.join(y, F.expr(f"x.token = y.token and x.h1 != y.h1 and {_LENGTH} and {_PLACE} and {_FIRST} and {_SIGN}"), "left_semi")
     return found.groupBy("h1").agg(F.collect_set("token").alias("tokens"))
 
 
 def _beaten(lines: DataFrame, tokens: Column, likely: DataFrame) -> DataFrame:
-    """(doc, at) of the lines that an earlier one of another text matches."""
-    some = bitmap.maybe_in(lines, bitmap.build(likely, "h1"), "h1", "__maybe").where("__maybe")
-    sets = some.select("doc", "at", "h1", tokens.alias("t")).withColumn("n", F.size("t")).join(likely, "h1")
+    """(doc, at) of the lines of ``likely`` (h1, doc, at, tokens) that an earlier one of another text matches."""
+    some = bitmap.maybe_in(lines, bitmap.build(likely, "h1", likely.count()), "h1", "__maybe").where("__maybe")
+    sets = some.select("doc", "at", "h1", tokens.alias("t")).withColumn("n", F.size("t")).join(likely, ["h1", "doc", "at"])
     posts = sets.select("doc", "at", "h1", "t", "n", F.explode("tokens").alias("token")).withColumn("i", F.array_position("t", F.col("token")) - 1)
     x, y = posts.alias("x"), posts.alias("y")
     return x.join(y, F.expr(f"x.token = y.token and {_LENGTH} and {_PLACE} and {_EARLIER} and {_VERIFIED}"), "left_semi").select("doc", "at").distinct()
@@ -107,11 +112,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs.select("doc_id", "text"))
     places = checkpoint(lines.select("doc", "at", "h1", "h2"))
     first = checkpoint(places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("copies")))
+    forget(docs.sparkSession)
     least = max(LEAST, places.count() // HEAVY)
     heavy = first.where(F.col("copies") > least).select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"))
     one = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where("fdoc is null or (fdoc = doc and fat = at)").drop("fdoc", "fat")
     tokens = _tokens(_ranks(docs))
-    beaten = _beaten(one, tokens, checkpoint(_likely(one, tokens)))
+    # only the first line of a text can stay, and no other beats what it doesn't
+    likely = checkpoint(_likely(one, tokens).join(first.select("h1", "f.doc", "f.at"), "h1"))
+    forget(docs.sparkSession)  # the prefix tokens, before the next join writes its own
+    beaten = _beaten(one, tokens, likely)
     again = places.join(first, ["h1", "h2"]).where("f.doc != doc or f.at != at").select("doc", "at")
     return again.union(beaten).distinct()
 
@@ -127,12 +136,12 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; texts that keep all of theirs don't move."""
-    names = docs.columns
-    gone = checkpoint(removed_lines(docs).groupBy("doc").agg(F.collect_set("at").alias("__gone")))
+    gone = checkpoint(removed_lines(docs).groupBy("doc").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("doc", "__doc"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    marks = bitmap.build(gone.select(F.xxhash64("doc").alias("__key")), "__key")
-    seen = bitmap.maybe_in(docs.withColumn("__doc", doc).withColumn("__key", F.xxhash64("__doc")), marks, "__key", "__maybe")
-    moved = seen.where("__maybe").join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    moved = moved.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text))
-    return seen.where("not __maybe").select(*names).unionByName(moved.select(*names))
+    marks = bitmap.build(gone.select(F.xxhash64("__doc").alias("__key")), "__key", gone.count())
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")  # apart from our own columns
+    seen = bitmap.maybe_in(docs.select(whole, doc.alias("__doc"), F.xxhash64(doc).alias("__key")), marks, "__key", "__maybe")
+    moved = seen.where("__maybe").join(gone, "__doc", "left")
+    text = F.array_join(F.filter(F.split("__row.text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    row = F.col("__row").withField("text", F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(text)).alias("__row")
+    return seen.where("not __maybe").select("__row").union(moved.select(row)).select("__row.*")
