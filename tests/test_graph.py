@@ -115,6 +115,20 @@ def test_incremental_equals_full(spark, graph):
     assert {(r.path, r.change) for r in build.changes(graph.files, now.files).collect()} == {("boiler.c", "changed"), ("hw/fake.c", "deleted"), ("hw/alarm.c", "added")}
 
 
+def test_incremental_finds_a_first_source(spark):
+    """A scope becomes the only one of its name: its sites in files that no change touches have a source for the first time."""
+    tree = {"a.c": "void run(void) {}\n", "b.c": "void run(void) {}\n", "part.inc": "leaf();\n", "leaf.c": "void leaf(void) {}\n"}
+    defs = [(n, "function", f, 1, 1, False) for n, f in (("run", "a.c"), ("run", "b.c"), ("leaf", "leaf.c"))]
+    occs = [("call", "leaf", "run", "part.inc", 1)]
+    before = build.build(spark, facts(spark, tree, defs, occs))
+    assert not flat(before.edges.where("origin = 'cscope'"))
+    del tree["b.c"]
+    now = facts(spark, tree, [d for d in defs if d[2] != "b.c"], occs)
+    part, full = build.rebuild(spark, now, before), build.build(spark, now)
+    assert flat(part.edges) == flat(full.edges)
+    assert ("run", "leaf", "calls", "part.inc", 1, *C, "{}") in flat(part.edges)
+
+
 def test_semantic_layer(spark, graph):
     """Calls of static functions too: what is defined, and who sees it, is what the graph's nodes say."""
     told = spark.createDataFrame([(1, "pump_set", "boiler_step", "/w/boiler.c", 9), (1, "ceiling", "boiler_step", "boiler.c", 8), (4, "cycles", "boiler_step", "boiler.c", 7), (1, "pump_set", None, "x.c", 1), (1, "pump_set", "no_such", "x.c", 1), (0, "pump_set", "boiler_step", "boiler.c", 1)], schema.SEMANTIC)

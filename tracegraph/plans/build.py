@@ -88,8 +88,8 @@ def rebuild(spark: SparkSession, facts: Facts, before: Graph, inputs_changed: bo
     rules or commits).
 
     An edge goes if its site is in a touched file or an end was defined in one, before or now. What is looked up again: every
-    name that such files define or mention, and the targets of edges that went for their source. All other layers are
-    computed in full, so the result equals a full build, but for the tags of a semantic import.
+    name that such files define or mention, and every name at a site whose scope such files define: its source may have gone, changed or
+    become the only one. All other layers are computed in full, so the result equals a full build, but for the tags of a semantic import.
     """
     changed = storage.checkpoint(changes(before.files, facts.files))
     if changed.isEmpty() and not inputs_changed:
@@ -106,8 +106,8 @@ def rebuild(spark: SparkSession, facts: Facts, before: Graph, inputs_changed: bo
     kept = before.edges.where(F.col("origin").isin("cscope", "clink")).join(gone.withColumnRenamed("path", "file"), "file", "left_anti")
     for end in ("src", "dst"):
         kept = kept.join(named.toDF(f"{end}_qname", f"{end}_kind", f"{end}_name"), [f"{end}_qname", f"{end}_kind"])
-    lost = kept.join(redefined.withColumnRenamed("name", "src_name"), "src_name", "left_semi")
-    again = lost.select(F.col("dst_name").alias("name")).distinct()
+    # sites in such a name may have another source now, or a first one
+    again = facts.occurrences.where("op != 'include'").join(redefined.withColumnRenamed("name", "scope"), "scope", "left_semi").select("name").distinct()
     kept = kept.join(redefined.withColumnRenamed("name", "src_name"), "src_name", "left_anti").join(redefined.withColumnRenamed("name", "dst_name"), "dst_name", "left_anti")
     nodes_now = definitions.select("qname", "kind").union(facts.files.select("path", F.lit("file")))
     for end in ("src", "dst"):
