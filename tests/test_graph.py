@@ -1,6 +1,7 @@
 """A small tree, its graph, and every verb on it."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,27 @@ def test_semantic_layer(spark, graph):
     assert {r.confidence for r in real.edges.where("origin = 'clink'").collect()} == {0.95}
 
 
+@pytest.mark.parametrize("bits", [64, 512])
+def test_registered_gives_each_edge_once(spark, monkeypatch, bits):
+    """Sites and handlers share several fields, more than have bits: one row for an edge, told by the site's first field."""
+    monkeypatch.setattr(layers, "BITS", bits, raising=False)
+    draw = random.Random(4)
+    calls = [("a.c", line, 100 * line + k, draw.randrange(90)) for line in range(1, 25) for k in range(draw.randrange(1, 30))]
+    lines = spark.createDataFrame([(f, line, seq, f"o->f{x}(1);") for f, line, seq, x in calls], "file string, line int, seq long, clean string")
+    defs = spark.createDataFrame([(i, f"fn{i}", "function", "a.c", 3 * i + 1, 3 * i + 3, False, f"fn{i}") for i in range(7)], "seq long, name string, kind string, file string, line_start int, line_end int, is_static boolean, qname string")
+    pairs = sorted({(draw.randrange(100), draw.randrange(40)) for _ in range(500)})
+    by_hand = spark.createDataFrame([(f"f{x}", f"fn{h}", None) for x, h in pairs], schema.REGISTRATIONS)
+    got = layers.registered(lines, by_hand, defs, layers.resolve_names(by_hand.select(F.col("handler").alias("symbol")), defs)).collect()
+    first = {}
+    for f, line, seq, x in calls:
+        for y, h in pairs:
+            if x == y and (line - 1) // 3 < 7 and h != (line - 1) // 3:
+                key = (f"fn{(line - 1) // 3}", f"fn{h}", f, line)
+                first[key] = min(first.get(key, (seq, x)), (seq, x))
+    assert len(first) > 300 and len(got) == len(first)
+    assert {(r.src_qname, r.dst_qname, r.file, r.line): (r["rank"].seq, int(r.meta.field[1:])) for r in got} == first
+
+
 def test_co_changes(spark):
     commits = [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b"), ("2", "c"), ("3", "c")] + [("4", f"x{i}") for i in range(30)] + [("5", f"x{i}") for i in range(30)]
     df = spark.createDataFrame(commits, schema.COMMITS)
