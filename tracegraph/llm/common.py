@@ -54,11 +54,15 @@ def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(rows // SMALL + 1)).checkpoint(eager=True)
 
 
-def forget(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files and checkpoints of tables that nothing refers to any more; else they stay until the driver's heap is full."""
-    gc.collect()
-    time.sleep(0.3)  # what Python let go of is told to the JVM by another thread
-    spark.sparkContext._jvm.System.gc()
+def forget(spark: SparkSession, times: int = 1) -> None:
+    """Have Spark remove the shuffle files and checkpoints of tables that nothing refers to any more; else they stay until the driver's heap is full.
+    Spark removes them by and by: ``times`` is more where much must have gone before work goes on."""
+    for k in range(times):
+        gc.collect()
+        time.sleep(0.3)  # what Python let go of is told to the JVM by another thread
+        spark.sparkContext._jvm.System.gc()
+        if times > 1:
+            time.sleep(1)
 
 
 #: A key is hot if it has more than 1 / HEAVY of all rows, and more than LEAST.

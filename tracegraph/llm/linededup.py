@@ -119,7 +119,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     tokens = _tokens(_ranks(docs))
     # only the first line of a text can stay, and no other beats what it doesn't
     likely = checkpoint(_likely(one, tokens).join(first.select("h1", "f.doc", "f.at"), "h1"))
-    forget(docs.sparkSession)  # the prefix tokens, before the next join writes its own
+    forget(docs.sparkSession, 3)  # the prefix tokens, before the next join writes its own
     beaten = _beaten(one, tokens, likely)
     again = places.join(first, ["h1", "h2"]).where("f.doc != doc or f.at != at").select("doc", "at")
     return again.union(beaten).distinct()
