@@ -77,3 +77,23 @@ def test_matches_that_share_their_first_tokens(spark):
             rows.append((len(rows), " ".join(words)))
     rows += [(len(rows) + i, " ".join(base[: 24 + i])) for i in range(6)]
     assert {tuple(r) for r in L.removed_lines(docs_of(spark, rows)).collect()} == brute(rows)
+
+
+def test_copies_stay_out_of_the_joins(spark, monkeypatch):
+    """Of lines that are there several times, too few to be hot, only the first is tokenised; no first line is lost to a collision."""
+    base = [" ".join(f"b{i}w{j}" for j in range(12)) for i in range(20)]
+    rows = [(i, "\n".join([base[i % 20], f"own{i} line{i} of{i}", base[(i + 7) % 20] + f" more{i}"])) for i in range(60)]
+    seen, likely = [], L._likely
+    monkeypatch.setattr(L, "_likely", lambda lines, tokens: seen.append(lines.select("doc", "at", "line").collect()) or likely(lines, tokens))
+    monkeypatch.setattr(L.bitmap, "LEAST", 64)
+    monkeypatch.setattr(L.bitmap, "MOST", 1 << 20)
+    assert {tuple(r) for r in L.removed_lines(docs_of(spark, rows)).collect()} == brute(rows)
+    first = {}
+    for d, text in rows:
+        for a, line in enumerate(text.split("\n")):
+            first.setdefault(line, (d, a))
+    went = {(r.doc, r.at) for r in seen[0]}
+    assert set(first.values()) <= went and len(went) < len(first) + 20
+    monkeypatch.setattr(L.bitmap, "MOST", 64)  # full bitmaps let copies through
+    assert {tuple(r) for r in L.removed_lines(docs_of(spark, rows)).collect()} == brute(rows)
+    assert set(first.values()) <= {(r.doc, r.at) for r in seen[1]}

@@ -4,17 +4,17 @@ A line's tokens are its distinct words (between spaces). Two lines match when th
 sets is 0.8 or more. A line is removed when an earlier line (by doc_id, then place, null doc_ids first) matches it, removed or not;
 so what stays doesn't depend on the order of work. Of lines with one text only the first can stay. Whether it does is decided by a join:
 
-1. Tokens are ordered by rarity (counts of 2^14 hash buckets, a table of fixed size), then by hash. A match of two lines
+1. Tokens are ordered by rarity (counts of 2^16 hash buckets, a table of fixed size), then by hash. A match of two lines
    shows in their prefixes: the n - ceil(0.8 n) + 1 rarest tokens of each.
 2. A semi-join of prefix tokens finds, for each line and token, whether any partner is likely. Its condition has the length filter, the
    positional filter (exact at the first common token), a bound of the overlap from 128-bit signatures, and that the tokens before differ (if they
    are the same, the pair has met there). It yields no pairs.
-3. Only those lines, and of each text the first, carry their tokens into a second semi-join on those tokens, whose condition verifies the Jaccard
-   similarity and the order. It stops at the first earlier match.
+3. Only those lines carry their tokens into a second semi-join on those tokens, whose condition verifies the Jaccard similarity and the
+   order, after the bound from signatures. It stops at the first earlier match.
 
-Texts with many copies would fill one task with rows of one token; of them only the first line goes into the joins. They are told
-by a table of at most ``HEAVY`` rows: texts with more than 1 / ``HEAVY`` of all lines. What tells other lines apart before a join is a bitmap
-of fixed size.
+Only the first line of a text goes into the joins. Texts with many copies, which would fill one task with rows of one token, are told
+by a table of at most ``HEAVY`` rows: texts with more than 1 / ``HEAVY`` of all lines. What tells other copies and lines apart before a join are
+bitmaps of bounded size; copies that they can't tell go into the first join too, which is slower and still right.
 
 Tokens are compared as 56-bit hashes within a pair of lines, texts as 128-bit hashes. Lines without words are never
 removed. Null texts have no lines, empty texts one. Rows that repeat a doc_id are one document whose lines count together; lines
@@ -30,15 +30,11 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .common import checkpoint, forget
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 #: A text is hot if it is more than 1 / HEAVY of all lines, and more than LEAST.
 HEAVY, LEAST = 10_000, 1000
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, at, line, h1, h2) of lines that have words; h1 and h2 are hashes of the line."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
@@ -46,10 +42,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def _ranks(docs: DataFrame) -> Column:
+def _ranks(lines: DataFrame) -> Column:
     """The rank of each hash bucket by how often its words occur, as an array. A row for each bucket comes to the driver."""
-    word = _lines(docs).select(F.explode(F.split("line", " ")).alias("w"))
-    counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id")).agg(F.count("*").alias("c"))
+    word = lines.select(F.explode(F.split("line", " ")).alias("w"))
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.count("*").alias("c"))
     ranks = [0] * BUCKETS
     for r in counts.select("id", F.least(F.floor(3 * F.log2(F.col("c") + 1)), F.lit(120)).alias("r")).collect():
         ranks[r.id] = r.r
@@ -58,12 +54,12 @@ def _ranks(docs: DataFrame) -> Column:
 
 def _tokens(ranks: Column) -> Column:
     """The distinct tokens of ``line`` by rarity: rank in the high bits, hash below."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    def token(h: Column) -> Column:
+        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), token)))
+    return F.sort_array(F.transform(hashes, token))
 
 
 def _prefix() -> Column:
@@ -72,9 +68,9 @@ def _prefix() -> Column:
 
 def _signature(half: int) -> Column:
     """64 bits for the tokens whose seventh bit is ``half``."""
+    mine = F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    mine = lambda x: x.bitwiseAND(F.lit(64)) == 64 * half
-    return F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when(mine(x), a.bitwiseOR(bit(x))).otherwise(a))
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x))).alias(f"s{half + 1}")
 
 
 _LENGTH = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
@@ -90,7 +86,7 @@ _VERIFIED = "9 * size(array_intersect(x.t, y.t)) >= 4 * (x.n + y.n)"
 def _likely(lines: DataFrame, tokens: Column) -> DataFrame:
     """(h1, tokens): the prefix tokens of a line at which some other line may match."""
     sets = lines.select("h1", tokens.alias("t")).withColumn("n", F.size("t"))
-    marked = sets.select("h1", "n", *(_signature(k).alias(f"s{k + 1}") for k in range(2)), _prefix().alias("p"))
+    marked = sets.select("h1", "n", _signature(0), _signature(1), _prefix().alias("p"))
     posts = marked.select("h1", "n", "s1", "s2", F.posexplode(F.arrays_zip(F.col("p").alias("t"), F.concat(F.array(F.lit(None).cast("long")), F.expr("slice(p, 1, size(p) - 1)")).alias("p"))).alias("i", "e"))
     posts = posts.select("h1", "n", "s1", "s2", "i", F.col("e.t").alias("token"), F.col("e.p").alias("p"))
     x, y = posts.alias("x"), posts.alias("y")
@@ -101,10 +97,21 @@ def _likely(lines: DataFrame, tokens: Column) -> DataFrame:
 def _beaten(lines: DataFrame, tokens: Column, likely: DataFrame) -> DataFrame:
     """(doc, at) of the lines of ``likely`` (h1, doc, at, tokens) that an earlier one of another text matches."""
     some = bitmap.maybe_in(lines, bitmap.build(likely, "h1", likely.count()), "h1", "__maybe").where("__maybe")
-    sets = some.select("doc", "at", "h1", tokens.alias("t")).withColumn("n", F.size("t")).join(likely, ["h1", "doc", "at"])
-    posts = sets.select("doc", "at", "h1", "t", "n", F.explode("tokens").alias("token")).withColumn("i", F.array_position("t", F.col("token")) - 1)
+    sets = some.select("doc", "at", "h1", tokens.alias("t")).withColumn("n", F.size("t"))
+    sets = sets.select("*", _signature(0), _signature(1)).join(likely, ["h1", "doc", "at"])
+    posts = sets.select("doc", "at", "h1", "t", "n", "s1", "s2", F.explode("tokens").alias("token")).withColumn("i", F.array_position("t", F.col("token")) - 1)
     x, y = posts.alias("x"), posts.alias("y")
-    return x.join(y, F.expr(f"x.token = y.token and {_LENGTH} and {_PLACE} and {_EARLIER} and {_VERIFIED}"), "left_semi").select("doc", "at").distinct()
+    return x.join(y, F.expr(f"x.token = y.token and {_LENGTH} and {_PLACE} and {_EARLIER} and {_SIGN} and {_VERIFIED}"), "left_semi").select("doc", "at").distinct()
+
+
+def _without(lines: DataFrame, again: DataFrame, first: DataFrame) -> DataFrame:
+    """``lines`` without those at the places of ``again`` (doc, at), which has been written. All at the places of ``first`` stay: a second bitmap has
+    those that the first can't tell from places of ``again``. Copies that it can't tell apart either stay too, which is slower and still right."""
+    place, other = F.xxhash64("doc", "at").alias("__place"), F.xxhash64(F.lit(1), "__place").alias("__other")
+    gone = bitmap.build(again.select(place), "__place", again.count())
+    spared = checkpoint(bitmap.maybe_in(first.select("f.doc", "f.at").select(place), gone, "__place", "__maybe").where("__maybe").select(other))
+    seen = bitmap.maybe_in(lines.select("*", place), gone, "__place", "__gone").select("*", other)
+    return bitmap.maybe_in(seen, bitmap.build(spared, "__other", spared.count()), "__other", "__spared").where("not __gone or __spared").select(*lines.columns)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -116,12 +123,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     least = max(LEAST, places.count() // HEAVY)
     heavy = first.where(F.col("copies") > least).select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"))
     one = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where("fdoc is null or (fdoc = doc and fat = at)").drop("fdoc", "fat")
-    tokens = _tokens(_ranks(docs))
+    again = checkpoint(places.join(first, ["h1", "h2"]).where("f.doc != doc or f.at != at").select("doc", "at"))
+    one = _without(one, again, first)
+    tokens = _tokens(_ranks(one))
     # only the first line of a text can stay, and no other beats what it doesn't
     likely = checkpoint(_likely(one, tokens).join(first.select("h1", "f.doc", "f.at"), "h1"))
     forget(docs.sparkSession, 3)  # the prefix tokens, before the next join writes its own
     beaten = _beaten(one, tokens, likely)
-    again = places.join(first, ["h1", "h2"]).where("f.doc != doc or f.at != at").select("doc", "at")
     return again.union(beaten).distinct()
 
 
