@@ -1,4 +1,5 @@
 import random
+import re
 
 from tracegraph.llm import linededup as L
 
@@ -97,3 +98,20 @@ def test_copies_stay_out_of_the_joins(spark, monkeypatch):
     monkeypatch.setattr(L.bitmap, "MOST", 64)  # full bitmaps let copies through
     assert {tuple(r) for r in L.removed_lines(docs_of(spark, rows)).collect()} == brute(rows)
     assert set(first.values()) <= {(r.doc, r.at) for r in seen[1]}
+
+
+def test_report_counts_lines_without_reading_texts_again(spark, tmp_path):
+    """Only the second join's two sides read texts in the report's plan, and the counts hold for blank lines, repeated and null ids and long lines."""
+    long = [f"v{i}" for i in range(7_000)]
+    texts = ["\n\n", "\na b c d e f\n", None, " ", "a b c d e f\n\n", "", " ".join(long) + "\nx", "y\n" + " ".join(long[:6_000])]
+    rows = list(enumerate(texts)) + [(4, "a b c d e g\nq"), (4, None), (None, "\nq"), (None, "z")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/docs")
+    report = L.line_report(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", plan)) == 2
+    got = {r.doc_id: r for r in report.collect()}
+    want = {}
+    for d, text in rows:
+        want[d] = want.get(d, 0) + (0 if text is None else text.count("\n") + 1)
+    assert {d: r.n_lines for d, r in got.items()} == want
+    assert {(-(1 << 63) if d is None else d, int(a)) for d, r in got.items() for a in r.removed.split(",") if a} == brute(rows)

@@ -16,7 +16,7 @@ Only the first line of a text goes into the joins. Texts with many copies, which
 by a table of at most ``HEAVY`` rows: texts with more than 1 / ``HEAVY`` of all lines. What tells other copies and lines apart before a join are
 bitmaps of bounded size; copies that they can't tell go into the first join too, which is slower and still right.
 
-Tokens are compared as 56-bit hashes within a pair of lines, texts as 128-bit hashes. Lines without words are never
+Tokens are compared as 56-bit hashes within a pair of lines, texts as 128-bit hashes. A word whose 64-bit hash is zero or the empty word's is no token. Lines without words are never
 removed. Null texts have no lines, empty texts one. Rows that repeat a doc_id are one document whose lines count together; lines
 at equal places are both first. An empty table gives an empty result. ``doc_id`` is a long; other columns are carried, whatever their names. Texts
 are read whole; a very long line takes about 30 bytes a word in one task.
@@ -24,6 +24,8 @@ are read whole; a very long line takes about 30 bytes a word in one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,33 @@ BUCKETS = 1 << 16
 HEAVY, LEAST = 10_000, 1000
 
 
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc")
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc, at, line) of all lines."""
+    return docs.where("text is not null").select(_doc(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """With h1 and h2, hashes of the line."""
+    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
+
+
+_WORDS = "trim(line) != ''"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, at, line, h1, h2) of lines that have words; h1 and h2 are hashes of the line."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    rows = docs.where("text is not null").select(doc.alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
+    """(doc, at, line, h1, h2) of lines that have words."""
+    return _hashed(_split(docs).where(_WORDS))
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(doc, at, h1, h2, words, lines) of lines that have words, and of each text's first line. ``lines`` is how many the text has at its first line, else 0."""
+    texts = docs.where("text is not null").select(_doc(), F.split("text", "\n").alias("all"))
+    rows = texts.select("doc", F.size("all").alias("lines"), F.posexplode("all").alias("at", "line")).withColumn("words", F.expr(_WORDS)).where("words or at = 0")
+    return checkpoint(_hashed(rows).select("doc", "at", "h1", "h2", "words", F.expr("if(at = 0, lines, 0)").alias("lines")))
 
 
 def _ranks(lines: DataFrame) -> Column:
@@ -52,27 +76,31 @@ def _ranks(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _tokens(ranks: Column) -> Column:
-    """The distinct tokens of ``line`` by rarity: rank in the high bits, hash below."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """``lines`` with t, the distinct tokens of ``line`` by rarity (rank in the high bits, hash below), how many they are (n), and their signatures: 64 bits
+    for hashes below zero (s1), 64 for those above (s2). Arrays of longs without nulls are made distinct, sorted and cut at zero by compiled code."""
+    zero, none = F.lit(0).cast("long"), F.xxhash64(F.lit(""))
+    hashes = F.concat(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.array(zero, none))
+    kept = [F.col(c) for c in lines.columns if c != "line"]
+    sets = lines.select(*kept, F.sort_array(F.array_remove(F.array_distinct(hashes), none)).alias("u"))
+    cut = sets.select(*kept, "u", F.array_position("u", zero).cast("int").alias("k"))
+    cut = cut.select(*kept, F.array_remove("u", zero).alias("u"), F.expr("slice(u, 1, k - 1)").alias("below"), F.expr("slice(u, k + 1, size(u) - k)").alias("above"))
 
     def token(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), zero)
+        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    def signature(half: str) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(half, zero, lambda a, x: a.bitwiseOR(bit(x)))
 
-    return F.sort_array(F.transform(hashes, token))
+    return cut.select(*kept, F.sort_array(F.transform("u", token)).alias("t"), F.size("u").alias("n"), signature("below").alias("s1"), signature("above").alias("s2"))
 
 
 def _prefix() -> Column:
     return F.slice("t", F.lit(1), (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int"))
 
 
-def _signature(half: int) -> Column:
-    """64 bits for the tokens whose seventh bit is ``half``."""
-    mine = F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x))).alias(f"s{half + 1}")
-
-
 _LENGTH = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
 _PLACE = "9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
 # bits of one line that the other hasn't are tokens that it hasn't
@@ -83,22 +111,29 @@ _EARLIER = "(y.doc, y.at, y.h1) < (x.doc, x.at, x.h1)"
 _VERIFIED = "9 * size(array_intersect(x.t, y.t)) >= 4 * (x.n + y.n)"
 
 
-def _likely(lines: DataFrame, tokens: Column) -> DataFrame:
+def _packed(condition: str) -> str:
+    """With n and i read from the halves of ``m``: these rows are many, so each is as short as can be."""
+    return re.sub(r"\b([xy])\.i\b", r"(\1.m & 4294967295)", re.sub(r"\b([xy])\.n\b", r"shiftright(\1.m, 32)", condition))
+
+
+def _likely(lines: DataFrame, ranks: Column) -> DataFrame:
     """(h1, tokens): the prefix tokens of a line at which some other line may match."""
-    sets = lines.select("h1", tokens.alias("t")).withColumn("n", F.size("t"))
-    marked = sets.select("h1", "n", _signature(0), _signature(1), _prefix().alias("p"))
+    marked = _sets(lines.select("h1", "line"), ranks).select("h1", "n", "s1", "s2", _prefix().alias("p"))
     posts = marked.select("h1", "n", "s1", "s2", F.posexplode(F.arrays_zip(F.col("p").alias("t"), F.concat(F.array(F.lit(None).cast("long")), F.expr("slice(p, 1, size(p) - 1)")).alias("p"))).alias("i", "e"))
-    posts = posts.select("h1", "n", "s1", "s2", "i", F.col("e.t").alias("token"), F.col("e.p").alias("p"))
+    m = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("m")
+    posts = posts.select("h1", m, "s1", "s2", F.col("e.t").alias("token"), F.col("e.p").alias("p"))
     x, y = posts.alias("x"), posts.alias("y")
-    found = x.join(y, F.expr(f"x.token = y.token and x.h1 != y.h1 and {_LENGTH} and {_PLACE} and {_FIRST} and {_SIGN}"), "left_semi")
+    found = x.join(y, F.expr(_packed(f"x.token = y.token and x.h1 != y.h1 and {_LENGTH} and {_PLACE} and {_FIRST} and {_SIGN}")), "left_semi")
     return found.groupBy("h1").agg(F.collect_set("token").alias("tokens"))
 
 
-def _beaten(lines: DataFrame, tokens: Column, likely: DataFrame) -> DataFrame:
-    """(doc, at) of the lines of ``likely`` (h1, doc, at, tokens) that an earlier one of another text matches."""
-    some = bitmap.maybe_in(lines, bitmap.build(likely, "h1", likely.count()), "h1", "__maybe").where("__maybe")
-    sets = some.select("doc", "at", "h1", tokens.alias("t")).withColumn("n", F.size("t"))
-    sets = sets.select("*", _signature(0), _signature(1)).join(likely, ["h1", "doc", "at"])
+def _beaten(rows: DataFrame, ranks: Column, likely: DataFrame) -> DataFrame:
+    """(doc, at) of the lines of ``likely`` (h1, doc, at, tokens) that an earlier one of another text matches. ``rows`` are all lines; those at other
+    places are told before anything is made of them."""
+    place = F.xxhash64("doc", "at").alias("__place")
+    marks = bitmap.build(likely.select(place), "__place", likely.count())
+    some = _hashed(bitmap.maybe_in(rows.select("*", place), marks, "__place", "__maybe").where("__maybe").where(_WORDS))
+    sets = _sets(some.select("doc", "at", "h1", "line"), ranks).join(likely, ["h1", "doc", "at"])
     posts = sets.select("doc", "at", "h1", "t", "n", "s1", "s2", F.explode("tokens").alias("token")).withColumn("i", F.array_position("t", F.col("token")) - 1)
     x, y = posts.alias("x"), posts.alias("y")
     return x.join(y, F.expr(f"x.token = y.token and {_LENGTH} and {_PLACE} and {_EARLIER} and {_SIGN} and {_VERIFIED}"), "left_semi").select("doc", "at").distinct()
@@ -114,10 +149,10 @@ def _without(lines: DataFrame, again: DataFrame, first: DataFrame) -> DataFrame:
     return bitmap.maybe_in(seen, bitmap.build(spared, "__other", spared.count()), "__other", "__spared").where("not __gone or __spared").select(*lines.columns)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, at) of every line that an earlier one matches. ``doc`` is doc_id, the least long for null."""
+def removed_lines(docs: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """(doc, at) of every line that an earlier one matches. ``doc`` is doc_id, the least long for null. ``places``: of ``_places``, if they are there already."""
     lines = _lines(docs.select("doc_id", "text"))
-    places = checkpoint(lines.select("doc", "at", "h1", "h2"))
+    places = (_places(docs) if places is None else places).where("words").select("doc", "at", "h1", "h2")
     first = checkpoint(places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("copies")))
     forget(docs.sparkSession)
     least = max(LEAST, places.count() // HEAVY)
@@ -125,27 +160,27 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     one = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where("fdoc is null or (fdoc = doc and fat = at)").drop("fdoc", "fat")
     again = checkpoint(places.join(first, ["h1", "h2"]).where("f.doc != doc or f.at != at").select("doc", "at"))
     one = _without(one, again, first)
-    tokens = _tokens(_ranks(one))
+    ranks = _ranks(one)
     # only the first line of a text can stay, and no other beats what it doesn't
-    likely = checkpoint(_likely(one, tokens).join(first.select("h1", "f.doc", "f.at"), "h1"))
+    likely = checkpoint(_likely(one, ranks).join(first.select("h1", "f.doc", "f.at"), "h1"))
     forget(docs.sparkSession, 3)  # the prefix tokens, before the next join writes its own
-    beaten = _beaten(one, tokens, likely)
+    beaten = _beaten(_split(docs), ranks, likely)
     return again.union(beaten).distinct()
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (places from 0, comma-joined) of each document."""
-    gone = removed_lines(docs).groupBy("doc").agg(F.count("*").alias("n_removed"), F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x.cast("string")), ",").alias("removed"))
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    each = docs.select("doc_id", doc.alias("doc"), size.alias("n")).groupBy("doc").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_lines"))
+    places = _places(docs)
+    gone = removed_lines(docs, places).groupBy("doc").agg(F.count("*").alias("n_removed"), F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x.cast("string")), ",").alias("removed"))
+    ids, sizes = docs.select(_doc(), F.col("doc_id"), F.lit(0).alias("lines")), places.where("at = 0").select("doc", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "lines")
+    each = ids.union(sizes).groupBy("doc").agg(F.max("doc_id").alias("doc_id"), F.sum("lines").alias("n_lines"))
     return each.join(gone, "doc", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; texts that keep all of theirs don't move."""
     gone = checkpoint(removed_lines(docs).groupBy("doc").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("doc", "__doc"))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    doc = _doc()
     marks = bitmap.build(gone.select(F.xxhash64("__doc").alias("__key")), "__key", gone.count())
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")  # apart from our own columns
     seen = bitmap.maybe_in(docs.select(whole, doc.alias("__doc"), F.xxhash64(doc).alias("__key")), marks, "__key", "__maybe")
