@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegraph.llm import decontaminate, exact_dedup, quality, segment, simhash
-from tracegraph.llm.common import remove, shared_dir, table
+from tracegraph.llm.common import give_back, remove, shared_dir, table
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -47,6 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations: a row for each document and sample, with the piece ids as 32-bit little-endian numbers, and whether decoding
     them gives the text back (``exact``)."""
+    give_back(spark)  # this stage's memory is its workers'; the joins before it leave grown heaps
     return segment.encode(docs, ["doc_id"], verify=True)
 
 

@@ -64,5 +64,14 @@ def test_run_removes_all_but_the_last_stage(spark):
     assert folders and all([x.name for x in p.iterdir()] == [str(len(C.STAGES) - 1)] for p in folders)
 
 
+def test_heaps_are_given_back_before_the_last_stage(spark, no_docs):
+    def collections():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+
+    before = collections()
+    assert C.STAGES[4][1](spark, no_docs, "").isEmpty() and collections() > before
+
+
 def test_every_operator_is_registered():
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 11))

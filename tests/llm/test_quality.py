@@ -84,6 +84,26 @@ def test_fit_equals_moments_of_the_labelled_rows(spark):
     assert got.prior == want.prior and np.allclose(got.mean, want.mean) and np.allclose(got.inverse, want.inverse) and np.allclose(got.constant, want.constant)
 
 
+def test_no_task_of_the_fit_runs_two_python_functions(spark, monkeypatch):
+    """Each function of a task holds a worker, and workers stay; a broadcast join puts what is on both its sides into one task."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans = []
+
+    def seen(method):
+        def run(self, *args, **kwargs):
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+            return method(self, *args, **kwargs)
+
+        return run
+
+    for name in ("collect", "checkpoint"):
+        monkeypatch.setattr(DataFrame, name, seen(getattr(DataFrame, name)))
+    sf = "/root/testdata/sf0.001"
+    Q.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert max(p.count("MapInArrow") for p in plans) == 1 and sum(p.count("MapInArrow") for p in plans) == 2
+
+
 def test_labels_outside_fold_0_only(spark):
     docs = table(spark, DATA, "documents")
     labels = table(spark, DATA, "labels")

@@ -65,6 +65,13 @@ def forget(spark: SparkSession, times: int = 1) -> None:
             time.sleep(1)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect garbage, so that heap that earlier stages grew goes back to the system before Python workers need it: a
+    task for each core, which Spark spreads over the executors that are free."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 #: A key is hot if it has more than 1 / HEAVY of all rows, and more than LEAST.
 HEAVY, LEAST = 10_000, 1000
 

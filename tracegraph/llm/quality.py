@@ -132,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, pooled: float = POOLED, identity: fl
         for k, m in held.items():
             yield pa.RecordBatch.from_pydict({"y": pa.array([k] * m.size, pa.int32()), "i": pa.array(range(m.size), pa.int32()), "v": pa.array(m.ravel())})
 
-    rows = seen.join(marked, "doc_id").select("x", "y").mapInArrow(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
+    # written first: where the join is a broadcast, one task would else hold a Python worker for each of the two functions
+    known = checkpoint(seen.join(marked, "doc_id").select("x", "y"))
+    rows = known.mapInArrow(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     p = len(STATISTICS) + 1
     m = [np.zeros(p * p), np.zeros(p * p)]
     for r in rows:
