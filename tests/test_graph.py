@@ -169,6 +169,33 @@ def test_registered_gives_each_edge_once(spark, monkeypatch, bits):
     assert {(r.src_qname, r.dst_qname, r.file, r.line): (r["rank"].seq, int(r.meta.field[1:])) for r in got} == first
 
 
+@pytest.mark.parametrize("bits, fields, dense", [(512, 60, True), (64, 90, True), (512, 5000, False)])
+def test_registered_compares_a_site_and_a_handler_once(spark, monkeypatch, bits, fields, dense):
+    """Where most sites and handlers share several fields, they don't meet by field, which made a row for each; the edges are the same."""
+    monkeypatch.setattr(layers, "BITS", bits, raising=False)
+    monkeypatch.setattr(layers, "GROUP", 400, raising=False)  # several parts of both sides
+    draw = random.Random(5)
+    calls = [("a.c", line, 100 * line + k, draw.randrange(fields)) for line in range(1, 31) for k in range(25)]
+    lines = spark.createDataFrame([(f, line, seq, f"o->f{x}(1);") for f, line, seq, x in calls], "file string, line int, seq long, clean string")
+    defs = spark.createDataFrame([(i, f"fn{i}", "function", "a.c", 3 * i + 1, 3 * i + 3, False, f"fn{i}") for i in range(9)], "seq long, name string, kind string, file string, line_start int, line_end int, is_static boolean, qname string")
+    given = {(x, h): draw.choice([None, "", f"s{x}"]) for x, h in ((draw.randrange(fields), draw.randrange(50)) for _ in range(1000))}
+    by_hand = spark.createDataFrame([(f"f{x}", f"fn{h}", s) for (x, h), s in given.items()], schema.REGISTRATIONS)
+    edges = layers.registered(lines, by_hand, defs, layers.resolve_names(by_hand.select(F.col("handler").alias("symbol")), defs))
+    first = {}
+    for f, line, seq, x in calls:
+        for (y, h), s in given.items():
+            if x == y and (line - 1) // 3 < 9 and h != (line - 1) // 3:
+                key = (f"fn{(line - 1) // 3}", f"fn{h}", f, line)
+                first[key] = min(first.get(key, (seq, x, s or None)), (seq, x, s or None))
+    got = edges.collect()
+    assert len(first) > 80 and len(got) == len(first)
+    assert {(r.src_qname, r.dst_qname, r.file, r.line): (r["rank"].seq, int(r.meta.field[1:]), r.meta.struct) for r in got} == first
+    plan = edges.select("src_qname", "dst_qname")._jdf.queryExecution().optimizedPlan().toString()
+    by_field = [j for j in plan.splitlines() if "Join Inner" in j and "field#" in j]
+    assert any("__g#" in j for j in plan.splitlines() if "Join Inner" in j) == dense
+    assert bool(by_field) == (not dense or fields > bits)
+
+
 def test_co_changes(spark):
     commits = [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b"), ("2", "c"), ("3", "c")] + [("4", f"x{i}") for i in range(30)] + [("5", f"x{i}") for i in range(30)]
     df = spark.createDataFrame(commits, schema.COMMITS)

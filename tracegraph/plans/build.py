@@ -48,7 +48,7 @@ def _text_layers(facts: Facts, definitions: DataFrame, spark: SparkSession) -> t
     lines = facts.lines if facts.lines is not None else storage.checkpoint(S.source_lines(facts.files))
     names = registrations.select(F.col("handler").alias("symbol")).union(links.select("src")).union(links.select("dst"))
     resolved = layers.resolve_names(names, definitions)
-    found = [layers.callbacks(lines, definitions), layers.dispatched(lines, definitions), layers.registered(lines, registrations, definitions, resolved), layers.linked(links, resolved)]
+    found = [layers.callbacks(lines, definitions), layers.dispatched(lines, definitions), layers.registered(lines, registrations, definitions, resolved, storage.checkpoint), layers.linked(links, resolved)]
     if facts.commits is not None:
         found.append(layers.co_changes(facts.commits, facts.files))
     return found, resolved
